@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import leaks, mixing, near_copies, print_forms, ranking, spam_pages
+from docquarry.llm import leaks, mixing, name_links, near_copies, print_forms, ranking, scan_noise, spam_pages
 from docquarry.sources.tables import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,30 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.copy_groups(_chunks(spark, d))
 
 
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read_table(spark, d, "semantic_graph").select("node_key", "label", "type"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_links.entity_pairs(name_links.entity_links(_nodes(spark, d)))
+
+
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    return name_links.entity_links(_nodes(spark, d))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read_table(spark, d, "chunks").select("row_id", "index_key", "text"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.noise_kinds(_pages(spark, d))
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.repaired_texts(_pages(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_ranking(spark, d).where("place = 1").select("run_id", "chunk_id")
 
@@ -132,7 +156,7 @@ from wanted w cross join last l
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        p1_found, p1_canonical, p2_found, p2_groups, p5_found, p5_ranking, p6_found, p6_shares,
+        p1_found, p1_canonical, p2_found, p2_groups, p3_found, p3_entities, p4_found, p4_repaired, p5_found, p5_ranking, p6_found, p6_shares,
         p7_mix, p7_shares, p7_grants_chars, p8_found, p8_shares,
     )
 }
