@@ -250,7 +250,7 @@ select query_id, list_filter(c, lambda x: not contains(n, regexp_replace(lower(x
 answers as (select r.*, coalesce(c.context, '') context, coalesce(f.text, {q.text(REFUSALS[0])}) answer from runs r left join contexts c using (query_id) left join (select query_id, text from results where rank = 1) f using (query_id)),
 n as (select a.query_id, context, answer, ({REFUSED}) refused, {q.terms("query")} t, {q.normal("answer")} n, len(s.reasons) = 0 ok1, len(c.reasons) = 0 ok2, len(d.reasons) = 0 ok3 from answers a join suff s using (query_id) join conf c using (query_id) join direct_gate d using (query_id)),
 d as (select *, case when not ok1 or not ok2 then 1 when not (refused or {q.coverage("t", "n")} >= 0.5) then 6 when not ok3 and not refused then 8 else 9 end step from n)
-select query_id, step, case when step in (1, 6) then {len(REFUSALS[0])} when step = 8 then length(answer) + 18 else length(answer) end::int chars from d""",
+select query_id, step, case when step in (1, 6) then {len(REFUSALS[0])} when step = 8 then length(answer) + 20 else length(answer) end::int chars from d""",
     "prompt_text": f"with {ANSWERS} select query_id, '只依据资料回答，资料不足时回答“' || {q.text(REFUSALS[0])} || '”。' || chr(10) || chr(10) || '资料：' || chr(10) || left(context, 2000) || chr(10) || chr(10) || '问题：' || query prompt from answers",
     "retrieval_eval_detail": f"with {_HIT_RANKS} select query_id, coalesce(hit_rank, 0)::int hit_rank, round(rr, 6) reciprocal_rank from hits",
     "retrieval_eval": f"""with {_HIT_RANKS} select count(*) total_queries, round(count(hit_rank)::double / count(*), 6) recall_at_k, round(avg(rr), 6) mrr, count(hit_rank) hit_count, count(*) filter (has_answer_in_doc) queries_with_answer,
