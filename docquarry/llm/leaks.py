@@ -29,11 +29,11 @@ WINDOW = {"han": 20, "word": 10}  # tokens
 STRIDE = {"han": 4, "word": 2}
 FAR = 12  # distance in tokens of the surroundings that tell a domain phrase from a copied passage
 MASKS = 4  # 64-bit masks of the surroundings of a shingle
-COMMON = 0.002  # a shingle in more surroundings than this share of the documents weighs nothing
+COMMON = 0.01  # a shingle in more surroundings than this share of the documents weighs nothing
 COMMON_MOST = 1000.0
 COMMON_LEAST = 3.0
 PIECE = 10  # shortest run of shared tokens (gaps up to a shingle closed) that counts
-SHARE = 0.3  # least weighted share of an item; scraps are below a fifth, cases above a half
+SHARE = 0.38  # least weighted share of an item; scraps are below a fifth, cases above a half
 ITEMS_PER_PASS = 20_000
 
 
