@@ -61,6 +61,13 @@ def generation_report(details: DataFrame) -> DataFrame:
     )
 
 
+def full_report(retrieval: DataFrame, generation: DataFrame) -> DataFrame:
+    """(part, metric, value): the two one-row reports as one table of numbers."""
+    parts = [(n, r.unpivot([], r.columns, "metric", "value")) for n, r in (("retrieval", retrieval), ("generation", generation)) for r in [r.select(*[F.col(c).cast("double").alias(c) for c in r.columns])]]
+    rows = [p.select(F.lit(n).alias("part"), "metric", "value") for n, p in parts]
+    return rows[0].unionByName(rows[1])
+
+
 def sweep_depths(queries: DataFrame, ranked: DataFrame, depths: list[int]) -> DataFrame:
     """(depth, recall, mrr, hit_count, is_best) of several candidate depths over one ranking; best by recall, then mrr, then depth.
 

@@ -163,6 +163,7 @@ select index_key, chunks, parents, avg_len, min_len, max_len, l[least(floor(chun
     "current_chunks": f"with {q.CURRENT} select row_id, index_key, pos, chunk_id from cur",
     "bm25_postings": f"with {q.CURRENT}, {q.INDEX} select term, row_id, tf from postings",
     "bm25_idf": f"with {q.CURRENT}, {q.INDEX} select term, df, round(idf, 6) idf from terms",
+    "bm25_scores": f"with {q.CURRENT}, {q.ASKED}, {q.SCORES} select query_id, row_id, round(score, 6) score from scores",
     "bm25_topk": f"with {q.CURRENT}, {q.ASKED}, {q.topk(5)} select query_id, row_id, round(score, 6) score, rank from top",
     "window_expand": f"""with {q.CURRENT} select a.row_id, coalesce(string_agg(b.text, chr(10) order by b.pos), any_value(a.text)) window_text
 from cur a left join cur b on a.index_key = b.index_key and a.parent_id = b.parent_id and b.pos between a.pos - 2 and a.pos + 2 group by a.row_id""",
@@ -258,6 +259,12 @@ select query_id, step, case when step in (1, 6) then {len(REFUSALS[0])} when ste
     "generation_eval_detail": f"with {_GEN} select query_id, refused, coalesce(faithful::int, -1)::int faithful, matched_points, round(match_rate, 6) match_rate from genr",
     "generation_eval": f"""with {_GEN} select count(*) total, count(*) filter (refused) refusals, round(avg(case when has_answer_in_doc then faithful::int end), 6) faithful_with_answer, round(avg(case when not has_answer_in_doc then faithful::int end), 6) faithful_without_answer,
   round(avg(faithful::int), 6) faithful_overall, round(avg(match_rate), 6) avg_match_rate from genr""",
+    "full_report": f"""with {_HIT_RANKS.replace(RESULTS, ANSWERS)}, {_GEN.replace(ANSWERS + ",", "", 1)},
+r as (select count(*)::double total_queries, count(hit_rank)::double / count(*) recall_at_k, avg(rr) mrr, count(hit_rank)::double hit_count, (count(*) filter (has_answer_in_doc))::double queries_with_answer,
+  count(hit_rank) filter (has_answer_in_doc)::double / count(*) filter (has_answer_in_doc) answer_recall from hits),
+g as (select count(*)::double total, (count(*) filter (refused))::double refusals, avg(case when has_answer_in_doc then faithful::int end) faithful_with_answer, avg(case when not has_answer_in_doc then faithful::int end) faithful_without_answer,
+  avg(faithful::int) faithful_overall, avg(match_rate) avg_match_rate from genr)
+select 'retrieval' part, name metric, round(value, 6) value from (unpivot r on *) union all select 'generation', name, round(value, 6) from (unpivot g on *)""",
     "tune_topk": f"""with {_HIT_RANKS}, d as (select unnest([1, 2, 3, 5]) depth), s as (select depth, round(avg(coalesce(hit_rank <= depth, false)::int), 6) recall, round(avg(case when hit_rank <= depth then rr else 0 end), 6) mrr, count(*) filter (hit_rank <= depth) hit_count from d cross join hits group by 1)
 select depth, recall, mrr, hit_count, row_number() over (order by recall desc, mrr desc, depth) = 1 is_best from s""",
     "distinct_versions": f"with {VERSIONS} select version_id, file_name, hash, ts from vers",

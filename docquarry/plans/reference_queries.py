@@ -236,6 +236,13 @@ def _ranked(t: Tables, k: int) -> DataFrame:
     return lexical.top_chunks(scores, t.asked, current, k)
 
 
+@query
+def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    current = materialize(t.current, "current")
+    return lexical.bm25_scores(lexical.build_index(current), t.asked).withColumn("score", F.round("score", 6))
+
+
 @query
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(Tables(spark, d), 5).withColumn("score", F.round("score", 6))
@@ -515,6 +522,14 @@ def generation_eval(spark: SparkSession, d: str) -> DataFrame:
     return report.withColumns({c: F.round(c, 6) for c in report.columns if c not in ("total", "refusals")})
 
 
+@query
+def full_report(spark: SparkSession, d: str) -> DataFrame:
+    t = Tables(spark, d)
+    found = evaluate.retrieval_report(t.runs, evaluate.first_hits(t.runs, _by_run(t.results)))
+    report = evaluate.full_report(found, evaluate.generation_report(evaluate.generation_details(_answers(t))))
+    return report.withColumn("value", F.round("value", 6))
+
+
 @query
 def tune_topk(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
