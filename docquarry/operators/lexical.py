@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import tokens
+from docquarry.storage import materialize
 
 
 def current_chunks(chunks: DataFrame) -> DataFrame:
@@ -32,13 +33,19 @@ class Index:
 
 
 def build_index(chunks: DataFrame, epsilon: float = 0.25) -> Index:
-    """Postings, lengths, inverse document frequencies (negative ones become epsilon times their mean) and totals."""
-    toks = chunks.select("row_id", tokens(F.col("text")).alias("toks"))
-    lengths = toks.select("row_id", F.size("toks").alias("dl"))
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = toks.select("row_id", F.explode("toks").alias("term")).groupBy("term", "row_id").agg(F.count(F.lit(1)).alias("tf"))
+    """Postings, lengths, inverse document frequencies (negative ones become epsilon times their mean) and totals.
+
+    Texts are read and tokenized once: the postings are written to the shared folder and all other tables come from
+    them.  (An outer explode keeps the optimizer from inferring a filter that would tokenize every text twice.)
+    """
+    toks = chunks.select("row_id", F.explode_outer(tokens(F.col("text"))).alias("term"))
+    counted = materialize(toks.groupBy("term", "row_id").agg(F.count("term").alias("tf")), "postings")
+    lengths = counted.groupBy("row_id").agg(F.sum("tf").alias("dl"))
+    corpus = materialize(lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "corpus")
+    postings = counted.where("term is not null")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.join(F.broadcast(corpus.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
+    raw = materialize(raw, "terms")
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw"))
     terms = raw.join(F.broadcast(mean)).select("term", "df", idf.alias("idf"))  # one row

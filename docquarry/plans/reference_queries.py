@@ -13,7 +13,7 @@ from docquarry.operators import chunking, evaluate, fusion, gates, graph, lexica
 from docquarry.plans import retrieval
 from docquarry.plans.reference_oracles import ORACLES  # noqa: F401
 from docquarry.sources import loaders, sinks
-from docquarry.sources.tables import read_table
+from docquarry.sources.tables import read_table, spread
 from docquarry.storage import materialize
 from docquarry.streaming.limiter import hourly_counts
 
@@ -33,7 +33,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.folder, name)
+        df = read_table(self.spark, self.folder, name)
+        return spread(df) if name in ("chunks", "documents") else df
 
     @property
     def current(self) -> DataFrame:
