@@ -15,9 +15,11 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary folder is set only where the setting is missing (tests)."""
+    """The cluster's checkpoint folder; where it is missing, a temporary folder in local mode (tests)."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_KEY} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docquarry-")
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
