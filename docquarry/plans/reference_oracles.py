@@ -284,6 +284,16 @@ select request_id, case when error is null then q end query, case when error is
 select index_key, string_agg(t, chr(10) order by pos) as text from p group by 1""",
     "short_text_fallback": f"""with s as (select row_id, text, case when length({q.strip("coalesce(text, '')")}) > 150 then text else {q.strip("coalesce(text, '') || chr(10) || coalesce(chunk_id, '')")} end t from chunks)
 select row_id, length(t)::int chars, length({q.strip("t")}) <= 150 rejected from s""",
+    "html_text": f"""with p0 as (select doc_id, '<html><script>x=1<2</script><p>' || replace(text, chr(10), '<br/>') || '</p>&amp;<b>end</b></html>' t from documents),
+p1 as (select doc_id, regexp_replace(regexp_replace(t, '(?is)<script[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style[^>]*>.*?</style\\s*>', ' ', 'g') t from p0),
+p2 as (select doc_id, regexp_replace(regexp_replace(t, '(?i)<(br|/p|/div|/h[1-6]|/li|/tr)[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g') t from p1),
+p3 as (select doc_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') t from p2),
+p4 as (select doc_id, regexp_replace(regexp_replace(t, '[ \\t\\r\\f\\x0b\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g') t from p3)
+select doc_id, {q.strip("regexp_replace(t, '\\n{2,}', chr(10), 'g')")} as text from p4""",
+    "clean_answers": f"""with {q.ASKED}, a as (select query_id, has_answer_in_doc h, {q.strip(q.nfkc("query"))} t from asked),
+b as (select query_id, h, regexp_replace(regexp_replace(t, '^\\s*["''{{]+', ''), '["''}}]+\\s*$', '') t from a),
+c as (select query_id, h, regexp_replace(t, '\\n?\\s*["'']?[0-9]+\\s*([^"\\n]{{2,20}})["'']?\\s*:', chr(10) || chr(10) || '\\1:', 'g') t from b)
+select query_id, case when h = false then {q.text(REFUSALS[0])} else {q.strip("regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g')")} end answer from c""",
     "graph_export": f"""with {EDGES}, n as (select index_key, count(*)::int nodes from semantic_graph group by 1), e as (select index_key, count(*)::int edges from edges group by 1), m as (select distinct index_key from entity_chunks)
 select index_key, coalesce(nodes, -1)::int nodes, coalesce(edges, -1)::int edges from n full join e using (index_key) full join m using (index_key)""",
 }
