@@ -94,31 +94,25 @@ def token_windows(parents: DataFrame, key: str = "index_key", size: int = 220, o
     """(key, parent_pos, parent_id, child_pos, chunk_id, text): windows of ``size`` tokens cut at token offsets.
 
     Tokens are single Han characters, words and marks.  The text of a window runs from its first to its last token;
-    the last window is the first that reaches the end.  Offsets come from the running length of alternating tokens and
-    gaps, so the whole operator stays in built-in functions.
+    the last window is the first that reaches the end.  Offsets are running lengths of alternating tokens and gaps; a
+    token goes to the one or two windows that hold it, and a window is the span of its tokens.
     """
     token = r"[\x{3400}-\x{9fff}]|[A-Za-z0-9_]+|(?U)[^\s]"
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"(?U)\\s+|{token}"), 0)
-    ends = F.aggregate(
-        F.col("_pieces"),
-        F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("spans"), F.lit(0).alias("at")),
-        lambda acc, p: F.struct(
-            F.when(
-                p.rlike(r"(?U)^\s"), acc["spans"]
-            ).otherwise(F.array_append(acc["spans"], F.struct(acc["at"].alias("s"), (acc["at"] + F.length(p)).alias("e")))).alias("spans"),
-            (acc["at"] + F.length(p)).alias("at"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    rows = parents.withColumn("_pieces", pieces).withColumn("_spans", ends).where(F.size("_spans") > 0)
     step = max(1, size - overlap)
-    last = F.greatest(F.ceil((F.size("_spans") - size) / step), F.lit(0)).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(
-        F.element_at("_spans", k * step + 1)["s"].alias("s"),
-        F.element_at("_spans", F.least(k * step + size, F.size("_spans")))["e"].alias("e"),
-    ))
-    out = rows.select(key, "parent_pos", "parent_id", "text", F.posexplode(windows).alias("child_pos", "w"))
-    body = strip(F.substring(F.col("text"), F.col("w.s") + 1, F.col("w.e") - F.col("w.s")))
+    group = [key, "parent_pos"]
+    order = W.partitionBy(*group).orderBy("_i")
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"(?U)\\s+|{token}"), 0)
+    rows = parents.select(*group, F.posexplode(pieces).alias("_i", "_s"))
+    rows = rows.withColumn("_e", F.sum(F.length("_s")).over(order)).where(~F.col("_s").rlike(r"(?U)^\s"))
+    rows = rows.withColumn("_n", F.row_number().over(order) - 1).withColumn("_c", F.count(F.lit(1)).over(W.partitionBy(*group)))
+    low = F.greatest(F.lit(0), F.floor((F.col("_n") - size) / step) + 1).cast("int")
+    last = F.greatest(F.ceil((F.col("_c") - size) / step), F.lit(0))
+    high = F.least(F.floor(F.col("_n") / step), last).cast("int")
+    rows = rows.withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
+    spans = rows.select(*group, "_s", "_e", F.explode(F.sequence("_low", "_high")).alias("child_pos")).groupBy(*group, "child_pos")
+    spans = spans.agg(F.min(F.col("_e") - F.length("_s")).alias("_from"), F.max("_e").alias("_to"))
+    out = parents.join(spans, group)
+    body = strip(F.substring(F.col("text"), (F.col("_from") + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int")))
     return out.select(key, "parent_pos", "parent_id", "child_pos", content_id(F.concat("parent_id", body), 12).alias("chunk_id"), body.alias("text"))
 
 

@@ -154,6 +154,15 @@ select doc_id, coalesce(regex_parents, 0)::int regex_parents, coalesce(similar_p
     "char_windows": f"""with recursive {q.PARENTS},
 wins as (select doc_id, parent_pos, parent_id, (k / 170)::int child_pos, {q.strip("substr(text, k + 1, 220)")} as text from (select *, unnest(range(0, length(text), 170)) k from parent_rows))
 select doc_id, parent_pos, parent_id, child_pos, left(sha256(parent_id || text), 12) chunk_id, text from wins where text <> ''""",
+    "token_windows": f"""with recursive {q.PARENTS},
+pieces as (select doc_id, parent_pos, parent_id, text, generate_subscripts(p, 1) i, unnest(p) s from (select *, regexp_extract_all(text, '\\s+|[\\x{{3400}}-\\x{{9fff}}]|[A-Za-z0-9_]+|[^\\s]') p from parent_rows)),
+spans as (select *, sum(length(s)) over (partition by doc_id, parent_pos order by i) e from pieces),
+tok as (select doc_id, parent_pos, parent_id, text, e - length(s) st, e en, row_number() over (partition by doc_id, parent_pos order by i) - 1 n from spans where not regexp_matches(s, '^\\s')),
+cnt as (select doc_id, parent_pos, parent_id, text, count(*) c from tok group by all),
+win as (select *, unnest(range(0, greatest(ceil((c - 220) / 170.0)::int, 0) + 1)) k from cnt),
+cut as (select w.doc_id, w.parent_pos, w.parent_id, w.k::int child_pos, {q.strip("substr(w.text, a.st::int + 1, (b.en - a.st)::int)")} as text from win w join tok a on a.doc_id = w.doc_id and a.parent_pos = w.parent_pos and a.n = k * 170
+  join tok b on b.doc_id = w.doc_id and b.parent_pos = w.parent_pos and b.n = least(k * 170 + 220, c) - 1)
+select doc_id, parent_pos, parent_id, child_pos, left(sha256(parent_id || text), 12) chunk_id, text from cut""",
     "parent_children": f"with {q.CURRENT} select index_key, parent_id, list(chunk_id order by pos, row_id, chunk_id) children from cur where parent_id is not null group by all",
     "chunk_stats": f"""with {q.CURRENT},
 l as (select index_key, list_sort(list(length(text))) l, count(*) chunks, round(avg(length(text)), 1) avg_len, min(length(text))::int min_len, max(length(text))::int max_len, count(distinct parent_id) parents, count(*) filter (parent_id is null) orphans, count(parent_id) k from cur group by 1)
