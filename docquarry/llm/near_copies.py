@@ -1,13 +1,13 @@
-"""Problem 2: near-duplicate texts by meet-in-the-middle ball hashing.
-
-Texts are compared in their printed form (problem 1).  Each distinct text gets ``TABLES`` binary fingerprints of 32
-bits: one bit of each of 32 minima of a one-permutation min-hash over its distinct character trigrams, so bits differ
-with probability (1 - J) / 2.  Trigrams that stand in more than a tenth of all texts tell texts of one kind apart
-badly and are left out of the fingerprint (not of the similarity).  Two fingerprints at Hamming distance <= 2 meet in a variant at distance <= 1 from both.
-All 33 variants of a fingerprint are (left, right) halves with at most one flipped bit; rows are shuffled on the right
-half of the variants (one row for the intact half, sixteen for its flips), and the variants of the left half are
-spread after the shuffle.  Colliding pairs are deduplicated, thinned by the distance of all bits, and verified by
-the exact trigram similarity.
+"""Problem 2: near-duplicate texts by meet-in-the-middle ball hashing and min-hash bands.
+
+Texts are compared in their printed form (problem 1).  Candidates come from two sources, and are thinned by a sketch of
+all trigrams before the exact trigram similarity decides:
+
+* Bands: ``BANDS`` keys of ``DEEP`` minima each over all distinct trigrams; two texts of similarity J share a key with
+  probability 1 - (1 - J^DEEP)^BANDS, whatever trigrams they share.
+* Balls: ``TABLES`` fingerprints of 32 bits, one bit of each of 32 minima over the rarer trigrams (those in at most a
+  tenth of all texts).  Two fingerprints at Hamming distance <= 2 agree in one of three blocks; rows are shuffled on the
+  blocks, and inside a block both meet in a variant at distance <= 1 from both.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ TABLES = 6
 BITS = 32
 BINS = TABLES * BITS
 SMALL_BUCKET = 48  # up to here all pairs of a variant are candidates; larger ones are linked to leaders
-SLACK = 1.5  # standard deviations allowed to the fingerprint distance before exact verification
-LOSS = 0.06  # by which the similarity of the rarer trigrams may be below that of all
+BANDS = 24  # keys over all trigrams
+DEEP = 8  # minima of a key
+SKETCH = 192  # bits over all trigrams that thin the candidates
+SLACK = 4.0  # standard deviations allowed to the sketch distance before exact verification
 COMMON = 0.10  # share of the texts above which a trigram is common
 CELLS = 20  # bits of the table that trigrams are counted in, of fixed size
 FEW = 0.25  # texts with a smaller share of rarer trigrams are fingerprinted by all of theirs
@@ -96,6 +98,40 @@ def fingerprints(texts: list[str], common: np.ndarray | None = None) -> np.ndarr
     return (bit.reshape(n, TABLES, BITS) << np.arange(BITS, dtype=np.uint32)).sum(2, dtype=np.uint64).astype(np.uint32)
 
 
+def all_minima(texts: list[str], functions: int) -> np.ndarray:
+    """uint32 array (texts, functions, BANDS): minima over all distinct trigrams, in BANDS bins of each hash function."""
+    n = len(texts)
+    h, doc = trigram_hashes(texts)
+    empty = np.uint32(0xFFFFFFFF)
+    out = np.full((n, functions, BANDS), empty, np.uint32)
+    for f in range(functions):
+        g = _mix((h + np.uint64(f + 1)) * _M1)
+        low = np.full(n * BANDS, empty, np.uint32)
+        np.minimum.at(low, doc * BANDS + ((g >> np.uint64(32)) * np.uint64(BANDS) >> np.uint64(32)).astype(np.int64), (g & np.uint64(0xFFFFFFFE)).astype(np.uint32))
+        low = low.reshape(n, BANDS)
+        step = np.zeros((n, BANDS), np.uint32)
+        by = 1
+        while by < BANDS and (gap := low == empty).any():  # an empty bin borrows from the right, at doubling distances
+            low, step = np.where(gap, np.roll(low, -by, 1), low), np.where(gap, np.roll(step, -by, 1) + np.uint32(by), step)
+            by *= 2
+        out[:, f] = low + step * np.uint32(0x9E3779B1)
+    return out
+
+
+def sketches(minima: np.ndarray) -> np.ndarray:
+    """uint8 array (texts, SKETCH / 8): one bit of each of the first SKETCH minima."""
+    low = minima.reshape(len(minima), -1)[:, :SKETCH]
+    return np.packbits((low * np.uint32(0x85EBCA6B) >> np.uint32(17) & np.uint32(1)).astype(np.uint8), axis=1)
+
+
+def band_keys(minima: np.ndarray) -> np.ndarray:
+    """uint64 array (texts, BANDS): a key of the DEEP minima in each bin."""
+    key = np.zeros((len(minima), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for f in range(DEEP):
+        key = _mix(key * _M1 + minima[:, f].astype(np.uint64) + np.uint64(1))
+    return key
+
+
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``, so that arrays per character stay small."""
     for b in batches:
@@ -126,95 +162,98 @@ def common_cells(rows: DataFrame) -> np.ndarray:
     return flags
 
 
+def _form(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _sign(common: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(row_id, text) -> (row_id, n, form, sig): number of characters, digest of the printed form, fingerprints."""
+    """(row_id, text) -> (row_id, n, form, sig, sketch): number of characters, digest of the printed form, fingerprints."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(np.frombuffer(common, np.uint8)).astype(bool)
-        for b in _slices(batches, 2000):
+        for b in _slices(batches, 1000):
             texts = [canonical(x) for x in b.column(1).to_pylist()]
             sig = fingerprints(texts, flags)
+            sketch = sketches(all_minima(texts, -(-SKETCH // BANDS)))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
                     pa.array([len(x) for x in texts], pa.int32()),
-                    pa.array([hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in texts], pa.binary()),
+                    pa.array([_form(x) for x in texts], pa.binary()),
                     pa.array([r.tobytes() for r in sig], pa.binary()),
+                    pa.array([r.tobytes() for r in sketch], pa.binary()),
                 ],
-                names=["row_id", "n", "form", "sig"],
+                names=["row_id", "n", "form", "sig", "sketch"],
             )
 
     return sign
 
 
-class Buckets:
-    """Places (table and right half of a variant) by shuffle bucket; the same in every task."""
-
-    def __init__(self, buckets: int):
-        place = np.arange(TABLES << 16, dtype=np.uint32)
-        self.of = ((place * np.uint32(0x9E3779B1) >> np.uint32(8)) % np.uint32(buckets)).astype(np.int64)
-        order = np.argsort(self.of, kind="stable")
-        self.edge = np.searchsorted(self.of[order], np.arange(buckets + 1))
-        self.places = order.astype(np.uint32)  # ascending inside each bucket
-        self.rank = np.empty(len(order), np.int64)
-        self.rank[order] = np.arange(len(order)) - self.edge[self.of[order]]
+# the blocks of a fingerprint: two within distance 2 agree in one of them
+BLOCKS = np.array([0x7FF, 0x7FF << 11, 0x3FF << 22], np.uint32)
 
 
-def _emit(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(rep, sig) -> (bucket, blob): the ball's rows by right half of the variant, packed by shuffle bucket.
+def _pack(ids: np.ndarray, who: np.ndarray, bucket: np.ndarray, code: np.ndarray, load: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, blob): a blob holds the ids of a batch once, the number of rows of each, and the rows' codes and loads.
 
-    A blob holds its ids once, then the rows with an intact right half and those with a flipped one, each as the number
-    of rows at each place of the bucket, their left halves and the numbers of their ids, in order of place.
+    ``who`` is the number of the row's id, ``code`` its table (and block), ``load`` 32 bits.
     """
+    order = np.argsort(bucket * len(ids) + who, kind="stable")
+    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    blobs, keys = [], []
+    for k in range(buckets):
+        o = order[edge[k] : edge[k + 1]]
+        if not len(o):
+            continue
+        n = np.bincount(who[o], minlength=len(ids))
+        kept = np.flatnonzero(n)
+        head = np.array([len(kept), len(o)], np.int64).tobytes()
+        blobs.append(head + ids[kept].tobytes() + n[kept].astype(np.uint8).tobytes() + code[o].astype(np.uint8).tobytes() + load[o].astype(np.uint32).tobytes())
+        keys.append(k)
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, codes and loads of the rows of a blob."""
+    n, rows = np.frombuffer(blob, np.int64, 2)
+    ids = np.frombuffer(blob, np.int64, n, 16)
+    many = np.frombuffer(blob, np.uint8, n, 16 + 8 * n)
+    at = 16 + 9 * n
+    return np.repeat(ids, many), np.frombuffer(blob, np.uint8, rows, at), np.frombuffer(blob, np.uint32, rows, at + rows)
+
+
+def _emit(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(rep, sig) -> (bucket, blob): each fingerprint once for each of its blocks."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Buckets(buckets)
-        flips = np.concatenate([[0], 1 << np.arange(16)]).astype(np.uint32)
         for b in batches:
             ids = b.column(0).to_numpy()
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(len(ids), TABLES)
-            r = (sig & np.uint32(0xFFFF))[:, :, None] ^ flips  # (row, table, variant)
-            place = (r | (np.arange(TABLES, dtype=np.uint32) << np.uint32(16))[None, :, None]).ravel()
-            flipped = np.broadcast_to(flips > 0, r.shape).ravel()
-            lefts = np.broadcast_to((sig >> np.uint32(16)).astype(np.uint16)[:, :, None], r.shape).ravel()
-            who = np.broadcast_to(np.arange(len(ids))[:, None, None], r.shape).ravel()
-            bucket = known.of[place]
-            order = np.argsort(bucket << 33 | flipped.astype(np.int64) << 32 | place, kind="stable")
-            part = np.searchsorted((bucket * 2 + flipped)[order], np.arange(2 * buckets + 1))
-            blobs, keys = [], []
-            for k in range(buckets):
-                o = order[part[2 * k] : part[2 * k + 2]]
-                if not len(o):
-                    continue
-                n, inv = np.unique(who[o], return_inverse=True)
-                small = inv.astype(np.uint16 if len(n) < 65536 else np.uint32)
-                m = part[2 * k + 1] - part[2 * k]
-                spots = known.edge[k + 1] - known.edge[k]
-                counts = [np.bincount(known.rank[place[x]], minlength=spots).astype(np.uint32) for x in (o[:m], o[m:])]
-                wide = any((c > 255).any() for c in counts)
-                head = np.array([len(n), m, len(o), wide], np.int64).tobytes()
-                packed = b"".join(c.astype(np.uint32 if wide else np.uint8).tobytes() for c in counts)
-                blobs.append(head + ids[n].tobytes() + packed + small.tobytes() + lefts[o].tobytes())
-                keys.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(len(ids), TABLES, 1)
+            code = np.arange(TABLES * len(BLOCKS), dtype=np.uint64).reshape(TABLES, len(BLOCKS))
+            place = _mix(((sig & BLOCKS).astype(np.uint64) << np.uint64(8) | code) * _M1)
+            shape = place.shape
+            flat = lambda x: np.broadcast_to(x, shape).ravel()
+            bucket = (place % np.uint64(buckets)).astype(np.int64).ravel()
+            yield _pack(ids, flat(np.arange(len(ids))[:, None, None]), bucket, flat(code), flat(sig), buckets)
 
     return emit
 
 
-def _unpack(places: np.ndarray, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Variant keys (table, left, right), whether the right half is intact, and ids of the rows of a blob."""
-    n, m, rows, wide = np.frombuffer(blob, np.int64, 4)
-    at = 32
-    ids = np.frombuffer(blob, np.int64, n, at)
-    at += 8 * n
-    counts = np.frombuffer(blob, np.uint32 if wide else np.uint8, 2 * len(places), at)
-    at += counts.nbytes
-    kind = np.uint16 if n < 65536 else np.uint32
-    inv = np.frombuffer(blob, kind, rows, at)
-    left = np.frombuffer(blob, np.uint16, rows, at + inv.nbytes).astype(np.uint64)
-    place = np.repeat(np.r_[places, places], counts).astype(np.uint64)
-    key = place >> np.uint64(16) << np.uint64(32) | left << np.uint64(16) | place & np.uint64(0xFFFF)
-    return key, np.arange(rows) < m, ids[inv]
+def _emit_bands(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(row_id, text) -> (bucket, blob): the band keys of each distinct printed form, under the form's mark."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches, 2000):
+            texts = sorted({x for x in map(canonical, b.column(1).to_pylist()) if len(x) >= 3})
+            if not texts:
+                continue
+            marks = np.frombuffer(b"".join(_form(x)[:8] for x in texts), ">i8").astype(np.int64)
+            key = band_keys(all_minima(texts, DEEP))
+            who = np.repeat(np.arange(len(texts)), BANDS)
+            bucket = (key >> np.uint64(32)) % np.uint64(buckets)
+            yield _pack(marks, who, bucket.astype(np.int64).ravel(), np.tile(np.arange(BANDS), len(texts)), key.ravel() & np.uint64(0xFFFFFFFF), buckets)
+
+    return emit
 
 
 def _pairs_of_runs(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,38 +277,46 @@ def _pairs_of_runs(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _meet(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(bucket, blob) of whole buckets, sorted by bucket -> (a, b): pairs that share a variant, once per bucket."""
-    flips = np.concatenate([[0], 1 << np.arange(16)]).astype(np.uint64) << np.uint64(16)
-
-    def solve(places: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
-        key, intact, ids = (np.concatenate(x) for x in zip(*(_unpack(places, b) for b in blobs)))
-        k = np.concatenate([key[~intact], (key[intact][:, None] ^ flips).ravel()])
-        i = np.concatenate([ids[~intact], np.repeat(ids[intact], 17)])
-        # keep only variants that occur more than once before the full sort
-        order = np.argsort(k, kind="stable")
-        k, i = k[order], i[order]
-        twice = np.r_[k[1:] == k[:-1], False]
-        twice[1:] |= k[1:] == k[:-1]
-        k, i = k[twice], i[twice]
-        a, b = _pairs_of_runs(k, i) if len(k) else (i, i)
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        both = np.unique(np.stack([lo, hi], 1)[lo != hi], axis=0) if len(lo) else np.zeros((0, 2), np.int64)
+def _meet(balls: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bucket, blob) of whole buckets, sorted by bucket -> (a, b): pairs that share a variant or a key, once per bucket."""
+
+    def solve(blobs: list[bytes]) -> pa.RecordBatch:
+        ids, code, load = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
+        order = np.argsort(code, kind="stable")
+        edge = np.searchsorted(code[order], np.arange(257))
+        found = [np.zeros((0, 2), np.int64)]
+        for c in np.unique(code):
+            o = order[edge[c] : edge[c + 1]]
+            k, i = load[o], ids[o]
+            if balls:
+                outside = 1 << np.flatnonzero((int(~BLOCKS[c % len(BLOCKS)]) >> np.arange(32)) & 1)
+                flips = np.r_[0, outside].astype(np.uint32)
+                k, i = (k[:, None] ^ flips).ravel(), np.repeat(i, len(flips))
+            # keep only keys that occur more than once
+            order_k = np.lexsort((i, k))
+            k, i = k[order_k], i[order_k]
+            first = np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])]
+            k, i = k[first], i[first]
+            twice = np.r_[k[1:] == k[:-1], False]
+            twice[1:] |= k[1:] == k[:-1]
+            k, i = k[twice], i[twice]
+            if len(k):
+                a, b = _pairs_of_runs(k, i)
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        both = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Buckets(buckets)
-        places = lambda k: known.places[known.edge[k] : known.edge[k + 1]]
         at, held = None, []
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if bucket != at and held:
-                    yield solve(places(at), held)
+                    yield solve(held)
                     held = []
                 at = bucket
                 held.append(blob)
         if held:
-            yield solve(places(at), held)
+            yield solve(held)
 
     return meet
 
@@ -304,48 +351,62 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signed_rows(chunks: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
-    """(row_id, rep, n, sig): each non-null text, and the smallest key of the rows that print exactly alike."""
+    """(row_id, rep, n, mark, sig, sketch): each non-null text, and the smallest key of the rows that print exactly alike."""
     rows = chunks.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"))
     sign = _sign(np.packbits(common_cells(rows)).tobytes())
-    signed = materialize(rows.mapInArrow(sign, "row_id bigint, n int, form binary, sig binary"), "signed")
+    signed = materialize(rows.mapInArrow(sign, "row_id bigint, n int, form binary, sig binary, sketch binary"), "signed")
     reps = signed.groupBy("form").agg(F.min("row_id").alias("rep"))
-    return materialize(signed.join(reps, "form").select("row_id", "rep", "n", "sig"), "print-copies")
+    mark = F.conv(F.hex(F.substring("form", 1, 8)), 16, -10).cast("bigint").alias("mark")
+    return materialize(signed.join(reps, "form").select("row_id", "rep", "n", mark, "sig", "sketch"), "print-copies")
+
+
+def _met(rows: DataFrame, balls: bool) -> DataFrame:
+    """(a, b) of the ids whose rows meet."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    emit = _emit(parts) if balls else _emit_bands(parts)
+    blobs = rows.mapInArrow(emit, "bucket int, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return blobs.mapInArrow(_meet(balls), "a bigint, b bigint")
 
 
 def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """(a, b) of representatives whose balls meet and whose whole fingerprints are near enough."""
-    spark = signed.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    reps = signed.where("row_id = rep and n >= 3").select("rep", "sig")
-    met = (
-        reps.mapInArrow(_emit(parts * 4), "bucket int, blob binary")
-        .repartition(parts, "bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(_meet(parts * 4), "a bigint, b bigint")
-        .distinct()
-    )
-    sa = signed.where("row_id = rep").select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
-    sb = sa.select(F.col("a").alias("b"), F.col("sig_a").alias("sig_b"), F.col("n_a").alias("n_b"))
-    return met.join(sa, "a").join(sb, "b")
+    """(a, b) of representatives whose balls meet."""
+    return _met(signed.where("row_id = rep and n >= 3").select("rep", "sig"), True).distinct()
 
 
-def similar_pairs(chunks: DataFrame, signed: DataFrame, threshold: float, key: str = "row_id", text: str = "text") -> DataFrame:
-    """(a, b, similarity): verified pairs of representatives with trigram similarity >= threshold."""
-    least = threshold - LOSS
-    most = BINS * (1 - least) / 2 + SLACK * float(np.sqrt(BINS * (1 - least) / 2 * (1 + least) / 2))
+def band_pairs(chunks: DataFrame, signed: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
+    """(a, b) of representatives that share a band key."""
+    rows = chunks.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"))
+    met = _met(rows, False).distinct()
+    marks = signed.where("row_id = rep")
+    for side in ("a", "b"):
+        met = met.join(marks.select(F.col("mark").alias(side), F.col("rep").alias(f"rep_{side}")), side).drop(side)
+    return met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+
+
+def near_enough(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sketches are within SLACK standard deviations of what the threshold lets expect."""
+    apart = (1 - threshold) / 2
+    most = int(SKETCH * apart + SLACK * float(np.sqrt(SKETCH * apart * (1 - apart))))
 
     @F.pandas_udf(T.IntegerType())
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         x = np.frombuffer(b"".join(a), np.uint64) ^ np.frombuffer(b"".join(b), np.uint64)
-        return pd.Series(np.bitwise_count(x).reshape(-1, BINS // 64).sum(1).astype(np.int32))
-
-    near = materialize(
-        candidate_pairs(signed)
-        .where(F.least("n_a", "n_b") + 2 >= threshold * (F.greatest("n_a", "n_b") - 2) * 0.5)
-        .where(distance("sig_a", "sig_b") <= int(most))
-        .select("a", "b"),
-        "near-pairs",
-    )
+        return pd.Series(np.bitwise_count(x).reshape(-1, SKETCH // 64).sum(1).astype(np.int32))
+
+    own = signed.where("row_id = rep")
+    for side in ("a", "b"):
+        pairs = pairs.join(own.select(F.col("rep").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+    return pairs.where(distance("sketch_a", "sketch_b") <= most).select("a", "b")
+
+
+def similar_pairs(chunks: DataFrame, signed: DataFrame, threshold: float, key: str = "row_id", text: str = "text") -> DataFrame:
+    """(a, b, similarity): verified pairs of representatives with trigram similarity >= threshold."""
+    met = candidate_pairs(signed).union(band_pairs(chunks, signed, key, text)).distinct()
+    return verified_pairs(materialize(near_enough(met, signed, threshold), "near-pairs"), chunks, threshold, key, text)
+
+
+def verified_pairs(near: DataFrame, chunks: DataFrame, threshold: float, key: str = "row_id", text: str = "text") -> DataFrame:
+    """(a, b, similarity): the candidates of a written table whose texts have trigram similarity >= threshold."""
     texts = chunks.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     # a table of at most WANTED cells, so of bounded size, keeps most other texts out of the shuffle

@@ -138,6 +138,26 @@ def test_every_pair_within_two_bits_meets(spark):
     assert {(1, k) for k in range(2, 7)} <= {tuple(r) for r in got}
 
 
+def changed_copies(rng, n, size, changed, before=""):
+    """(text, copy) pairs of random letters after ``before``, the copies with another ending."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    made = lambda k: "".join(rng.choices(letters, k=k))
+    bases = [made(size) for _ in range(n)]
+    return [(before + x, before + x[:-changed] + made(changed)) for x in bases]
+
+
+def test_copies_that_share_a_template(spark):
+    rng = random.Random(31)
+    template = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=150))
+    pairs = changed_copies(rng, 40, 150, 32, template)
+    rows = [x for p in pairs for x in p] + [p[0] for p in changed_copies(rng, 160, 300, 1)]  # a third shares the template
+    got = {r["row_id"]: r["group"] for r in near_copies.copy_groups(table(spark, list(enumerate(rows)), "row_id bigint, text string")).collect()}
+    sims = near_copies.trigram_similarity(pd.Series([p[0] for p in pairs]), pd.Series([p[1] for p in pairs]))
+    assert sims.min() > 0.75
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(40)) >= 37
+    assert len(set(got.values())) >= 200
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 def test_entities(spark):
     rows = [
