@@ -158,6 +158,17 @@ def test_copies_that_share_a_template(spark):
     assert len(set(got.values())) >= 200
 
 
+def test_copies_at_the_threshold(spark):
+    rng = random.Random(32)
+    pairs = [p for n in range(45, 53) for p in changed_copies(rng, 40, 300, n)]
+    sims = near_copies.trigram_similarity(pd.Series([p[0] for p in pairs]), pd.Series([p[1] for p in pairs]))
+    got = {r["row_id"]: r["group"] for r in near_copies.copy_groups(table(spark, list(enumerate(x for p in pairs for x in p)), "row_id bigint, text string")).collect()}
+    near = np.flatnonzero((sims >= 0.7) & (sims < 0.74))
+    assert len(near) >= 100
+    assert np.mean([got[2 * i] == got[2 * i + 1] for i in near]) >= 0.97
+    assert not any(got[2 * i] == got[2 * i + 1] for i in np.flatnonzero(sims < 0.7))
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 def test_entities(spark):
     rows = [
