@@ -29,7 +29,8 @@ from docquarry.storage import materialize
 TABLES = 6
 BITS = 32
 BINS = TABLES * BITS
-SMALL_BUCKET = 48  # up to here all pairs of a variant are candidates; larger ones are linked to leaders
+SMALL_BUCKET = 48  # up to here all pairs of a run are candidates at once; larger ones in two steps (similar_pairs)
+BLOCK = 512  # members of a large run that are compared with as many others in one group
 BANDS = 80  # keys over all trigrams; at similarity 0.70 one is shared with probability 0.991, at 0.75 with 0.9998
 DEEP = 8  # minima of a key
 SKETCH = 192  # bits over all trigrams that thin the candidates
@@ -256,35 +257,41 @@ def _emit_bands(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return emit
 
 
-def _pairs_of_runs(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs within runs of equal keys: all of a small run; to its first and next member of a larger one."""
+def _pairs_of_runs(key: np.ndarray, ids: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs within runs of equal keys: all of a small run; to its first and next member of a larger one.
+
+    Besides, the keys and members of the larger runs.
+    """
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
     out_a, out_b = [], []
-    for by in range(1, SMALL_BUCKET):
-        has = start[(size > by) & (size <= SMALL_BUCKET)]
+    for by in range(1, small):
+        has = start[(size > by) & (size <= small)]
         if not len(has):
             break
-        n = size[(size > by) & (size <= SMALL_BUCKET)] - by
+        n = size[(size > by) & (size <= small)] - by
         i = np.repeat(has - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         out_a.append(ids[i])
         out_b.append(ids[i + by])
-    for s, n in zip(start[size > SMALL_BUCKET], size[size > SMALL_BUCKET]):
+    for s, n in zip(start[size > small], size[size > small]):
         out_a += [np.full(n - 1, ids[s]), ids[s : s + n - 1]]
         out_b += [ids[s + 1 : s + n], ids[s + 1 : s + n]]
-    if not out_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_a), np.concatenate(out_b)
+    none = np.zeros(0, np.int64)
+    large = np.repeat(size > small, size)
+    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b]), key[large], ids[large]
 
 
-def _meet(balls: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(bucket, blob) of whole buckets, sorted by bucket -> (a, b): pairs that share a variant or a key, once per bucket."""
+def _meet(balls: bool, small: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(bucket, blob) of whole buckets, sorted by bucket -> (a, b, run).
+
+    Pairs that share a variant or a key, once per bucket, with a null run; members a of each run of more than ``small``.
+    """
 
     def solve(blobs: list[bytes]) -> pa.RecordBatch:
         ids, code, load = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
         order = np.argsort(code, kind="stable")
         edge = np.searchsorted(code[order], np.arange(257))
-        found = [np.zeros((0, 2), np.int64)]
+        found, members = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
         for c in np.unique(code):
             o = order[edge[c] : edge[c + 1]]
             k, i = load[o], ids[o]
@@ -301,10 +308,15 @@ def _meet(balls: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             twice[1:] |= k[1:] == k[:-1]
             k, i = k[twice], i[twice]
             if len(k):
-                a, b = _pairs_of_runs(k, i)
+                a, b, run, member = _pairs_of_runs(k, i, small)
                 found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-        both = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+                name = _mix((run.astype(np.uint64) | np.uint64(int(c) << 33 | balls << 32)) * _M1).astype(np.int64)
+                members.append(np.stack([member, name], 1))
+        both, of = np.unique(np.concatenate(found), axis=0), np.concatenate(members)
+        blank = lambda n: pa.nulls(n, pa.int64())
+        a = pa.array(np.r_[both[:, 0], of[:, 0]])
+        b, run = pa.concat_arrays([pa.array(both[:, 1].copy()), blank(len(of))]), pa.concat_arrays([blank(len(both)), pa.array(of[:, 1].copy())])
+        return pa.RecordBatch.from_arrays([a, b, run], names=["a", "b", "run"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -361,32 +373,70 @@ def signed_rows(chunks: DataFrame, key: str = "row_id", text: str = "text") -> D
 
 
 def _met(rows: DataFrame, balls: bool) -> DataFrame:
-    """(a, b) of the ids whose rows meet."""
+    """(a, b, run) of the ids whose rows meet, written: pairs, and the members a of the larger runs."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     emit = _emit(parts) if balls else _emit_bands(parts)
     blobs = rows.mapInArrow(emit, "bucket int, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return blobs.mapInArrow(_meet(balls), "a bigint, b bigint")
+    return materialize(blobs.mapInArrow(_meet(balls, SMALL_BUCKET), "a bigint, b bigint, run bigint").distinct(), "met")
+
+
+def ball_rows(signed: DataFrame) -> DataFrame:
+    """(a, b, run) of representatives whose balls meet."""
+    return _met(signed.where("row_id = rep and n >= 3").select("rep", "sig"), True)
 
 
 def candidate_pairs(signed: DataFrame) -> DataFrame:
     """(a, b) of representatives whose balls meet."""
-    return _met(signed.where("row_id = rep and n >= 3").select("rep", "sig"), True).distinct()
+    return ball_rows(signed).where("run is null").select("a", "b")
 
 
-def band_pairs(chunks: DataFrame, signed: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
-    """(a, b) of representatives that share a band key."""
+def band_rows(chunks: DataFrame, signed: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
+    """(a, b, run) of representatives that share a band key."""
     rows = chunks.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"))
-    met = _met(rows, False).distinct()
+    met = _met(rows, False)
     marks = signed.where("row_id = rep")
-    for side in ("a", "b"):
-        met = met.join(marks.select(F.col("mark").alias(side), F.col("rep").alias(f"rep_{side}")), side).drop(side)
-    return met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    of_a, of_b = (marks.select(F.col("mark").alias(x), F.col("rep").alias(f"rep_{x}")) for x in ("a", "b"))
+    met = met.join(of_a, "a").join(of_b, "b", "left").where("run is not null or rep_b is not null")
+    return met.select(F.least("rep_a", "rep_b").alias("a"), F.when(F.col("run").isNull(), F.greatest("rep_a", "rep_b")).alias("b"), "run")
+
+
+def _sketch_limit(threshold: float) -> int:
+    """The greatest distance of two sketches within SLACK standard deviations of what the threshold lets expect."""
+    apart = (1 - threshold) / 2
+    return int(SKETCH * apart + SLACK * float(np.sqrt(SKETCH * apart * (1 - apart))))
+
+
+def rest_of_runs(runs: DataFrame, links: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of members of one run (run, id) that ``links`` leave in different components, thinned by sketch.
+
+    A run is cut into blocks by hash and every pair of blocks is compared in a group of its own, so a hot run is spread.
+    """
+    comps = connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")
+    rows = runs.join(comps, "id", "left").select("run", "id", F.coalesce("component", "id").alias("component"))
+    sizes = rows.groupBy("run").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+    rows = rows.join(sizes.where("_lo <> _hi").select("run", F.ceil(F.col("size") / BLOCK).alias("blocks")), "run")
+    rows = rows.join(signed.where("row_id = rep").select(F.col("rep").alias("id"), "sketch"), "id")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    most = _sketch_limit(threshold)
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        left, right = frame[frame["own"] == frame["lo"]], frame[frame["own"] == frame["hi"]]
+        sides = [np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(-1, SKETCH // 64) for x in (left, right)]
+        out = [np.zeros((0, 2), np.int64)]
+        for n, (i, comp) in enumerate(zip(left["id"].to_numpy(), left["component"].to_numpy())):
+            far = np.bitwise_count(sides[0][n] ^ sides[1]).sum(1)
+            j = right["id"].to_numpy()[(far <= most) & (right["component"].to_numpy() != comp)]
+            out.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    return rows.groupBy("run", "lo", "hi").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def near_enough(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sketches are within SLACK standard deviations of what the threshold lets expect."""
-    apart = (1 - threshold) / 2
-    most = int(SKETCH * apart + SLACK * float(np.sqrt(SKETCH * apart * (1 - apart))))
+    most = _sketch_limit(threshold)
 
     @F.pandas_udf(T.IntegerType())
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -400,9 +450,20 @@ def near_enough(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFr
 
 
 def similar_pairs(chunks: DataFrame, signed: DataFrame, threshold: float, key: str = "row_id", text: str = "text") -> DataFrame:
-    """(a, b, similarity): verified pairs of representatives with trigram similarity >= threshold."""
-    met = candidate_pairs(signed).union(band_pairs(chunks, signed, key, text)).distinct()
-    return verified_pairs(materialize(near_enough(met, signed, threshold), "near-pairs"), chunks, threshold, key, text)
+    """(a, b, similarity): verified pairs of representatives with trigram similarity >= threshold.
+
+    Members of runs over SMALL_BUCKET are first compared with their first and next member; then all pairs of a run that
+    are not in one component yet, so that no link between components is left out.
+    """
+    met = ball_rows(signed).unionByName(band_rows(chunks, signed, key, text))
+    pairs = met.where("run is null").select("a", "b").distinct()
+    links = verified_pairs(materialize(near_enough(pairs, signed, threshold), "near-pairs"), chunks, threshold, key, text)
+    runs = materialize(met.where("run is not null").select("run", F.col("a").alias("id")).distinct(), "large-runs")
+    if runs.isEmpty():
+        return links
+    links = materialize(links, "near-links")
+    rest = materialize(rest_of_runs(runs, links, signed, threshold), "near-rest")
+    return links.unionByName(verified_pairs(rest, chunks, threshold, key, text))
 
 
 def verified_pairs(near: DataFrame, chunks: DataFrame, threshold: float, key: str = "row_id", text: str = "text") -> DataFrame:

@@ -169,6 +169,20 @@ def test_copies_at_the_threshold(spark):
     assert not any(got[2 * i] == got[2 * i + 1] for i in np.flatnonzero(sims < 0.7))
 
 
+def test_members_of_large_runs_meet_all_others(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    rng = random.Random(33)
+    texts = [p[0] for p in changed_copies(rng, 60, 300, 1)]
+    texts[40] = texts[5][:-20] + texts[40][:20]  # neither first nor neighbours in the run
+    ids = np.arange(60)
+    a, b, _run, member = near_copies._pairs_of_runs(np.zeros(60, np.int64), ids, near_copies.SMALL_BUCKET)
+    assert (5, 40) not in set(zip(a.tolist(), b.tolist())) and member.tolist() == ids.tolist()
+    sketch = near_copies.sketches(near_copies.all_minima(texts, -(-near_copies.SKETCH // near_copies.BANDS)))
+    signed = table(spark, [(i, i, bytearray(x.tobytes())) for i, x in enumerate(sketch)], "row_id bigint, rep bigint, sketch binary")
+    runs, links = table(spark, [(7, int(i)) for i in ids], "run bigint, id bigint"), table(spark, [(0, 1)], "a bigint, b bigint")
+    assert [tuple(r) for r in near_copies.rest_of_runs(runs, links, signed, 0.7).collect()] == [(5, 40)]
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 def test_entities(spark):
     rows = [
