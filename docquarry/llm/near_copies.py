@@ -1,43 +1,48 @@
-"""Problem 2: near-duplicate texts by meet-in-the-middle ball hashing and min-hash bands.
-
-Texts are compared in their printed form (problem 1).  Candidates come from two sources, and are thinned by a sketch of
-all trigrams before the exact trigram similarity decides:
-
-* Bands: ``BANDS`` keys of ``DEEP`` minima each over all distinct trigrams; two texts of similarity J share a key with
-  probability 1 - (1 - J^DEEP)^BANDS, whatever trigrams they share.
-* Balls: ``TABLES`` fingerprints of 32 bits, one bit of each of 32 minima over the rarer trigrams (those in at most a
-  tenth of all texts).  Two fingerprints at Hamming distance <= 2 agree in one of three blocks; rows are shuffled on the
-  blocks, and inside a block both meet in a variant at distance <= 1 from both.
+"""Problem 2: near-duplicate texts by meet-in-the-middle ball hashing.
+
+Texts are compared in their printed form (problem 1), by the share of their distinct character trigrams.
+
+A fingerprint is a set of ``PLACES`` elements (place, symbol of four bits), each symbol taken from the least of the
+text's trigrams under another hash; two texts of similarity J agree in a place with probability J + (1 - J) / 16.  The
+distance of two fingerprints is the number of elements that stand in only one of them.  Every fingerprint emits all
+variants with up to ``OUT`` elements taken out, which is half the radius of 2 * ``OUT``; so two fingerprints within the
+radius (at most two places apart) meet in a common variant, and others do not.  To ship little, rows are shuffled
+on the three blocks of a fingerprint, one of which two fingerprints within the radius share whole, and the variants are
+formed in their bucket.  With p = J + (1 - J) / 16 a pair meets in one table with probability
+p^10 + 10 p^9 (1 - p) + 45 p^8 (1 - p)^2, in one of ``TABLES`` independent ones with 0.967 at J = 0.70, 0.994 at 0.75
+and 0.9995 at 0.80.
+
+Colliding pairs are thinned in their bucket by a sketch of ``SKETCH`` bits over all trigrams, then the exact trigram
+similarity decides.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docquarry.llm.components import connected_components
 from docquarry.llm.print_forms import canonical
 from docquarry.storage import materialize
 
 TABLES = 6
-BITS = 32
-BINS = TABLES * BITS
-SMALL_BUCKET = 48  # up to here all pairs of a run are candidates at once; larger ones in two steps (similar_pairs)
-BLOCK = 512  # members of a large run that are compared with as many others in one group
-BANDS = 80  # keys over all trigrams; at similarity 0.70 one is shared with probability 0.991, at 0.75 with 0.9998
-DEEP = 8  # minima of a key
+PLACES = 10  # elements of a fingerprint, of four bits each
+OUT = 2  # elements that a variant leaves out: half the radius
+BLOCKS = ((0, 1, 2, 3), (4, 5, 6), (7, 8, 9))  # fingerprints that differ in at most OUT places agree in a block
 SKETCH = 192  # bits over all trigrams that thin the candidates
-SLACK = 4.0  # standard deviations allowed to the sketch distance before exact verification
-COMMON = 0.10  # share of the texts above which a trigram is common
-CELLS = 20  # bits of the table that trigrams are counted in, of fixed size
-FEW = 0.25  # texts with a smaller share of rarer trigrams are fingerprinted by all of theirs
+BINS = 128  # of each of two hash functions; TABLES * PLACES + SKETCH minima are used
+SLACK = 3.0  # standard deviations allowed to the sketch distance: a pair at the threshold is lost with probability 0.001
+SMALL_RUN = 48  # up to here all pairs of a run are compared by offsets, above in blocks
+BLOCK = 2048  # members of a run that are compared with as many others at once
+DENSE = 8  # near pairs a member from which a run links first and next members only; the rest follows (rest_of_runs)
+ROWS_A_BUCKET = 16_000  # texts a bucket, so that a task stays of one size however large the table is
 PAIRS_AT_ONCE = 512
 WANTED = 1 << 20
 
@@ -68,69 +73,38 @@ def trigram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h[inside], doc[:-2][inside]
 
 
-def fingerprints(texts: list[str], common: np.ndarray | None = None) -> np.ndarray:
-    """uint32 array (texts, TABLES); texts without a trigram get zeros and are never emitted.
-
-    ``common`` flags the cells of common trigrams; a text that has hardly any others (one of a very large family of
-    near copies) is fingerprinted by all of its trigrams.
-    """
+def minima(texts: list[str]) -> np.ndarray:
+    """uint32 array (texts, 2 * BINS): minima over all distinct trigrams, in BINS bins of each of two hash functions."""
     n = len(texts)
     h, doc = trigram_hashes(texts)
-    if common is not None and len(h):
-        rare = ~common[(h >> np.uint64(64 - CELLS)).astype(np.int64)]
-        few = np.bincount(doc[rare], minlength=n) < FEW * np.bincount(doc, minlength=n)
-        rare |= few[doc]
-        h, doc = h[rare], doc[rare]
-    # the cells take the leading bits, so bins take the ones after a second mixing
-    h = _mix(h * _M3)
     empty = np.uint32(0xFFFFFFFF)
-    low = np.full(n * BINS, empty, np.uint32)
-    slot = ((h >> np.uint64(40)) * np.uint64(BINS) >> np.uint64(24)).astype(np.int64)
-    np.minimum.at(low, doc * BINS + slot, (h & np.uint64(0xFFFFFFFE)).astype(np.uint32))
-    low = low.reshape(n, BINS)
-    step = np.zeros((n, BINS), np.uint32)
-    for _ in range(7):  # an empty bin borrows from the right, at doubling distances
-        gap = low == empty
-        if not gap.any():
-            break
-        by = 1 << _
-        low, step = np.where(gap, np.roll(low, -by, 1), low), np.where(gap, np.roll(step, -by, 1) + np.uint32(by), step)
-    bit = ((low + step * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B) >> np.uint32(17)) & np.uint32(1)
-    return (bit.reshape(n, TABLES, BITS) << np.arange(BITS, dtype=np.uint32)).sum(2, dtype=np.uint64).astype(np.uint32)
-
-
-def all_minima(texts: list[str], functions: int) -> np.ndarray:
-    """uint32 array (texts, functions, BANDS): minima over all distinct trigrams, in BANDS bins of each hash function."""
-    n = len(texts)
-    h, doc = trigram_hashes(texts)
-    empty = np.uint32(0xFFFFFFFF)
-    out = np.full((n, functions, BANDS), empty, np.uint32)
-    for f in range(functions):
+    out = []
+    for f in range(2):
         g = _mix((h + np.uint64(f + 1)) * _M1)
-        low = np.full(n * BANDS, empty, np.uint32)
-        np.minimum.at(low, doc * BANDS + ((g >> np.uint64(32)) * np.uint64(BANDS) >> np.uint64(32)).astype(np.int64), (g & np.uint64(0xFFFFFFFE)).astype(np.uint32))
-        low = low.reshape(n, BANDS)
-        step = np.zeros((n, BANDS), np.uint32)
+        low = np.full(n * BINS, empty, np.uint32)
+        slot = ((g >> np.uint64(40)) * np.uint64(BINS) >> np.uint64(24)).astype(np.int64)
+        np.minimum.at(low, doc * BINS + slot, (g & np.uint64(0xFFFFFFFE)).astype(np.uint32))
+        low = low.reshape(n, BINS)
+        step = np.zeros((n, BINS), np.uint32)
         by = 1
-        while by < BANDS and (gap := low == empty).any():  # an empty bin borrows from the right, at doubling distances
+        while by < BINS and (gap := low == empty).any():  # an empty bin borrows from the right, at doubling distances
             low, step = np.where(gap, np.roll(low, -by, 1), low), np.where(gap, np.roll(step, -by, 1) + np.uint32(by), step)
             by *= 2
-        out[:, f] = low + step * np.uint32(0x9E3779B1)
-    return out
+        out.append(low + step * np.uint32(0x9E3779B1))
+    return np.concatenate(out, 1)
 
 
-def sketches(minima: np.ndarray) -> np.ndarray:
-    """uint8 array (texts, SKETCH / 8): one bit of each of the first SKETCH minima."""
-    low = minima.reshape(len(minima), -1)[:, :SKETCH]
-    return np.packbits((low * np.uint32(0x85EBCA6B) >> np.uint32(17) & np.uint32(1)).astype(np.uint8), axis=1)
+def fingerprints(low: np.ndarray) -> np.ndarray:
+    """uint64 array (texts, TABLES): the symbols of PLACES minima each."""
+    symbol = (low[:, : TABLES * PLACES] * np.uint32(0x85EBCA6B) >> np.uint32(17) & np.uint32(15)).astype(np.uint64)
+    return (symbol.reshape(len(low), TABLES, PLACES) << np.arange(0, 4 * PLACES, 4, dtype=np.uint64)).sum(2, dtype=np.uint64)
 
 
-def band_keys(minima: np.ndarray) -> np.ndarray:
-    """uint64 array (texts, BANDS): a key of the DEEP minima in each bin."""
-    key = np.zeros((len(minima), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-    for f in range(DEEP):
-        key = _mix(key * _M1 + minima[:, f].astype(np.uint64) + np.uint64(1))
-    return key
+def sketches(low: np.ndarray) -> np.ndarray:
+    """uint64 array (texts, SKETCH / 64): one bit of each of SKETCH other minima."""
+    low = low[:, TABLES * PLACES : TABLES * PLACES + SKETCH]
+    bits = (low * np.uint32(0x85EBCA6B) >> np.uint32(17) & np.uint32(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.uint64)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -140,179 +114,162 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
             yield b.slice(lo, rows)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_id, text) -> (cell, n) of the cells in at least a tenth of COMMON of this task's texts; cell -1: all texts."""
-    counts, texts_seen = np.zeros(1 << CELLS, np.int64), 0
-    for b in _slices(batches, 2000):
-        texts = [canonical(x) for x in b.column(1).to_pylist()]
-        h, _doc = trigram_hashes(texts)
-        counts += np.bincount((h >> np.uint64(64 - CELLS)).astype(np.int64), minlength=1 << CELLS)
-        texts_seen += len(texts)
-    cells = np.flatnonzero(counts > 0.1 * COMMON * texts_seen)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.r_[-1, cells].astype(np.int32)), pa.array(np.r_[texts_seen, counts[cells]])], names=["cell", "n"]
-    )
-
-
-def common_cells(rows: DataFrame) -> np.ndarray:
-    """Flags of the cells whose trigrams stand in more than COMMON of all texts (a table of fixed size)."""
-    counted = rows.mapInArrow(_count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    total = sum(r["n"] for r in counted if r["cell"] < 0)
-    flags = np.zeros(1 << CELLS, bool)
-    flags[[r["cell"] for r in counted if r["cell"] >= 0 and r["n"] > COMMON * total]] = True
-    return flags
-
-
 def _form(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _sign(common: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row_id, text) -> (row_id, n, form, sig, sketch): number of characters, digest of the printed form, fingerprints."""
+    for b in _slices(batches, 1000):
+        texts = [canonical(x) for x in b.column(1).to_pylist()]
+        low = minima(texts)
+        sides = [[r.tobytes() for r in x] for x in (fingerprints(low), sketches(low))]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array([len(x) for x in texts], pa.int32()), pa.array([_form(x) for x in texts], pa.binary()), *(pa.array(x, pa.binary()) for x in sides)],
+            names=["row_id", "n", "form", "sig", "sketch"],
+        )
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(np.frombuffer(common, np.uint8)).astype(bool)
-        for b in _slices(batches, 1000):
-            texts = [canonical(x) for x in b.column(1).to_pylist()]
-            sig = fingerprints(texts, flags)
-            sketch = sketches(all_minima(texts, -(-SKETCH // BANDS)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([len(x) for x in texts], pa.int32()),
-                    pa.array([_form(x) for x in texts], pa.binary()),
-                    pa.array([r.tobytes() for r in sig], pa.binary()),
-                    pa.array([r.tobytes() for r in sketch], pa.binary()),
-                ],
-                names=["row_id", "n", "form", "sig", "sketch"],
-            )
 
-    return sign
+def _mask(places: tuple[int, ...]) -> np.uint64:
+    return np.uint64(sum(15 << 4 * p for p in places))
 
 
-# the blocks of a fingerprint: two within distance 2 agree in one of them
-BLOCKS = np.array([0x7FF, 0x7FF << 11, 0x3FF << 22], np.uint32)
+# of each block: itself, and the masks that leave out OUT of the other places
+_HELD = np.array([_mask(b) for b in BLOCKS], np.uint64)
+_KEPT = [
+    np.array([~_mask(out) for out in combinations([p for p in range(PLACES) if p not in block], OUT)], np.uint64) for block in BLOCKS
+]
+_LOAD = np.uint64((1 << 4 * PLACES) - 1)
+_WIDE = SKETCH // 8
 
 
-def _pack(ids: np.ndarray, who: np.ndarray, bucket: np.ndarray, code: np.ndarray, load: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """(bucket, blob): a blob holds the ids of a batch once, the number of rows of each, and the rows' codes and loads.
+def _pack(ids: np.ndarray, sketch: np.ndarray, bucket: np.ndarray, row: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, blob): a blob holds ids and sketches of a batch once, the number of rows of each, and the rows.
 
-    ``who`` is the number of the row's id, ``code`` its table (and block), ``load`` 32 bits.
+    ``bucket`` and ``row`` (code above the fingerprint, 48 bits) are arrays (ids, rows of each id).
     """
+    who = np.repeat(np.arange(len(ids)), row.shape[1])
+    bucket, row = bucket.ravel(), row.ravel()
     order = np.argsort(bucket * len(ids) + who, kind="stable")
-    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    blobs, keys = [], []
-    for k in range(buckets):
-        o = order[edge[k] : edge[k + 1]]
-        if not len(o):
-            continue
+    at, edge = np.unique(bucket[order], return_index=True)
+    blobs = []
+    for o in np.split(order, edge[1:]):
         n = np.bincount(who[o], minlength=len(ids))
         kept = np.flatnonzero(n)
         head = np.array([len(kept), len(o)], np.int64).tobytes()
-        blobs.append(head + ids[kept].tobytes() + n[kept].astype(np.uint8).tobytes() + code[o].astype(np.uint8).tobytes() + load[o].astype(np.uint32).tobytes())
-        keys.append(k)
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+        rows = np.ascontiguousarray(row[o].view(np.uint8).reshape(-1, 8)[:, :6])
+        blobs.append(head + ids[kept].tobytes() + sketch[kept].tobytes() + n[kept].astype(np.uint8).tobytes() + rows.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, codes and loads of the rows of a blob."""
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, sketches and numbers of rows of the ids of a blob, and all rows."""
     n, rows = np.frombuffer(blob, np.int64, 2)
     ids = np.frombuffer(blob, np.int64, n, 16)
-    many = np.frombuffer(blob, np.uint8, n, 16 + 8 * n)
-    at = 16 + 9 * n
-    return np.repeat(ids, many), np.frombuffer(blob, np.uint8, rows, at), np.frombuffer(blob, np.uint32, rows, at + rows)
+    sketch = np.frombuffer(blob, np.uint64, n * (SKETCH // 64), 16 + 8 * n).reshape(n, -1)
+    at = 16 + (8 + _WIDE) * n
+    many = np.frombuffer(blob, np.uint8, n, at)
+    wide = np.zeros((rows, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(blob, np.uint8, rows * 6, at + n).reshape(rows, 6)
+    return ids, sketch, many, wide.view(np.uint64).ravel()
 
 
 def _emit(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(rep, sig) -> (bucket, blob): each fingerprint once for each of its blocks."""
+    """(rep, sig, sketch) -> (bucket, blob): each fingerprint once for each of its blocks."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(len(ids), TABLES, 1)
-            code = np.arange(TABLES * len(BLOCKS), dtype=np.uint64).reshape(TABLES, len(BLOCKS))
-            place = _mix(((sig & BLOCKS).astype(np.uint64) << np.uint64(8) | code) * _M1)
-            shape = place.shape
-            flat = lambda x: np.broadcast_to(x, shape).ravel()
-            bucket = (place % np.uint64(buckets)).astype(np.int64).ravel()
-            yield _pack(ids, flat(np.arange(len(ids))[:, None, None]), bucket, flat(code), flat(sig), buckets)
+            if not len(ids):
+                continue
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(len(ids), TABLES, 1)
+            sketch = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(len(ids), -1)
+            code = np.arange(TABLES * len(BLOCKS), dtype=np.uint64).reshape(TABLES, len(BLOCKS)) << np.uint64(4 * PLACES)
+            bucket = _mix((sig & _HELD | code) * _M1) % np.uint64(buckets)
+            yield _pack(ids, sketch, bucket.astype(np.int64).reshape(len(ids), -1), (sig | code).reshape(len(ids), -1), buckets)
 
     return emit
 
 
-def _emit_bands(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(row_id, text) -> (bucket, blob): the band keys of each distinct printed form, under the form's mark."""
+def _near(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    return np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64) <= most
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, 2000):
-            texts = sorted({x for x in map(canonical, b.column(1).to_pylist()) if len(x) >= 3})
-            if not texts:
-                continue
-            marks = np.frombuffer(b"".join(_form(x)[:8] for x in texts), ">i8").astype(np.int64)
-            key = band_keys(all_minima(texts, DEEP))
-            who = np.repeat(np.arange(len(texts)), BANDS)
-            bucket = (key >> np.uint64(32)) % np.uint64(buckets)
-            yield _pack(marks, who, bucket.astype(np.int64).ravel(), np.tile(np.arange(BANDS), len(texts)), key.ravel() & np.uint64(0xFFFFFFFF), buckets)
 
-    return emit
+def _pairs_of_runs(key: np.ndarray, who: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b) within runs of equal keys that the sketches leave as candidates, and keys and members of open runs.
 
-
-def _pairs_of_runs(key: np.ndarray, ids: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs within runs of equal keys: all of a small run; to its first and next member of a larger one.
-
-    Besides, the keys and members of the larger runs.
+    All pairs of a run of up to BLOCK members are compared.  Where more than DENSE near pairs a member come out, only
+    those of each member with its first and last near predecessor are given and the run stays open: all links that
+    verified pairs leave out are found later (rest_of_runs).  So does a longer run, of which blocks are compared here.
     """
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
-    out_a, out_b = [], []
-    for by in range(1, small):
-        has = start[(size > by) & (size <= small)]
+    out_a, out_b, open_runs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for by in range(1, SMALL_RUN):
+        fits = (size > by) & (size <= SMALL_RUN)
+        has = start[fits]
         if not len(has):
             break
-        n = size[(size > by) & (size <= small)] - by
+        n = size[fits] - by
         i = np.repeat(has - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        out_a.append(ids[i])
-        out_b.append(ids[i + by])
-    for s, n in zip(start[size > small], size[size > small]):
-        out_a += [np.full(n - 1, ids[s]), ids[s : s + n - 1]]
-        out_b += [ids[s + 1 : s + n], ids[s + 1 : s + n]]
-    none = np.zeros(0, np.int64)
-    large = np.repeat(size > small, size)
-    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b]), key[large], ids[large]
-
-
-def _meet(balls: bool, small: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        a, b = who[i], who[i + by]
+        near = _near(sketch, a, b, most)
+        out_a.append(a[near])
+        out_b.append(b[near])
+    for s, n in zip(start[size > SMALL_RUN], size[size > SMALL_RUN]):
+        dense = n > BLOCK
+        for lo in range(s, s + n, BLOCK):
+            mine = who[lo : min(lo + BLOCK, s + n)]
+            mine_sketch = sketch[mine]
+            pairs, found = [], 0
+            for j in range(1, len(mine)):
+                i = np.flatnonzero(np.bitwise_count(mine_sketch[:j] ^ mine_sketch[j]).sum(1, dtype=np.int64) <= most)
+                if len(i):
+                    found += len(i)
+                    pairs.append((i, j))
+            crowded = found > DENSE * len(mine)
+            dense = dense or crowded
+            for i, j in pairs:
+                i = np.unique(i[[0, -1]]) if crowded else i
+                out_a.append(mine[i])
+                out_b.append(np.full(len(i), mine[j]))
+        if dense:
+            open_runs.append(np.arange(s, s + n))
+    at = np.concatenate([np.zeros(0, np.int64), *open_runs])
+    return np.concatenate(out_a), np.concatenate(out_b), key[at], who[at]
+
+
+def _meet(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(bucket, blob) of whole buckets, sorted by bucket -> (a, b, run).
 
-    Pairs that share a variant or a key, once per bucket, with a null run; members a of each run of more than ``small``.
+    Pairs that share a variant and whose sketches differ in at most ``most`` bits, once per bucket, with a null run;
+    and the members a of each open run.
     """
 
     def solve(blobs: list[bytes]) -> pa.RecordBatch:
-        ids, code, load = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
+        ids, sketch, many, row = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
+        who = np.repeat(np.arange(len(ids)), many)
+        code = (row >> np.uint64(4 * PLACES)).astype(np.int64)
+        row = row & _LOAD
         order = np.argsort(code, kind="stable")
-        edge = np.searchsorted(code[order], np.arange(257))
+        edge = np.searchsorted(code[order], np.arange(TABLES * len(BLOCKS) + 1))
         found, members = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
         for c in np.unique(code):
             o = order[edge[c] : edge[c + 1]]
-            k, i = load[o], ids[o]
-            if balls:
-                outside = 1 << np.flatnonzero((int(~BLOCKS[c % len(BLOCKS)]) >> np.arange(32)) & 1)
-                flips = np.r_[0, outside].astype(np.uint32)
-                k, i = (k[:, None] ^ flips).ravel(), np.repeat(i, len(flips))
-            # keep only keys that occur more than once
-            order_k = np.lexsort((i, k))
-            k, i = k[order_k], i[order_k]
-            first = np.r_[True, (k[1:] != k[:-1]) | (i[1:] != i[:-1])]
-            k, i = k[first], i[first]
-            twice = np.r_[k[1:] == k[:-1], False]
-            twice[1:] |= k[1:] == k[:-1]
-            k, i = k[twice], i[twice]
-            if len(k):
-                a, b, run, member = _pairs_of_runs(k, i, small)
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-                name = _mix((run.astype(np.uint64) | np.uint64(int(c) << 33 | balls << 32)) * _M1).astype(np.int64)
-                members.append(np.stack([member, name], 1))
-        both, of = np.unique(np.concatenate(found), axis=0), np.concatenate(members)
+            for turn, kept in enumerate(_KEPT[c % len(BLOCKS)]):  # the variants that leave out the same places
+                k = row[o] & kept
+                by_key = np.argsort(k, kind="stable")
+                k = k[by_key]
+                twice = np.r_[k[1:] == k[:-1], False]
+                twice[1:] |= k[1:] == k[:-1]
+                if twice.any():
+                    a, b, run, member = _pairs_of_runs(k[twice], who[o[by_key[twice]]], sketch, most)
+                    found.append(np.stack([ids[a], ids[b]], 1))
+                    name = _mix((run | np.uint64(int(c) * 64 + turn << 4 * PLACES)) * _M1).view(np.int64)
+                    members.append(np.stack([ids[member], name], 1))
+        both = np.concatenate(found)
+        both, of = np.unique(np.stack([both.min(1), both.max(1)], 1) if len(both) else both, axis=0), np.concatenate(members)
+        both = both[both[:, 0] != both[:, 1]]
         blank = lambda n: pa.nulls(n, pa.int64())
         a = pa.array(np.r_[both[:, 0], of[:, 0]])
         b, run = pa.concat_arrays([pa.array(both[:, 1].copy()), blank(len(of))]), pa.concat_arrays([blank(len(both)), pa.array(of[:, 1].copy())])
@@ -362,107 +319,82 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sim)], names=["a", "b", "similarity"])
 
 
-def signed_rows(chunks: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
-    """(row_id, rep, n, mark, sig, sketch): each non-null text, and the smallest key of the rows that print exactly alike."""
+def signed_rows(chunks: DataFrame, key: str = "row_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(row_id, form) of each non-null text, and (form, rep, n, sig, sketch) of each printed form; rep is its smallest key."""
     rows = chunks.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"))
-    sign = _sign(np.packbits(common_cells(rows)).tobytes())
-    signed = materialize(rows.mapInArrow(sign, "row_id bigint, n int, form binary, sig binary, sketch binary"), "signed")
-    reps = signed.groupBy("form").agg(F.min("row_id").alias("rep"))
-    mark = F.conv(F.hex(F.substring("form", 1, 8)), 16, -10).cast("bigint").alias("mark")
-    return materialize(signed.join(reps, "form").select("row_id", "rep", "n", mark, "sig", "sketch"), "print-copies")
-
-
-def _met(rows: DataFrame, balls: bool) -> DataFrame:
-    """(a, b, run) of the ids whose rows meet, written: pairs, and the members a of the larger runs."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    emit = _emit(parts) if balls else _emit_bands(parts)
-    blobs = rows.mapInArrow(emit, "bucket int, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return materialize(blobs.mapInArrow(_meet(balls, SMALL_BUCKET), "a bigint, b bigint, run bigint").distinct(), "met")
-
-
-def ball_rows(signed: DataFrame) -> DataFrame:
-    """(a, b, run) of representatives whose balls meet."""
-    return _met(signed.where("row_id = rep and n >= 3").select("rep", "sig"), True)
-
-
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """(a, b) of representatives whose balls meet."""
-    return ball_rows(signed).where("run is null").select("a", "b")
+    signed = materialize(rows.mapInArrow(_sign, "row_id bigint, n int, form binary, sig binary, sketch binary"), "signed")
+    first = signed.groupBy("form").agg(F.min("row_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    return signed.select("row_id", "form"), materialize(first, "print-forms")
 
 
-def band_rows(chunks: DataFrame, signed: DataFrame, key: str = "row_id", text: str = "text") -> DataFrame:
-    """(a, b, run) of representatives that share a band key."""
-    rows = chunks.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("row_id"), F.col(text).alias("text"))
-    met = _met(rows, False)
-    marks = signed.where("row_id = rep")
-    of_a, of_b = (marks.select(F.col("mark").alias(x), F.col("rep").alias(f"rep_{x}")) for x in ("a", "b"))
-    met = met.join(of_a, "a").join(of_b, "b", "left").where("run is not null or rep_b is not null")
-    return met.select(F.least("rep_a", "rep_b").alias("a"), F.when(F.col("run").isNull(), F.greatest("rep_a", "rep_b")).alias("b"), "run")
+def most_apart(threshold: float, slack: float | None) -> int:
+    """The greatest distance of two sketches within ``slack`` standard deviations of what the threshold lets expect."""
+    apart = (1 - threshold) / 2
+    return SKETCH if slack is None else int(SKETCH * apart + slack * float(np.sqrt(SKETCH * apart * (1 - apart))))
 
 
-def _sketch_limit(threshold: float) -> int:
-    """The greatest distance of two sketches within SLACK standard deviations of what the threshold lets expect."""
-    apart = (1 - threshold) / 2
-    return int(SKETCH * apart + SLACK * float(np.sqrt(SKETCH * apart * (1 - apart))))
+def ball_rows(forms: DataFrame, most: int) -> DataFrame:
+    """(a, b, run), written: pairs of representatives whose balls meet, and the members a of the open runs."""
+    rows = forms.where("n >= 3").select("rep", "sig", "sketch")
+    parts = max(2, -(-rows.count() // ROWS_A_BUCKET))
+    blobs = rows.mapInArrow(_emit(parts), "bucket int, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return materialize(blobs.mapInArrow(_meet(most), "a bigint, b bigint, run bigint"), "met")
 
 
-def rest_of_runs(runs: DataFrame, links: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): all pairs of members of one run (run, id) that ``links`` leave in different components, thinned by sketch.
+def rest_of_runs(runs: DataFrame, links: DataFrame, forms: DataFrame, most: int) -> DataFrame:
+    """(a, b): pairs of members of one run (run, id) that ``links`` leave in different components, thinned by sketch.
 
-    A run is cut into blocks by hash and every pair of blocks is compared in a group of its own, so a hot run is spread.
+    The members outside a run's largest component are compared with all of its members, in blocks by hash of which
+    every pair is a group of its own, so a hot run is spread.
     """
     comps = connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")
     rows = runs.join(comps, "id", "left").select("run", "id", F.coalesce("component", "id").alias("component"))
-    sizes = rows.groupBy("run").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-    rows = rows.join(sizes.where("_lo <> _hi").select("run", F.ceil(F.col("size") / BLOCK).alias("blocks")), "run")
-    rows = rows.join(signed.where("row_id = rep").select(F.col("rep").alias("id"), "sketch"), "id")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    most = _sketch_limit(threshold)
+    parts = rows.groupBy("run", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = parts.groupBy("run").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("main"))
+    sizes = sizes.where("main.n < size").select(
+        "run", F.col("main.component").alias("main"), F.ceil(F.col("size") / BLOCK).alias("all_blocks"), F.ceil((F.col("size") - F.col("main.n")) / BLOCK).alias("few_blocks")
+    )
+    rows = rows.join(sizes, "run").join(forms.select(F.col("rep").alias("id"), "sketch"), "id")
+
+    def side(of: DataFrame, own: str, other: str, few: bool) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.col(own))
+        return of.select(
+            "run", "id", "component", "sketch", F.lit(few).alias("few"), block.alias(own), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)).alias(other)
+        )
+
+    few = side(rows.where("component <> main"), "few_blocks", "all_blocks", True)
+    both = few.unionByName(side(rows, "all_blocks", "few_blocks", False))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[frame["own"] == frame["lo"]], frame[frame["own"] == frame["hi"]]
+        left, right = frame[frame["few"]], frame[~frame["few"]]
         sides = [np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(-1, SKETCH // 64) for x in (left, right)]
         out = [np.zeros((0, 2), np.int64)]
         for n, (i, comp) in enumerate(zip(left["id"].to_numpy(), left["component"].to_numpy())):
-            far = np.bitwise_count(sides[0][n] ^ sides[1]).sum(1)
+            far = np.bitwise_count(sides[0][n] ^ sides[1]).sum(1, dtype=np.int64)
             j = right["id"].to_numpy()[(far <= most) & (right["component"].to_numpy() != comp)]
             out.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1))
         return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
-    return rows.groupBy("run", "lo", "hi").applyInPandas(compare, "a bigint, b bigint").distinct()
-
-
-def near_enough(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sketches are within SLACK standard deviations of what the threshold lets expect."""
-    most = _sketch_limit(threshold)
-
-    @F.pandas_udf(T.IntegerType())
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(a), np.uint64) ^ np.frombuffer(b"".join(b), np.uint64)
-        return pd.Series(np.bitwise_count(x).reshape(-1, SKETCH // 64).sum(1).astype(np.int32))
-
-    own = signed.where("row_id = rep")
-    for side in ("a", "b"):
-        pairs = pairs.join(own.select(F.col("rep").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
-    return pairs.where(distance("sketch_a", "sketch_b") <= most).select("a", "b")
+    return both.groupBy("run", "few_blocks", "all_blocks").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
-def similar_pairs(chunks: DataFrame, signed: DataFrame, threshold: float, key: str = "row_id", text: str = "text") -> DataFrame:
+def similar_pairs(
+    chunks: DataFrame, forms: DataFrame, threshold: float, key: str = "row_id", text: str = "text", slack: float | None = SLACK
+) -> DataFrame:
     """(a, b, similarity): verified pairs of representatives with trigram similarity >= threshold.
 
-    Members of runs over SMALL_BUCKET are first compared with their first and next member; then all pairs of a run that
-    are not in one component yet, so that no link between components is left out.
+    Open runs (see _pairs_of_runs) are finished after that: the members that are not in the run's main component are
+    compared with all others, so that no link between components is left out.
     """
-    met = ball_rows(signed).unionByName(band_rows(chunks, signed, key, text))
-    pairs = met.where("run is null").select("a", "b").distinct()
-    links = verified_pairs(materialize(near_enough(pairs, signed, threshold), "near-pairs"), chunks, threshold, key, text)
-    runs = materialize(met.where("run is not null").select("run", F.col("a").alias("id")).distinct(), "large-runs")
+    most = most_apart(threshold, slack)
+    met = ball_rows(forms, most)
+    pairs = materialize(met.where("run is null").select("a", "b").distinct(), "near-pairs")
+    links = verified_pairs(pairs, chunks, threshold, key, text)
+    runs = met.where("run is not null").select("run", F.col("a").alias("id"))
     if runs.isEmpty():
         return links
     links = materialize(links, "near-links")
-    rest = materialize(rest_of_runs(runs, links, signed, threshold), "near-rest")
+    rest = materialize(rest_of_runs(runs, links, forms, most), "near-rest")
     return links.unionByName(verified_pairs(rest, chunks, threshold, key, text))
 
 
@@ -485,19 +417,21 @@ def verified_pairs(near: DataFrame, chunks: DataFrame, threshold: float, key: st
     )
 
 
-def copy_groups(chunks: DataFrame, threshold: float = 0.7, key: str = "row_id", text: str = "text") -> DataFrame:
+def copy_groups(
+    chunks: DataFrame, threshold: float = 0.7, key: str = "row_id", text: str = "text", slack: float | None = SLACK
+) -> DataFrame:
     """(row_id, group): every row with a non-null text; the group is the smallest row id it is linked to.
 
     Rows are linked when their printed forms are equal or share ``threshold`` of their distinct trigrams; links chain.
     Texts under three characters have no trigram and group only with exact copies.  Exact copies are one
-    representative from the first stage on, so a text that fills a third of the table is compared once.
+    representative from the first stage on, so a text that fills a third of the table is compared once.  ``slack``
+    None verifies every pair that meets, without thinning by sketch.
     """
-    signed = signed_rows(chunks, key, text)
-    links = similar_pairs(chunks, signed, threshold, key, text)
+    signed, forms = signed_rows(chunks, key, text)
+    links = similar_pairs(chunks, forms, threshold, key, text, slack)
     comps = connected_components(links, "a", "b")
-    return signed.select("row_id", "rep").join(
-        comps.select(F.col("node").alias("rep"), "component"), "rep", "left"
-    ).select("row_id", F.coalesce("component", "rep").alias("group"))
+    groups = forms.select("form", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    return signed.join(groups, "form").select("row_id", F.coalesce("component", "rep").alias("group"))
 
 
 def copy_pairs(groups: DataFrame) -> DataFrame:

@@ -123,19 +123,43 @@ def test_similarity_is_exact():
     assert np.allclose(near_copies.trigram_similarity(a, b), want)
 
 
-def test_every_pair_within_two_bits_meets(spark):
+def form_rows(spark, rows):
+    """Table of printed forms as signed_rows gives it, from (rep, fingerprints, sketch)."""
+    rows = [(i, 9, bytearray(sig.tobytes()), bytearray(sketch.tobytes())) for i, sig, sketch in rows]
+    return table(spark, rows, "rep bigint, n int, sig binary, sketch binary")
+
+
+def test_exactly_the_fingerprints_within_the_radius_meet(spark):
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 32, near_copies.TABLES, dtype=np.uint64).astype(np.uint32)
-    other = base.copy()
-    other ^= np.uint32(0xAAAAAAAA)
-    sigs = [(1, base)]
-    for k, (i, j) in enumerate([(0, 1), (3, 20), (17, 30), (31, 31), (0, 16)]):
-        s = other.copy()
-        s[2] = base[2] ^ np.uint32(1 << i) ^ (np.uint32(0) if i == j else np.uint32(1 << j))
-        sigs.append((k + 2, s))
-    rows = [(i, i, 9, bytearray(s.tobytes())) for i, s in sigs]
-    got = near_copies.candidate_pairs(table(spark, rows, "row_id bigint, rep bigint, n int, sig binary")).select("a", "b").collect()
-    assert {(1, k) for k in range(2, 7)} <= {tuple(r) for r in got}
+    places = list(range(near_copies.PLACES))
+    base = rng.integers(0, 1 << 40, near_copies.TABLES, dtype=np.uint64)
+    no_bits = np.zeros(near_copies.SKETCH // 64, np.uint64)
+    rows, apart = [(1, base, no_bits)], {}
+    for k, out in enumerate([(), (0,), (9,), (0, 1), (3, 4), (0, 9), (5, 8), (4, 6), (0, 4, 7), (1, 2, 3), (7, 8, 9)]):
+        sig = base ^ np.uint64(sum(7 << 4 * p for p in places))  # every place of the other tables differs
+        sig[2] = base[2] ^ np.uint64(sum((k + 1) << 4 * p for p in out))
+        rows.append((k + 2, sig, no_bits))
+        apart[k + 2] = len(out)
+    got = near_copies.ball_rows(form_rows(spark, rows), 0).where("run is null and a = 1").select("b").collect()
+    assert {r[0] for r in got} == {k for k, n in apart.items() if n <= near_copies.OUT}
+
+
+def test_meeting_probability_is_as_stated():
+    rng = random.Random(34)
+    pairs = [p for n in (45, 49) for p in changed_copies(rng, 500, 300, n)]
+    sims = near_copies.trigram_similarity(pd.Series([p[0] for p in pairs]), pd.Series([p[1] for p in pairs]))
+    a, b = (near_copies.fingerprints(near_copies.minima([p[i] for p in pairs])) for i in (0, 1))
+    differ = a ^ b
+    places = sum(((differ >> np.uint64(4 * p)) & np.uint64(15)) > 0 for p in range(near_copies.PLACES))
+    p = sims + (1 - sims) / 16
+    one = p**10 + 10 * p**9 * (1 - p) + 45 * p**8 * (1 - p) ** 2
+    assert abs(((places <= near_copies.OUT).any(1)).mean() - (1 - (1 - one) ** near_copies.TABLES).mean()) < 0.03
+
+
+def test_repeated_trigrams_count_once(spark):
+    rows = [(1, "abc" * 60), (2, "abc" * 12), (3, "abd" * 12), (4, "abc"), (5, "ab"), (6, None)]
+    got = {r["row_id"]: r["group"] for r in near_copies.copy_groups(table(spark, rows, "row_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
 def changed_copies(rng, n, size, changed, before=""):
@@ -169,18 +193,31 @@ def test_copies_at_the_threshold(spark):
     assert not any(got[2 * i] == got[2 * i + 1] for i in np.flatnonzero(sims < 0.7))
 
 
-def test_members_of_large_runs_meet_all_others(spark, monkeypatch):
+def test_members_of_open_runs_meet_all_others(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK", 8)
     rng = random.Random(33)
     texts = [p[0] for p in changed_copies(rng, 60, 300, 1)]
-    texts[40] = texts[5][:-20] + texts[40][:20]  # neither first nor neighbours in the run
-    ids = np.arange(60)
-    a, b, _run, member = near_copies._pairs_of_runs(np.zeros(60, np.int64), ids, near_copies.SMALL_BUCKET)
-    assert (5, 40) not in set(zip(a.tolist(), b.tolist())) and member.tolist() == ids.tolist()
-    sketch = near_copies.sketches(near_copies.all_minima(texts, -(-near_copies.SKETCH // near_copies.BANDS)))
-    signed = table(spark, [(i, i, bytearray(x.tobytes())) for i, x in enumerate(sketch)], "row_id bigint, rep bigint, sketch binary")
-    runs, links = table(spark, [(7, int(i)) for i in ids], "run bigint, id bigint"), table(spark, [(0, 1)], "a bigint, b bigint")
-    assert [tuple(r) for r in near_copies.rest_of_runs(runs, links, signed, 0.7).collect()] == [(5, 40)]
+    texts[40] = texts[5][:-20] + texts[40][:20]  # in another block than its copy
+    sketch = near_copies.sketches(near_copies.minima(texts))
+    most = near_copies.most_apart(0.7, near_copies.SLACK)
+    who = np.arange(60)
+    a, b, _run, member = near_copies._pairs_of_runs(np.zeros(60, np.uint64), who, sketch, most)
+    assert (5, 40) not in set(zip(a.tolist(), b.tolist())) and member.tolist() == who.tolist()
+    forms = form_rows(spark, [(i, np.zeros(near_copies.TABLES, np.uint64), x) for i, x in enumerate(sketch)])
+    runs, links = table(spark, [(7, int(i)) for i in who], "run bigint, id bigint"), table(spark, [(0, 1)], "a bigint, b bigint")
+    assert [tuple(r) for r in near_copies.rest_of_runs(runs, links, forms, most).collect()] == [(5, 40)]
+
+
+def test_hot_family_of_varied_copies_stays_linear(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 64)
+    rng = random.Random(35)
+    base = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300))
+    texts = [base[: (p := rng.randrange(290))] + "0123456789"[: rng.randint(2, 9)] + base[p:] for _ in range(400)] + [x for x, _ in changed_copies(rng, 100, 300, 1)]
+    signed, forms = near_copies.signed_rows(table(spark, list(enumerate(texts)), "row_id bigint, text string").repartition(3))
+    met = near_copies.ball_rows(forms, near_copies.most_apart(0.7, near_copies.SLACK))
+    assert met.where("run is null").select("a", "b").distinct().count() < 400 * 20
+    got = {r["row_id"]: r["group"] for r in near_copies.copy_groups(table(spark, list(enumerate(texts)), "row_id bigint, text string")).collect()}
+    assert len({got[i] for i in range(400)}) == 1 and len(set(got.values())) == 101
 
 
 # 3 -------------------------------------------------------------------------------------------------------------------
