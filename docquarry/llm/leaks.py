@@ -3,9 +3,11 @@
 Documents and items become streams of tokens (words, numbers, single Han characters) without case, punctuation, line
 breaks or character forms.  Items are cut into windows at every position, documents into windows of the same size at
 a stride that still meets an unedited passage; a window's SimHash has 64 bits.  Fingerprints are indexed by four
-16-bit blocks, so every item window within Hamming distance 3 of a document window is found.  Document-item pairs
-found so are verified exactly: the share of the item's five-token shingles that the document holds, where a shingle
-weighs nothing once it stands in many different surroundings (domain phrases), and long pieces only count.
+16-bit blocks, so every item window within Hamming distance 3 of a document window is found; items too short for such
+windows are found by their five-token shingles, each of which is looked up in every document.  Document-item pairs
+found so are verified exactly: the share of the item's shingles that the document holds, in long pieces only.  A
+shingle loses weight with the number of documents that hold it without holding the item (domain phrases); documents
+that hold the item do not count, however many they are.
 """
 
 from __future__ import annotations
@@ -27,14 +29,13 @@ RADIUS = 3  # guaranteed by RADIUS + 1 blocks
 BLOCKS = 4
 WINDOW = {"han": 20, "word": 10}  # tokens
 STRIDE = {"han": 4, "word": 2}
-FAR = 12  # distance in tokens of the surroundings that tell a domain phrase from a copied passage
-MASKS = 4  # 64-bit masks of the surroundings of a shingle
-COMMON = 0.01  # a shingle in more surroundings than this share of the documents weighs nothing
-COMMON_MOST = 1000.0
+SHORT = 24  # items of fewer tokens may lie between the windows of a document, so they are found by their shingles
+WHOLE = 0.5  # unweighted share of an item from which a document holds it, rather than phrases of it
+COMMON = 0.01  # a shingle in more than this share of the documents, without its item, weighs nothing
 COMMON_LEAST = 3.0
-PIECE = 10  # shortest run of shared tokens (gaps up to a shingle closed) that counts
+PIECE = 10  # shortest run of shared tokens (gaps up to a shingle closed) that counts; shorter items must be whole
 SHARE = 0.38  # least weighted share of an item; scraps are below a fifth, cases above a half
-ITEMS_PER_PASS = 20_000
+CHARS_PER_PASS = 10_000_000  # characters of the items that are indexed and sent to the executors at once
 
 
 def _classes() -> np.ndarray:
@@ -151,6 +152,9 @@ class ItemIndex:
     edge: list[np.ndarray]
     shingle: np.ndarray  # distinct, sorted
     spans: list[np.ndarray]  # per item: number of the shingle at each position
+    short: np.ndarray  # short items by shingle number, and where each shingle's begin
+    short_edge: np.ndarray
+    distinct: np.ndarray  # distinct shingles of each item
 
     @staticmethod
     def build(ids: list[int], texts: list[str]) -> ItemIndex:
@@ -167,7 +171,27 @@ class ItemIndex:
         s = shingles_of(t)
         distinct = np.unique(s[s > 0])
         spans = [np.searchsorted(distinct, x[x > 0]) for x in (s[t.doc == i] for i in range(len(ids)))]
-        return ItemIndex(np.array(ids, np.int64), prints, owner, order, edge, distinct, spans)
+        size = np.bincount(t.doc, minlength=len(ids))
+        own = [np.unique(x) for x in spans]
+        mine = [np.stack([x, np.full(len(x), i)], 1) for i, x in enumerate(own) if size[i] < SHORT]
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *mine])
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        begin = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
+        return ItemIndex(np.array(ids, np.int64), prints, owner, order, edge, distinct, spans, pairs[:, 1], begin, np.array([len(x) for x in own], np.int64))
+
+    def short_candidates(self, doc: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (document, short item) where the document holds at least SHARE of the item's shingles."""
+        lo = self.short_edge[held]
+        n = self.short_edge[held + 1] - lo
+        hit = np.flatnonzero(n)
+        if not len(hit):
+            return hit, hit
+        lo, n = lo[hit], n[hit]
+        item = self.short[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+        both, times = np.unique(_join(np.repeat(doc[hit], n), item), return_counts=True)
+        doc, item = _split(both)
+        enough = times >= SHARE * self.distinct[item]
+        return doc[enough], item[enough]
 
     def candidates(self, prints: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (document, item) with a window pair within RADIUS."""
@@ -186,14 +210,15 @@ class ItemIndex:
 
 
 def _scan(index: ItemIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, text) -> a row per document with candidates, and rows of the surroundings of shingles.
+    """(doc_id, text) -> a row per document with candidates, and rows of the documents that shingles stand in.
 
-    Columns: doc_id (null in rows of surroundings), items and hits (numbers of candidate items and of shared
-    shingles), shingle, m0..m3 (masks of the surroundings seen in this batch).
+    Columns: doc_id (null in rows of shingles), items and hits (numbers of candidate items and of shared shingles),
+    shingle and n (documents of this task that hold the shingle but no item of it).
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = np.zeros((MASKS, len(index.shingle)), np.uint64)
+        counts = np.zeros(len(index.shingle), np.int64)
+        same = np.ones(len(index.shingle))
         for big in batches:
             for lo in range(0, big.num_rows, 1000):
                 b = big.slice(lo, 1000)
@@ -204,43 +229,35 @@ def _scan(index: ItemIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 s = shingles_of(t)
                 k = np.minimum(np.searchsorted(index.shingle, s), len(index.shingle) - 1)
                 at = np.flatnonzero(index.shingle[k] == s)
-                k = k[at]
-                before, after = at - FAR, at + FAR + SHINGLE - 1
-                n = len(t.hash)
-                left = np.where((before >= 0) & (t.doc[np.maximum(before, 0)] == t.doc[at]), t.hash[np.maximum(before, 0)], np.uint64(1))
-                right = np.where((after < n) & (t.doc[np.minimum(after, n - 1)] == t.doc[at]), t.hash[np.minimum(after, n - 1)], np.uint64(2))
-                place = _mix(left * _M1 ^ right * _M2)
-                for m in range(MASKS):
-                    mine = (place & np.uint64(MASKS - 1)) == m
-                    np.bitwise_or.at(masks[m], k[mine], np.uint64(1) << (place[mine] >> np.uint64(58)))
-                doc, item = index.candidates(*windows_of(t, stride=True))
-                if len(doc):
-                    docs, start = np.unique(doc, return_index=True)
-                    items = np.split(item, start[1:])
-                    wanted = np.zeros(len(ids), bool)
-                    wanted[docs] = True
-                    mine = wanted[t.doc[at]]
-                    of, held = _split(np.unique(_join(t.doc[at][mine], k[mine])))
-                    lo_, hi_ = np.searchsorted(of, docs), np.searchsorted(of, docs, side="right")
-                    yield _batch(ids[docs], [x.tolist() for x in items], [held[a:z].tolist() for a, z in zip(lo_, hi_)])
-        seen = np.flatnonzero(masks.any(0))
-        yield _batch(None, None, None, seen, masks[:, seen])
+                of, held = _split(np.unique(_join(t.doc[at], k[at])))
+                counts += np.bincount(held, minlength=len(counts))
+                found = [_join(*index.candidates(*windows_of(t, stride=True))), _join(*index.short_candidates(of, held))]
+                doc, item = _split(np.unique(np.concatenate(found)))
+                if not len(doc):
+                    continue
+                docs, start = np.unique(doc, return_index=True)
+                items = np.split(item, start[1:])
+                hits = [held[x:y] for x, y in zip(np.searchsorted(of, docs), np.searchsorted(of, docs, side="right"))]
+                for mine, its in zip(hits, items):
+                    whole = [index.spans[i] for i in its if covered(index.spans[i], mine, same) >= WHOLE]
+                    if whole:
+                        counts[mine[np.isin(mine, np.concatenate(whole))]] -= 1
+                yield _batch(ids[docs], [x.tolist() for x in items], [x.tolist() for x in hits])
+        seen = np.flatnonzero(counts)
+        yield _batch(None, None, None, seen, counts[seen])
 
     return scan
 
 
-_SCHEMA = "doc_id bigint, items array<int>, hits array<int>, shingle int, " + ", ".join(f"m{i} bigint" for i in range(MASKS))
+_SCHEMA = "doc_id bigint, items array<int>, hits array<int>, shingle int, n bigint"
 _ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("items", pa.list_(pa.int32())), ("hits", pa.list_(pa.int32())), ("shingle", pa.int32())]
-    + [(f"m{i}", pa.int64()) for i in range(MASKS)]
+    [("doc_id", pa.int64()), ("items", pa.list_(pa.int32())), ("hits", pa.list_(pa.int32())), ("shingle", pa.int32()), ("n", pa.int64())]
 )
 
 
-def _batch(ids, items, hits, shingle=None, masks=None) -> pa.RecordBatch:
-    n = len(ids) if ids is not None else len(shingle)
-    none = [None] * n
-    cols = [ids if ids is not None else none, items or none, hits or none, shingle if shingle is not None else none]
-    cols += [m.view(np.int64) for m in masks] if masks is not None else [none] * MASKS
+def _batch(ids, items, hits, shingle=None, n=None) -> pa.RecordBatch:
+    none = [None] * len(ids if ids is not None else shingle)
+    cols = [none if c is None else c for c in (ids, items, hits, shingle, n)]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
 
 
@@ -248,7 +265,7 @@ def covered(span: np.ndarray, held: np.ndarray, weight: np.ndarray) -> float:
     """Weighted share of an item (its shingles' numbers by position) that the sorted ``held`` shingles cover.
 
     Gaps of less than a shingle (a changed word) are closed to judge the length of a piece; pieces under PIECE tokens
-    and shingles without weight add nothing.
+    (or under the whole of a shorter item) and shingles without weight add nothing.
     """
     w = weight[span]
     total = w.sum()
@@ -261,7 +278,7 @@ def covered(span: np.ndarray, held: np.ndarray, weight: np.ndarray) -> float:
         return 0.0
     run = np.cumsum(np.r_[True, np.diff(where) > SHINGLE + 1])
     first, last = where[np.r_[True, np.diff(run) > 0]], where[np.r_[np.diff(run) > 0, True]]
-    long = (last - first + SHINGLE >= PIECE)[run - 1]
+    long = (last - first + SHINGLE >= min(PIECE, len(span) + SHINGLE - 1))[run - 1]
     return float(w[where[long]].sum() / total)
 
 
@@ -286,32 +303,22 @@ def leaked_items(documents: DataFrame, items: DataFrame, share: float = SHARE) -
 
     ``documents``: doc_id, text; ``items``: item_id, passage.  Null texts and passages, and passages under five tokens
     or made of domain phrases only, are never cases; repeated items each get their rows; empty tables give none.  Items
-    are taken in blocks of ``ITEMS_PER_PASS`` (the index of a block is what is sent to the executors), against all
-    documents each.
+    are taken in blocks of about ``CHARS_PER_PASS`` characters, so that the index of a block, which is sent to the
+    executors, and the counts of its shingles, which return, stay of one size; each block scans all documents.
     """
-    spark = documents.sparkSession
     rows = items.where(F.col("passage").isNotNull()).select(F.col("item_id").cast("bigint"), "passage")
-    blocks = max(1, -(-rows.count() // ITEMS_PER_PASS))
+    blocks = max(1, -(-(rows.agg(F.sum(F.length("passage"))).first()[0] or 0) // CHARS_PER_PASS))
     docs = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
+    most = max(COMMON * docs.count(), COMMON_LEAST)
     out = None
     for block in range(blocks):
         mine = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).orderBy("item_id", "passage").collect()
         index = ItemIndex.build([r[0] for r in mine], [r[1] for r in mine])
         scanned = materialize(docs.mapInArrow(_scan(index), _SCHEMA), "leak-scan")
-        n = docs.count()
-        seen = (
-            scanned.where("shingle is not null")
-            .groupBy("shingle")
-            .agg(F.array(*[F.bit_or(f"m{i}") for i in range(MASKS)]).alias("m"))
-            .collect()
-        )
-        spread = np.zeros(len(index.shingle))
-        if seen:
-            filled = np.bitwise_count(np.array([r[1] for r in seen], np.int64).view(np.uint64)).sum(1)
-            cells = 64.0 * MASKS
-            spread[[r[0] for r in seen]] = -cells * np.log(np.maximum(1 - filled / cells, 1 / cells))
-        most = min(max(COMMON * n, COMMON_LEAST), COMMON_MOST)
-        weight = np.maximum(0.0, np.log((1 + most) / (1 + spread)))
+        without = np.zeros(len(index.shingle))
+        for shingle, n in scanned.where("shingle is not null").groupBy("shingle").agg(F.sum("n")).collect():
+            without[shingle] = n
+        weight = np.maximum(0.0, np.log((1 + most) / (1 + np.maximum(without, 0))))
         found = (
             scanned.where("doc_id is not null")
             .select("doc_id", "items", "hits")
