@@ -1,5 +1,7 @@
 """Operators for training data against brute force, on small tables with nulls, ties, repeats and odd columns."""
 
+import itertools
+import pickle
 import random
 
 import numpy as np
@@ -240,6 +242,51 @@ def test_entities(spark):
     assert name_links.entity_links(table(spark, [], "node_key bigint, label string, type string")).count() == 0
 
 
+def entity_groups(spark, rows):
+    groups = {}
+    for r in name_links.entity_links(table(spark, rows, "node_key bigint, label string, type string")).collect():
+        groups.setdefault(r["entity"], set()).add(r["node_key"])
+    return groups.values()
+
+
+def test_names_outside_all_lists(spark):
+    pairs = [
+        ("Anna Schmidt", "Anna Schmdt", "PERSON"), ("Priya Raman", "Raman, Priya", "person"), ("Hiroshi Tanaka", "Hirohsi Tanaka", "人物"), ("Wei Zhang", "Zhang Wei", "PER"),
+        ("Toyota Motor", "Toyota Moter", "ORG"), ("Northwind Robotics", "Nortwind Robotics Ltd", "company"), ("World Health Organization", "World Helth Organization", "机构"),
+        ("IBM", "I.B.M.", "ORG"), ("王伟", "王 伟先生", "PERSON"), ("世界卫生组织", "世界卫生組织", "组织"), ("Amélie Dupont", "Amelie Dupont", "PERSON"), ("Иван Петров", "Петров, Иван", "人物"),
+        ("María de la Cruz", "María dela Cruz", "PERSON"), ("Olu Adeyemi", "O. Adeyemi", "PERSON"),
+    ]
+    rows = [(2 * i + k, p[k], p[2]) for i, p in enumerate(pairs) for k in (0, 1)]
+    rows += [(100, "Anna Müller", "PERSON"), (101, "Toyota Finance", "ORG"), (102, "Wei Chang", "PERSON"), (103, "Hana Chang", "PERSON"), (104, "王芳", "PERSON")]
+    rows += [(110 + i, "Graph Store", t) for i, t in enumerate(["CONCEPT", "TASK", "PERSON", "概念"])]
+    groups = entity_groups(spark, rows)
+    missing = [p for i, p in enumerate(pairs) if not any({2 * i, 2 * i + 1} <= g for g in groups)]
+    assert not missing
+    for g in groups:
+        assert len({k // 2 for k in g}) == 1
+    assert not {110, 111, 112, 113} & set().union(*groups)
+
+
+def test_lines_of_business_are_learned(spark):
+    rows = [(i, f"{core} Aerostatics", "ORG") for i, core in enumerate(["Hollin", "Barrow", "Tasker", "Quillon", "Merrin", "Osgood"])]
+    rows += [(10 + i, f"{core}航天技术有限公司", "组织") for i, core in enumerate(["明川", "北辰", "远帆", "青岳", "长河", "云起"])]
+    rows += [(20, "Aerostatics Hollin", "ORG"), (21, "明川航天技术", None), (22, "Hollin Foods", "ORG"), (23, "明川食品厂", "组织")]
+    assert {"aerostatics", "航天技术"} <= name_links.business_lines(table(spark, rows, "node_key bigint, label string, type string"))
+    groups = entity_groups(spark, rows)
+    assert {0, 20} in groups and {10, 21} in groups
+
+
+def test_hot_surname_keeps_namesakes_apart(spark):
+    rng = random.Random(36)
+    given = sorted({"".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(600)})
+    rows = [(i, f"{g.title()} Garrowby", "PERSON") for i, g in enumerate(given)] + [(5000, f"{given[7].title()} Garowby", "PERSON"), (5001, None, None)]
+    rows += [(6000 + i, f"{g} {s}", "PERSON") for i, (g, s) in enumerate(itertools.product(["Martina", "Martine"], ["Garrowby", "Ostrander", "Pellworm"]))]
+    groups = entity_groups(spark, rows)
+    apart = len(groups)
+    assert {7, 5000} in groups and apart > 0.9 * len(given)
+    assert all({6000 + i} in groups for i in range(6))  # two given names that differ by a letter, each with several surnames
+
+
 def test_slips():
     assert name_links.slip("abcd", "abdc") and name_links.slip("abcd", "abd") and not name_links.slip("abcd", "abcd") and not name_links.slip("abcd", "badc")
     assert name_links.slips_between("malnunbarvun", "mallnunbarvnu") == 2
@@ -274,17 +321,52 @@ def test_editor_repairs_and_leaves_clean_text(spark):
     assert scan_noise.repair(page, ["somenetworksannualreport2020"], set(), ed).kinds == {"header", "pageno"}
     assert scan_noise.repair("a\n2021\n2022\n2023", [], set(), ed).kinds == set()
     assert scan_noise.repair("text\n[图片：第10页，共3张]", [], set(), ed).kinds == set()
+    assert scan_noise.repair("T h e   r e c o r d s   t e a m keeps it", [], set(), ed).text == "The records team keeps it"
+    assert scan_noise.repair("the t e a m c o n f i r m e d it", [], set(), ed).text == "the team confirmed it"
+    for rows in ("A B C D E F G", "1 2 3 4 5 6 7"):
+        assert scan_noise.repair(rows, [], set(), ed).text == rows
+    assert scan_noise.repair(f"# Some Networks Annual Report 2020\n{clean}", ["somenetworksannualreport2020"], set(), ed).kinds == set()
+    blank = pickle.loads(pickle.dumps(ed))
+    blank.weights = {}
+    for text in (noisy, "the pro-\ncurement team counts", page, "T h e   r e c o r d s   t e a m keeps it"):
+        assert scan_noise.repair(text, ["somenetworksannualreport2020"], set(), blank).kinds == set()
+
+
+def test_decisions_on_planted_noise_held_out(spark):
+    rng = random.Random(41)
+    ed = scan_noise.fit_editor([prose(rng, 6) for _ in range(400)])
+    held = [prose(rng, 5) for _ in range(150)]
+    right = 0
+    for k, s in enumerate(held):
+        if k % 3 == 0:
+            words = s.split(" ")
+            at = next((i for i, w in enumerate(words) if i and len(w) > 5 and w.isalpha()), None)
+            if at is None:
+                right += 1
+                continue
+            words[at] = f"{words[at][:3]}-\n{words[at][3:]}"
+            right += scan_noise.repair(" ".join(words), [], set(), ed).kinds == {"hyphen"}
+        elif k % 3 == 1:
+            right += scan_noise.repair(s.replace(". ", f".\n{rng.choice(scan_noise.PLANTED_NUMBERS).format(7, 90)}\n", 1), [], set(), ed).kinds == {"pageno"}
+        else:
+            right += scan_noise.repair(s, [], set(), ed).kinds == set()
+    assert right >= 0.95 * len(held)
 
 
 def test_noise_of_a_file(spark):
     rng = random.Random(8)
     rows = [(i, "f", i, prose(rng, 2).replace(". ", ".\n") + f"\nSome Networks Annual Report 2020\n第 {i} 页\n" + prose(rng, 1)) for i in range(12)]
     rows += [(100 + i, "g", i, prose(rng, 3)) for i in range(30)] + [(200, "g", 99, None), (201, None, 1, "plain text"), (202, "g", 5, "")]
+    rows += [(300 + i, "h", i, prose(rng, 1) + "\nField Handbook of the Northern Works\n" + prose(rng, 1)) for i in range(8)]
+    titled = [f"{a} Works Quarterly Digest {b}" for a, b in zip("Alder Birch Cedar Dogwood Elm Fir".split(), range(2001, 2007))]
+    rows += [(400 + 10 * k + i, "many", i, prose(rng, 1) + f"\n{t}\n" + prose(rng, 1)) for k, t in enumerate(titled) for i in range(5)]
     df = table(spark, rows, "row_id bigint, index_key string, pos int, text string").withColumn("titles", F.lit(1))
     got = {}
     for r in scan_noise.noise_kinds(df).collect():
         got.setdefault(r["row_id"], set()).add(r["noise"])
-    assert all({"header", "pageno"} <= got.get(i, set()) for i in range(12)) and not [k for k in got if k >= 100]
+    assert all({"header", "pageno"} <= got.get(i, set()) for i in range(12)) and not [k for k in got if 100 <= k < 300]
+    assert all("header" in got.get(300 + i, set()) for i in range(8))  # a title without a year
+    assert all("header" in got.get(400 + 10 * k + i, set()) for k in range(6) for i in range(5))  # more titles than four
 
 
 # 5 -------------------------------------------------------------------------------------------------------------------
@@ -344,6 +426,27 @@ def test_leaks(spark):
     assert leaks.leaked_items(table(spark, docs, "doc_id bigint, text string"), table(spark, [], "item_id bigint, passage string")).count() == 0
 
 
+def test_widely_leaked_and_short_items(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) for _ in range(3000)]
+    made = lambda n: " ".join(rng.choices(words, k=n))
+    wide, short, han, phrase = made(20), made(8), "北境水文站去年夏季记录到最低水位", made(9)
+    items = [(1, wide), (2, short), (3, han), (4, f"{made(30)} {phrase} {made(30)}")]
+    docs = [(n, f"{made(40)} {wide if n % 8 < 3 else ''} {made(20)} {short if n % 200 == 1 else ''} {han if n % 300 == 2 else ''} {phrase if n % 5 == 4 else ''} {made(10)}") for n in range(2000)]
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaked_items(table(spark, docs, "doc_id bigint, text string").repartition(4), table(spark, items, "item_id bigint, passage string")).collect()}
+    assert got == {(n, 1) for n in range(2000) if n % 8 < 3} | {(n, 2) for n in range(2000) if n % 200 == 1} | {(n, 3) for n in range(2000) if n % 300 == 2}
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    rng = random.Random(14)
+    made = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    items = [(i, made(30)) for i in range(12)]
+    docs = [(i, f"{made(20)} {p} {made(20)}") for i, p in items] + [(100, made(60))]
+    monkeypatch.setattr(leaks, "CHARS_PER_PASS", 500)
+    got = leaks.leaked_items(table(spark, docs, "doc_id bigint, text string"), table(spark, items, "item_id bigint, passage string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i) for i in range(12)}
+
+
 def test_blocks_find_all_within_radius():
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
@@ -408,6 +511,22 @@ def test_token_counter(spark):
 
 
 # 8 -------------------------------------------------------------------------------------------------------------------
+ORDINARY = [
+    "Coffee was first grown in the highlands of Ethiopia, where, according to a well known legend, a goatherd noticed that his animals became lively after eating the red berries of a certain bush. Traders carried the beans across the Red Sea, and within a century coffee houses had opened in Cairo, Damascus and Istanbul. People met there to talk about politics and to listen to music, which worried the authorities more than once.",
+    "I remember the summer we painted the boat. My father had bought it from a fisherman who wanted to retire, and it leaked so badly that we spent the first month just patching holes. Every evening my sister brought us sandwiches, and we ate them on the jetty while the sun went down behind the island. We never did win a race, but I would not have traded those weeks for anything.",
+    "小时候，我家门前有一棵很大的槐树。每到五月，满树都是白色的花，整条街都能闻到香味。母亲会让我爬上树去摘一些花下来，和着面粉蒸成饭团。那种味道我一直记得，后来走过许多地方，却再也没有吃到过。前年回去的时候，那棵树已经不在了，原来的地方修了一条宽阔的马路。",
+    "选择自行车的时候，首先要考虑自己的身高和用途。如果只是在城里骑，不需要太多的变速，车身轻一点会更方便。要是打算骑很远的路，就应该试一试车座是否舒服，因为坐久了才知道哪里不合适。另外，刹车一定要可靠，买之前最好自己骑一圈看看。",
+    "Im Herbst gehen viele Familien in den Wald, um Pilze zu suchen. Man sollte aber nur solche Pilze mitnehmen, die man wirklich kennt, denn manche sind sehr giftig und sehen den essbaren zum Verwechseln ähnlich. Meine Großmutter hatte einen geheimen Platz, den sie niemandem verraten wollte, und wenn sie nach Hause kam, war ihr Korb immer voll.",
+    "Mi abuela cultivaba tomates en el patio de su casa y los vendía a los vecinos por unas pocas monedas. Decía que el secreto estaba en regarlos muy temprano, antes de que saliera el sol, y en hablarles con cariño. Nosotros nos reíamos de ella, pero nunca he vuelto a probar unos tomates como aquellos.",
+]
+KEYWORDS = [
+    " ".join(["garden tools mower blades hedge trimmer compost bins seed trays plant pots hose reel sprinkler lawn feed weed killer rake spade fork gloves"] * 3),
+    ", ".join(["cheap flights, hotel deals, last minute offers, car rental, travel insurance, city breaks, family holidays, luxury cruises"] * 5),
+    "；".join(["糖尿病 治疗 医院 价格 专家", "高血压 药物 品牌 批发 报价", "空调 维修 电话 上门 服务"] * 8),
+    "\n".join(["函数调用"] * 60),
+]
+
+
 def test_spam(spark):
     rng = random.Random(17)
     good = [prose(rng, 8) for _ in range(300)]
@@ -419,6 +538,8 @@ def test_spam(spark):
     assert (model.spam_shares(bad) > spam_pages.HALF).all()
     assert (model.spam_shares(good) <= spam_pages.HALF).mean() > 0.99
     assert list(model.spam_shares([None, ""])) == [0, 0]
+    assert (model.spam_shares(ORDINARY) < 0.3).all()
+    assert (model.spam_shares(KEYWORDS) > 0.9).all()
     rows = table(spark, list(enumerate([*good, *bad, None])), "doc_id bigint, text string").withColumn("spam_share", F.lit(9))
     assert sorted(r["doc_id"] for r in spam_pages.spam_pages(rows).collect()) == [300, 301, 302, 303]
     assert spam_pages.spam_pages(table(spark, [], "doc_id bigint, text string")).count() == 0
