@@ -337,7 +337,7 @@ def ball_rows(forms: DataFrame, most: int) -> DataFrame:
     """(a, b, run), written: pairs of representatives whose balls meet, and the members a of the open runs."""
     rows = forms.where("n >= 3").select("rep", "sig", "sketch")
     parts = max(2, -(-rows.count() // ROWS_A_BUCKET))
-    blobs = rows.mapInArrow(_emit(parts), "bucket int, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    blobs = rows.mapInArrow(_emit(parts), "bucket int, blob binary").repartitionById(parts, "bucket").sortWithinPartitions("bucket")
     return materialize(blobs.mapInArrow(_meet(most), "a bigint, b bigint, run bigint"), "met")
 
 

@@ -34,9 +34,20 @@ LOOKALIKES = {
         "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X", "Υ": "Y", "Ζ": "Z",
     },
     "Armenian": {"օ": "o", "ս": "u", "հ": "h", "ո": "n", "Օ": "O", "Ս": "U", "Լ": "L"},
-    "Latin": {"ɑ": "a", "ɡ": "g"},
+    "Cherokee": {
+        "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮪ": "S",
+        "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    },
+    "Lisu": {
+        "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N",
+        "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    },
+    "Coptic": {"Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c"},
+    "Latin": {"ɑ": "a", "ɡ": "g", "ı": "i"},
 }
-SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian")
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Lisu", "Coptic")
+# Radicals without a decomposition that print like a character.
+RADICALS = dict(zip("⺠⻁⻅⻆⻉⻋⻓⻔⻘⻙⻚⻛⻜⻝⻢⻣⻤⻥⻦⻧⻨⻩⻬⻮⻰", "民虎见角贝车长门青韦页风飞食马骨鬼鱼鸟卤麦黄齐齿龙"))
 # Compatibility tags whose forms print like the plain character.
 _SAME_IN_PRINT = ("<wide>", "<narrow>", "<noBreak>", "<compat>")
 _HYPHENS = "\u2010\u2011"
@@ -49,7 +60,9 @@ _RETURN = re.compile("\r\n?")
 _SHY_AT_BREAK = re.compile("\u00ad(?=[\r\n])")
 _GONE = re.compile(f"[\u00ad{_INVISIBLE}]+")
 _ODD = re.compile("[^\n -~\u4e00-\u9fff\u3002\u3001\u3010\u3011\u300a\u300b\u201c\u201d\u2018\u2019]")
-_RUN = re.compile("[A-Za-z\u00c0-\u024f\u0250-\u02af\u0300-\u036f\u0370-\u03ff\u0400-\u052f\u0530-\u058f\u1e00-\u1eff]*[\u0251\u0261\u0370-\u03ff\u0400-\u052f\u0530-\u058f][A-Za-z\u00c0-\u024f\u0250-\u02af\u0300-\u036f\u0370-\u03ff\u0400-\u052f\u0530-\u058f\u1e00-\u1eff]*")
+_ALIKE = "\u0131\u0251\u0261\u0370-\u03ff\u0400-\u052f\u0530-\u058f\u13a0-\u13ff\u2c80-\u2cff\ua4d0-\ua4ff"
+_LETTER = f"[A-Za-z\u00c0-\u02af\u0300-\u036f\u1e00-\u1eff{_ALIKE}]"
+_RUN = re.compile(f"{_LETTER}*[{_ALIKE}]{_LETTER}*")
 
 _CLASS: dict[str, dict[str, str]] = {}
 for _script, _letters in LOOKALIKES.items():
@@ -70,13 +83,15 @@ def _plain_form(char: str) -> str:
     """The form of one character without width, spacing and ligature variants."""
     if char in _HYPHENS:
         return "-"
+    if char in RADICALS:
+        return RADICALS[char]
     if unicodedata.category(char) == "Zs":
         return " "
     parts = unicodedata.decomposition(char).split()
     if not parts:
         return char
     if parts[0].startswith("<"):
-        if parts[0] not in _SAME_IN_PRINT:
+        if parts[0] not in _SAME_IN_PRINT and not "\U0001d400" <= char <= "\U0001d7ff":  # the mathematical alphabets
             return char
         return "".join(_plain_form(chr(int(x, 16))) for x in parts[1:])
     return unicodedata.normalize("NFC", char)
