@@ -22,6 +22,7 @@ def table(spark, rows, schema):
     [
         ("аs noted", "as noted"), ("tο", "to"), ("mmΗg", "mmHg"), ("Ｄａｔａ１", "Data1"), ("ét", "ét"), ("lea­ving", "leaving"),
         ("a b", "a b"), ("ﬁle", "file"), ("⽉", "月"), ("金", "金"), ("，", ","), ("µm", "μm"), ("x​y", "xy"), ("a\r\nb", "a\nb"), ("‐", "-"),
+        ("ᎪᏟ", "AᏟ"), ("Ꮲaper", "Paper"), ("ꓟꓳꓠ", "MON"), ("𝐃𝐚𝐭𝐚", "Data"), ("fıle", "file"), ("⻢", "马"), ("Ⲟⲣ", "Op"),
     ],
 )
 def test_look_alikes_get_one_form(a, b):
@@ -36,6 +37,7 @@ def test_visible_differences_stay(a, b):
 def test_genuine_words_of_another_script_stay():
     assert print_forms.canonical("Ладимар") == "Ладимар"
     assert print_forms.canonical("Лaдимар") == "Ладимар"  # a Latin letter inside
+    assert print_forms.canonical("ᏣᎳᎩ") == "ᏣᎳᎩ"
     for s in (None, "", "plain"):
         assert print_forms.canonical(s) == s
 
