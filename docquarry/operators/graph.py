@@ -75,15 +75,17 @@ def label_matches(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """(query_id, index_key, id, label): labels of two characters or more contained in a query, case-sensitively.
 
     A label meets the queries that hold its first (up to four) characters in an equi-join; no query meets all labels.
+    Queries with an index_key meet the labels of that file only.
     """
+    own = ["index_key"] if "index_key" in queries.columns else []
 
     def starts(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length("query") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("query"), i, F.lit(n)))
 
     parts = F.flatten(F.array(*[starts(n) for n in (2, 3, 4)]))
-    asks = queries.where(F.length("query") >= 2).select("query_id", "query", F.explode(F.array_distinct(parts)).alias("_start"))
+    asks = queries.where(F.length("query") >= 2).select("query_id", *own, "query", F.explode(F.array_distinct(parts)).alias("_start"))
     named = nodes.where(F.length("label") >= 2).select("index_key", "id", "label", F.left("label", F.least(F.length("label"), F.lit(4))).alias("_start"))
-    return asks.join(named, "_start").where(F.contains("query", "label")).select("query_id", "index_key", "id", "label").distinct()
+    return asks.join(named, ["_start", *own]).where(F.contains("query", "label")).select("query_id", "index_key", "id", "label").distinct()
 
 
 def multi_hop(queries: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
@@ -97,7 +99,7 @@ def multi_hop(queries: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int
         edges.select("index_key", F.col("dst").alias("at"), F.col("src").alias("to"), "weight", "edge_pos", F.lit(1).alias("back"))
     )
     labels = nodes.select("index_key", F.col("id").alias("to"), "label")
-    texts = queries.select("query_id", "query")
+    texts = queries.select("query_id", "query").distinct()
     keys = ["query_id", "index_key"]
     frontier = label_matches(queries, nodes).select(*keys, "id", F.lit(1.0).alias("score"), F.array(F.col("id")).alias("path"))
     visited = frontier.select(*keys, "id")

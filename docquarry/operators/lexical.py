@@ -86,6 +86,77 @@ def top_chunks(scores: DataFrame, queries: DataFrame, chunks: DataFrame, k: int)
     return filled.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "row_id", "score", "rank")
 
 
+@dataclass
+class FileIndex:
+    """The tables of the indexes of many files: every file is a corpus of its own, as it is searched."""
+
+    postings: DataFrame  # index_key, term, row_id, tf
+    lengths: DataFrame  # row_id, dl
+    terms: DataFrame  # index_key, term, idf
+    corpus: DataFrame  # index_key, n, avgdl
+    places: DataFrame  # index_key, row_id, pos, chunk_id, parent_id
+    vectors: DataFrame  # index_key, row_id, pos, embedding
+
+
+def build_file_index(chunks: DataFrame, vectors: DataFrame, epsilon: float = 0.25) -> FileIndex:
+    """Postings, lengths, inverse document frequencies and totals by file, and the places and vectors of the chunks.
+
+    ``chunks``: current chunks; ``vectors``: row_id, embedding (a chunk without one gets a vector of zeros).  All
+    statistics come from one written table of postings; a hot file is spread by term and row.
+    """
+    places = chunks.select("index_key", "row_id", "pos", "chunk_id", "parent_id")
+    toks = chunks.select("index_key", "row_id", F.explode_outer(tokens(F.col("text"))).alias("term"))
+    counted = materialize(toks.groupBy("index_key", "term", "row_id").agg(F.count("term").alias("tf")), "file-postings")
+    lengths = materialize(counted.groupBy("index_key", "row_id").agg(F.sum("tf").alias("dl")), "file-lengths")
+    corpus = lengths.groupBy("index_key").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    postings = counted.where("term is not null")
+    df = postings.groupBy("index_key", "term").agg(F.count(F.lit(1)).alias("df"))
+    raw = materialize(df.join(corpus, "index_key").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "file-terms")
+    mean = raw.groupBy("index_key").agg(F.avg("raw").alias("mean"))
+    idf = F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw"))
+    terms = raw.join(mean, "index_key").select("index_key", "term", idf.alias("idf"))
+    dense = places.select("index_key", "row_id", "pos").join(vectors, "row_id", "left")
+    size = vectors.select(F.size("embedding").alias("n")).first()
+    zeros = F.array_repeat(F.lit(0.0), size[0] if size else 0)
+    return FileIndex(postings, lengths.select("row_id", "dl"), terms, corpus, places, dense.withColumn("embedding", F.coalesce("embedding", zeros)))
+
+
+def file_bm25_top(index: FileIndex, searches: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, row_id, score, rank): the k best chunks of each search in its own file, ties by position.
+
+    ``searches``: query_id, index_key, query.  A search with fewer than k hits is filled with the first chunks of its
+    file at score 0, as a complete ranking of the file would hold them.
+    """
+    asked = searches.select("query_id", "index_key", F.explode(tokens(F.col("query"))).alias("term"))
+    asked = asked.groupBy("query_id", "index_key", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    weighted = asked.join(index.terms, ["index_key", "term"]).select("query_id", "index_key", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    hits = index.postings.join(weighted, ["index_key", "term"]).join(index.lengths, "row_id").join(index.corpus.select("index_key", "avgdl"), "index_key")
+    tf = F.col("tf")
+    gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scores = hits.groupBy("query_id", "row_id").agg(F.round(F.sum(F.col("w") * gain), 9).alias("score"))
+    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "pos", "row_id")
+    places = index.places.select("index_key", "row_id", "pos")
+    scored = scores.join(places.drop("index_key"), "row_id")
+    in_file = W.partitionBy("index_key").orderBy("pos", "row_id")
+    first = places.withColumn("_n", F.row_number().over(in_file)).where(F.col("_n") <= k).drop("_n")
+    zeros = searches.select("query_id", "index_key").join(first, "index_key").join(scores.select("query_id", "row_id"), ["query_id", "row_id"], "left_anti")
+    every = scored.select("query_id", "row_id", "pos", "score").unionByName(zeros.select("query_id", "row_id", "pos", F.lit(0.0).alias("score")))
+    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "row_id", "score", "rank")
+
+
+def file_dense_top(index: FileIndex, searches: DataFrame, k: int) -> DataFrame:
+    """(query_id, row_id, score, rank): the k greatest inner products of each search in its own file, ties by position.
+
+    ``searches``: query_id, index_key, embedding.  The search in a file is exhaustive, as a flat index does it; only k
+    rows a task and search are shuffled for the ranking.
+    """
+    pairs = index.vectors.join(searches.select("query_id", "index_key", F.col("embedding").alias("_q")), "index_key")
+    dot = F.aggregate(F.zip_with("embedding", "_q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "pos", "row_id")
+    scored = pairs.select("query_id", "row_id", "pos", F.round(dot, 9).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "row_id", "score", "rank")
+
+
 def expand_windows(chunks: DataFrame, reach: int = 2) -> DataFrame:
     """(row_id, window_text): each chunk with its neighbours within ``reach`` positions of the same parent.
 

@@ -30,6 +30,12 @@ def hash_embedding(rows: DataFrame, key: str, text: str = "text", dim: int = 16)
     return sums.join(norms, key).select(key, "slot", (F.col("v") / F.col("norm")).alias("weight"))
 
 
+def dense_embedding(rows: DataFrame, key: str, text: str = "text", dim: int = 16) -> DataFrame:
+    """(key, embedding): hash_embedding as arrays; rows without tokens are missing."""
+    slots = hash_embedding(rows, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "weight"))).alias("m"))  # at most dim entries
+    return slots.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("embedding"))
+
+
 def _block_top(ids: np.ndarray, matrix: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(vec_id, embedding) batches -> (query, vec_id, score): the k best of each batch for each query of the block."""
 

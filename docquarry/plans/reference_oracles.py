@@ -193,6 +193,17 @@ where trim(coalesce(relation, '')) <> '' and x.first_pos <= pos and y.first_pos
     "entity_recall": f"""with {q.CURRENT}, {MATCHED}, f as (select index_key, chunk_id, min((pos, parent_id)) spot from cur group by all),
 r as (select distinct m.query_id, m.index_key, m.id, e.chunk_id, spot from matched m join entity_chunks e on e.index_key = m.index_key and e.node_id = m.id join f on f.index_key = e.index_key and f.chunk_id = e.chunk_id)
 select query_id, index_key, id, chunk_id, spot[1] pos, spot[2] parent_id, row_number() over (partition by query_id, index_key, id order by spot[1], chunk_id)::int entity_rank from r""",
+    "entity_recall_quotas": f"""with recursive {q.CURRENT}, {MATCHED}, f as (select index_key, chunk_id, min((pos, parent_id)) spot from cur group by all),
+rec as (select distinct m.query_id, m.index_key, m.id, e.chunk_id, spot from matched m join entity_chunks e on e.index_key = m.index_key and e.node_id = m.id join f on f.index_key = e.index_key and f.chunk_id = e.chunk_id),
+seq as (select query_id, index_key, id, chunk_id, coalesce(spot[2], '') parent, row_number() over (partition by query_id, index_key order by id, spot[1], chunk_id) n from rec),
+fold as (
+  select query_id, index_key, 0::bigint n, []::varchar[] picked, []::varchar[] parents, '' ent, 0 taken from (select distinct query_id, index_key from seq)
+  union all
+  select query_id, index_key, n, case when ok then list_append(picked, chunk_id) else picked end, case when ok then list_append(parents, parent) else parents end, id, before + ok::int from (
+    select f.query_id, f.index_key, e.n, f.picked, f.parents, e.id, e.chunk_id, e.parent, case when e.id = f.ent then f.taken else 0 end before,
+      not list_contains(f.picked, e.chunk_id) and case when e.id = f.ent then f.taken else 0 end < 3 and (e.parent = '' or len(list_filter(f.parents, lambda p: p = e.parent)) < 2) ok
+    from fold f join seq e on e.query_id = f.query_id and e.index_key = f.index_key and e.n = f.n + 1))
+select query_id, index_key, unnest(picked) chunk_id, generate_subscripts(picked, 1)::int seq from (select query_id, index_key, arg_max(picked, n) picked from fold group by all)""",
     "multi_hop": f"""with {MATCHED}, {EDGES},
 ways as (select index_key, src "at", dst "to", weight, edge_pos, 0 back from edges union all select index_key, dst, src, weight, edge_pos, 1 from edges),
 h1a as (select m.query_id, m.index_key, b."to" id, weight::double score, [m.id] path, edge_pos, back from matched m join ways b on b.index_key = m.index_key and b."at" = m.id
@@ -231,21 +242,61 @@ select query_id, chunk_id, bm25_score, vector_score, row_number() over (partitio
     "evidence_type": "select row_id, case when coalesce(bm25_score, 0) > 0 or coalesce(vector_score, 0) > 0 then 'direct' when coalesce(graph_boost, false) then 'related_context' else 'weak' end kind from debug_info",
     "rank_delta": f"with {CAND}, r as (select run_id, row_id, row_number() over (partition by run_id order by base_score desc nulls last, row_id)::int base_rank, row_number() over (partition by run_id order by final_score desc nulls last, row_id)::int final_rank, round(final_score - base_score, 6) graph_lift from cand) select *, base_rank - final_rank moved from r",
     "safe_rerank": f"with {CAND} select * from (select run_id query_id, row_id, row_number() over (partition by run_id order by final_score desc, cand_seq)::int rank, 0.0::double rerank_score, false rerank_used from cand) where rank <= 5",
-    "hybrid_topk": f"""with {q.CURRENT}, {q.topk(50)}, {MATCHED},
-ck as (select c.row_id, unnest({q.tokens("text")}) tok from cur c where row_id in (select row_id from top)),
-cv0 as (select row_id, ('0x' || left(md5(tok), 8))::bigint h from ck),
+    "hybrid_topk": f"""with recursive {q.CURRENT}, {q.ASKED}, {EDGES},
+srch as (select run_id sid, min(query_id) qid, min(file_hash) index_key from debug_info group by 1),
+s as (select sid, index_key, query from srch join asked on asked.query_id = srch.qid),
+matched as (select distinct s.sid, n.index_key, n.id, n.label from s join semantic_graph n on n.index_key = s.index_key and length(n.label) >= 2 and contains(s.query, n.label)),
+ways as (select index_key, src "at", dst "to", weight, edge_pos, 0 back from edges union all select index_key, dst, src, weight, edge_pos, 1 from edges),
+h1a as (select m.sid, m.index_key, b."to" id, weight::double score, [m.id] path, edge_pos, back from matched m join ways b on b.index_key = m.index_key and b."at" = m.id where not exists (select 1 from matched x where x.sid = m.sid and x.id = b."to")),
+h1 as (select * from (select *, row_number() over (partition by sid, id order by path, edge_pos, back, score) rn from h1a) where rn = 1),
+h1l as (select h.*, n.label, coalesce(length(n.label) >= 2 and not contains(s.query, n.label), false) good from h1 h left join semantic_graph n on n.index_key = h.index_key and n.id = h.id join s using (sid)),
+h2 as (select distinct m.sid, m.index_key, b."to" id from h1l m join ways b on b.index_key = m.index_key and b."at" = m.id where good
+  and not exists (select 1 from matched x where x.sid = m.sid and x.id = b."to") and not exists (select 1 from h1 x where x.sid = m.sid and x.id = b."to")),
+syn as (select distinct label, word from (select label, unnest([lower(label), upper(label)]) word from semantic_graph where length(label) >= 2) where word <> label),
+extra as (select sid, label word from h1l where good union select h.sid, n.label from h2 h join semantic_graph n on n.index_key = h.index_key and n.id = h.id where length(n.label) >= 2 union select sid, word from matched join syn using (label)),
+qtoks as (select sid, unnest({q.tokens("query")}) term from s union all select sid, unnest({q.tokens("word")}) from extra join s using (sid) where word <> '' and not contains(query, word)),
+qterms as (select sid, term, count(*) qtf from qtoks group by all),
+toks as (select c.row_id, c.index_key, {q.tokens("text")} t from cur c where index_key in (select index_key from s)),
+lens as (select row_id, index_key, len(t) dl from toks),
+corpus as (select index_key, count(*) n, avg(dl) avgdl from lens group by 1),
+postings as (select index_key, term, row_id, count(*) tf from (select index_key, row_id, unnest(t) term from toks) group by all),
+raws as (select index_key, term, ln(n - df + 0.5) - ln(df + 0.5) raw from (select index_key, term, count(*) df from postings group by all) join corpus using (index_key)),
+idfs as (select index_key, term, case when raw < 0 then 0.25 * avg(raw) over (partition by index_key) else raw end idf from raws),
+scores as (select s.sid, p.row_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) score from s join qterms using (sid) join idfs i on i.index_key = s.index_key and i.term = qterms.term
+  join postings p on p.index_key = s.index_key and p.term = qterms.term join lens l on l.row_id = p.row_id join corpus c on c.index_key = s.index_key group by all),
+bm as (select * from (select s.sid, c.row_id, c.chunk_id, round(coalesce(score, 0), 9) score, row_number() over (partition by s.sid order by round(coalesce(score, 0), 9) desc, c.pos, c.row_id) r from s join cur c on c.index_key = s.index_key left join scores x on x.sid = s.sid and x.row_id = c.row_id) where r <= 50),
+cv0 as (select row_id, ('0x' || left(md5(tok), 8))::bigint h from (select row_id, unnest(t) tok from toks)),
 cv1 as (select row_id, (h % 16)::int slot, sum(case when (h >> 16) % 2 = 0 then 1 else -1 end)::double v from cv0 group by all having v <> 0),
 cv as (select row_id, slot, v / sqrt(sum(v * v) over (partition by row_id)) w from cv1),
-qv0 as (select query_id, ('0x' || left(md5(tok), 8))::bigint h from (select query_id, unnest({q.tokens("query")}) tok from asked)),
-qv1 as (select query_id, (h % 16)::int slot, sum(case when (h >> 16) % 2 = 0 then 1 else -1 end)::double v from qv0 group by all having v <> 0),
-qv as (select query_id, slot, v / sqrt(sum(v * v) over (partition by query_id)) w from qv1),
-dense as (select t.query_id, t.row_id, sum(c.w * q.w) vs from top t join qv q using (query_id) join cv c on c.row_id = t.row_id and c.slot = q.slot group by all),
-rec as (select distinct m.query_id, m.index_key, e.chunk_id from matched m join entity_chunks e on e.index_key = m.index_key and e.node_id = m.id join cur c on c.index_key = e.index_key and c.chunk_id = e.chunk_id),
-j as (select t.query_id, t.row_id, t.score b, coalesce(vs, 0) v, r.query_id is not null boost, t.rank cand_seq from top t join cur c on c.row_id = t.row_id left join dense d on d.query_id = t.query_id and d.row_id = t.row_id left join rec r on r.query_id = t.query_id and r.index_key = c.index_key and r.chunk_id = c.chunk_id),
-s as (select *, case when max(b) over w > min(b) over w then (b - min(b) over w) / (max(b) over w - min(b) over w) when max(b) over w = 0 then 0 else 1 end nb, case when max(v) over w > min(v) over w then (v - min(v) over w) / (max(v) over w - min(v) over w) when max(v) over w = 0 then 0 else 1 end nv from j window w as (partition by query_id)),
-f as (select *, (0.7::double * nb + 0.3::double * nv) * case when boost then 1.3::double else 1 end final from s)
-select query_id, rank, row_id, round(b, 6) bm25_score, round(v, 6) vector_score, round(final, 6) final_score, boost graph_boost, case when b > 0 or v > 0 then 'direct' when boost then 'related_context' else 'weak' end evidence_type
-from (select *, row_number() over (partition by query_id order by final desc, cand_seq)::int rank from f) where rank <= 5""".replace(f"{q.CURRENT}, {q.topk(50)}, {MATCHED}", f"{q.CURRENT}, {MATCHED}, {q.topk(50)}"),
+qv0 as (select sid, ('0x' || left(md5(tok), 8))::bigint h from (select sid, unnest({q.tokens("query")}) tok from s)),
+qv1 as (select sid, (h % 16)::int slot, sum(case when (h >> 16) % 2 = 0 then 1 else -1 end)::double v from qv0 group by all having v <> 0),
+qv as (select sid, slot, v / sqrt(sum(v * v) over (partition by sid)) w from qv1),
+dots as (select s.sid, c.row_id, sum(k.w * q.w) vs from s join cur c on c.index_key = s.index_key join cv k on k.row_id = c.row_id join qv q on q.sid = s.sid and q.slot = k.slot group by all),
+dn as (select * from (select s.sid, c.row_id, c.chunk_id, round(coalesce(vs, 0), 9) vs, row_number() over (partition by s.sid order by round(coalesce(vs, 0), 9) desc, c.pos, c.row_id) r from s join cur c on c.index_key = s.index_key left join dots d on d.sid = s.sid and d.row_id = c.row_id) where r <= 50),
+spots as (select index_key, chunk_id, min((pos, parent_id)) spot from cur group by all),
+rec as (select distinct m.sid, m.id, e.chunk_id, spot from matched m join entity_chunks e on e.index_key = m.index_key and e.node_id = m.id join spots f on f.index_key = e.index_key and f.chunk_id = e.chunk_id),
+seq as (select sid, id, chunk_id, coalesce(spot[2], '') parent, row_number() over (partition by sid order by id, spot[1], chunk_id) n from rec),
+fold as (
+  select sid, 0::bigint n, []::varchar[] picked, []::varchar[] parents, '' ent, 0 taken from (select distinct sid from seq)
+  union all
+  select sid, n, case when ok then list_append(picked, chunk_id) else picked end, case when ok then list_append(parents, parent) else parents end, id, before + ok::int from (
+    select f.sid, e.n, f.picked, f.parents, e.id, e.chunk_id, e.parent, case when e.id = f.ent then f.taken else 0 end before,
+      not list_contains(f.picked, e.chunk_id) and case when e.id = f.ent then f.taken else 0 end < 3 and (e.parent = '' or len(list_filter(f.parents, lambda p: p = e.parent)) < 2) ok
+    from fold f join seq e on e.sid = f.sid and e.n = f.n + 1)),
+hit as (select sid, unnest(picked) chunk_id, generate_subscripts(picked, 1) g from (select sid, arg_max(picked, n) picked from fold group by 1)),
+a as (select sid, chunk_id, max(score) b, min(r) br from bm group by all), v as (select sid, chunk_id, max(vs) v, min(r) vr from dn group by all),
+u as (select coalesce(a.sid, v.sid) sid, coalesce(a.chunk_id, v.chunk_id) chunk_id, coalesce(b, 0) b, coalesce(v, 0) v, br, vr from a full join v on a.sid = v.sid and a.chunk_id = v.chunk_id),
+j0 as (select coalesce(u.sid, hit.sid) sid, coalesce(u.chunk_id, hit.chunk_id) chunk_id, coalesce(b, 0) b, coalesce(v, 0) v, g is not null boost, br, vr, g from u full join hit on u.sid = hit.sid and u.chunk_id = hit.chunk_id),
+j as (select * from (select *, row_number() over (partition by sid order by br nulls last, vr nulls last, g nulls last, chunk_id) cand_seq from j0) where cand_seq <= 50),
+n as (select *, case when max(b) over w > min(b) over w then (b - min(b) over w) / (max(b) over w - min(b) over w) when max(b) over w = 0 then 0 else 1 end nb, case when max(v) over w > min(v) over w then (v - min(v) over w) / (max(v) over w - min(v) over w) when max(v) over w = 0 then 0 else 1 end nv from j window w as (partition by sid)),
+f as (select *, round((0.7::double * nb + 0.3::double * nv) * case when boost then 1.3::double else 1 end, 9) final from n),
+top as (select * from (select *, row_number() over (partition by sid order by final desc, cand_seq)::int rank from f) where rank <= 5),
+own as (select index_key, chunk_id, max((pos, row_id, parent_id)) last_row, min((pos, row_id)) spot from cur group by all),
+ctx as (select c.row_id, c.text, coalesce(string_agg(o.text, chr(10) order by o.pos), any_value(c.text)) window_text from cur c left join cur o on o.index_key = c.index_key and o.parent_id = c.parent_id and o.pos between c.pos - 2 and c.pos + 2 where c.index_key in (select index_key from s) group by 1, 2)
+select t.sid query_id, rank, t.chunk_id, own.last_row[3] parent_id, round(b, 6) bm25_score, round(v, 6) vector_score, round(final, 6) final_score, boost graph_boost,
+  s.index_key not in (select index_key from semantic_graph union select index_key from entity_chunks) graph_fallback_used, case when b > 0 or v > 0 then 'direct' when boost then 'related_context' else 'weak' end evidence_type,
+  md5(ctx.window_text) text_md5, md5(ctx.text) chunk_md5
+from top t join s using (sid) join own on own.index_key = s.index_key and own.chunk_id = t.chunk_id join ctx on ctx.row_id = own.spot[2]""",
     "gate_sufficiency": f"with {SUFFICIENT} select *, len(reasons) = 0 passed from suff",
     "gate_confidence": f"with {RESULTS}{CONFIDENT} select query_id run_id, * exclude (query_id), len(reasons) = 0 passed from conf",
     "query_facets": f"with {q.ASKED}, {facets('asked')} select * from facets",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docquarry.config import DEFAULTS, Config
 from docquarry.functions import text as tx
 from docquarry.operators import chunking, evaluate, fusion, gates, graph, lexical, service, vector, versions
 from docquarry.plans import retrieval
@@ -407,11 +408,25 @@ def safe_rerank(spark: SparkSession, d: str) -> DataFrame:
     return fusion.rerank(rows).select("query_id", "row_id", "rank", "rerank_score", "rerank_used")
 
 
+def _hybrid(t: Tables, config: Config = DEFAULTS) -> DataFrame:
+    """Every recorded run searched anew: its query in its file."""
+    searches = t.debug_info.groupBy("run_id").agg(F.min("query_id").alias("asked"), F.min("file_hash").alias("index_key"))
+    searches = searches.join(t.asked.select(F.col("query_id").alias("asked"), "query"), "asked").select(F.col("run_id").alias("query_id"), "index_key", "query")
+    searches = materialize(searches, "searches")
+    chunks = materialize(t.current.join(searches.select("index_key").distinct(), "index_key", "left_semi"), "searched")
+    names = t.semantic_graph.where("length(label) >= 2").select("label").distinct()
+    words = names.select("label", F.lower("label").alias("word")).union(names.select("label", F.upper("label"))).where("word <> label")
+    found = retrieval.hybrid_topk(searches, retrieval.file_index(chunks, config=config), t.semantic_graph, t.edges, t.entity_chunks, words, config=config)
+    return retrieval.with_context(found, chunks)
+
+
 @query
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    t = Tables(spark, d)
-    rows = retrieval.hybrid_topk(t.asked.select("query_id", "query"), materialize(t.current, "current"), t.semantic_graph, t.entity_chunks)
-    return rows.select("query_id", "rank", "row_id", F.round("bm25_score", 6).alias("bm25_score"), F.round("vector_score", 6).alias("vector_score"), F.round("final_score", 6).alias("final_score"), "graph_boost", "evidence_type")
+    rows = _hybrid(Tables(spark, d))
+    return rows.select(
+        "query_id", "rank", "chunk_id", "parent_id", F.round("bm25_score", 6).alias("bm25_score"), F.round("vector_score", 6).alias("vector_score"), F.round("final_score", 6).alias("final_score"),
+        "graph_boost", "graph_fallback_used", "evidence_type", F.md5("text").alias("text_md5"), F.md5("chunk_text").alias("chunk_md5"),
+    )
 
 
 # gates ---------------------------------------------------------------------------------------------------------------

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.operators.lexical import Index
+from docquarry.operators.lexical import FileIndex, Index
 
 PARTS = ("chunks", "postings", "vectors", "graph")
 
@@ -15,14 +17,14 @@ def write_chunks(chunks: DataFrame, path: str, form: str = "parquet") -> None:
     chunks.write.mode("overwrite").partitionBy("index_key").format(form).save(path)
 
 
-def write_index(index: Index, path: str) -> None:
-    """The four tables of a lexical index."""
-    for name, table in (("postings", index.postings), ("lengths", index.lengths), ("terms", index.terms), ("corpus", index.corpus)):
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
+def write_index(index: Index | FileIndex, path: str) -> None:
+    """The tables of an index, one folder each; those of files with their vectors."""
+    for f in fields(index):
+        getattr(index, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
 
 
-def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms", "corpus")])
+def read_index(spark: SparkSession, path: str, kind: type[Index] | type[FileIndex] = Index) -> Index | FileIndex:
+    return kind(*[spark.read.parquet(f"{path}/{f.name}") for f in fields(kind)])
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame, mentions: DataFrame) -> DataFrame:
