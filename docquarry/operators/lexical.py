@@ -95,13 +95,13 @@ class FileIndex:
     terms: DataFrame  # index_key, term, idf
     corpus: DataFrame  # index_key, n, avgdl
     places: DataFrame  # index_key, row_id, pos, chunk_id, parent_id
-    vectors: DataFrame  # index_key, row_id, pos, embedding
+    vectors: DataFrame  # index_key, row_id, pos, embedding (null: 0)
 
 
 def build_file_index(chunks: DataFrame, vectors: DataFrame, epsilon: float = 0.25) -> FileIndex:
     """Postings, lengths, inverse document frequencies and totals by file, and the places and vectors of the chunks.
 
-    ``chunks``: current chunks; ``vectors``: row_id, embedding (a chunk without one gets a vector of zeros).  All
+    ``chunks``: current chunks; ``vectors``: row_id, embedding (a chunk without one scores 0).  All
     statistics come from one written table of postings; a hot file is spread by term and row.
     """
     places = chunks.select("index_key", "row_id", "pos", "chunk_id", "parent_id")
@@ -116,9 +116,7 @@ def build_file_index(chunks: DataFrame, vectors: DataFrame, epsilon: float = 0.2
     idf = F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw"))
     terms = raw.join(mean, "index_key").select("index_key", "term", idf.alias("idf"))
     dense = places.select("index_key", "row_id", "pos").join(vectors, "row_id", "left")
-    size = vectors.select(F.size("embedding").alias("n")).first()
-    zeros = F.array_repeat(F.lit(0.0), size[0] if size else 0)
-    return FileIndex(postings, lengths.select("row_id", "dl"), terms, corpus, places, dense.withColumn("embedding", F.coalesce("embedding", zeros)))
+    return FileIndex(postings, lengths.select("row_id", "dl"), terms, corpus, places, dense)
 
 
 def file_bm25_top(index: FileIndex, searches: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -134,6 +132,7 @@ def file_bm25_top(index: FileIndex, searches: DataFrame, k: int, k1: float = 1.5
     tf = F.col("tf")
     gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy("query_id", "row_id").agg(F.round(F.sum(F.col("w") * gain), 9).alias("score"))
+    scores = materialize(scores, "file-scores")
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "pos", "row_id")
     places = index.places.select("index_key", "row_id", "pos")
     scored = scores.join(places.drop("index_key"), "row_id")
@@ -153,7 +152,7 @@ def file_dense_top(index: FileIndex, searches: DataFrame, k: int) -> DataFrame:
     pairs = index.vectors.join(searches.select("query_id", "index_key", F.col("embedding").alias("_q")), "index_key")
     dot = F.aggregate(F.zip_with("embedding", "_q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "pos", "row_id")
-    scored = pairs.select("query_id", "row_id", "pos", F.round(dot, 9).alias("score"))
+    scored = pairs.select("query_id", "row_id", "pos", F.round(F.coalesce(dot, F.lit(0.0)), 9).alias("score"))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "row_id", "score", "rank")
 
 

@@ -57,11 +57,10 @@ def hybrid_topk(
     ``graph_fallback_used`` tells that the file has no graph.
     """
     asked = searches.select("query_id", "index_key", "query")
-    wide = expanded_searches(asked, nodes, edges, synonyms, config)
+    wide = materialize(expanded_searches(asked, nodes, edges, synonyms, config), "expanded")
     lexical_hits = lexical.file_bm25_top(index, wide, config.candidate_top_k, config.bm25_k1, config.bm25_b)
     own = asked.join(embed(asked, "query_id", "query"), "query_id", "left")
-    size = F.array_repeat(F.lit(0.0), F.lit(index.vectors.select(F.size("embedding")).first()[0]))
-    dense_hits = lexical.file_dense_top(index, own.withColumn("embedding", F.coalesce("embedding", size)), config.candidate_top_k)
+    dense_hits = lexical.file_dense_top(index, own, config.candidate_top_k)
     # copies of one chunk within a file share its id, and stand where the first of them stands
     named = index.places.select("row_id", "chunk_id")
     once = lambda hits: hits.join(named, "row_id").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.min("rank").alias("rank"))
