@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docquarry.config import DEFAULTS, Config
@@ -69,8 +68,11 @@ def sufficiency_gate(queries: DataFrame, results: DataFrame, config: Config = DE
     ).withColumn("passed", F.size("reasons") == 0)
 
 
-def confidence_gate(results: DataFrame, group: str = "run_id", rank: str = "rank", config: Config = DEFAULTS) -> DataFrame:
-    """(group, rows, top1_score, top1_top2_gap, direct_ratio, related_ratio, top_source_ratio, top_parent_ratio, retrieval_confidence, reasons, passed)."""
+def confidence_gate(results: DataFrame, group: str = "run_id", rank: str = "rank", config: Config = DEFAULTS, queries: DataFrame | None = None) -> DataFrame:
+    """(group, rows, top1_score, top1_top2_gap, direct_ratio, related_ratio, top_source_ratio, top_parent_ratio, retrieval_confidence, reasons, passed).
+
+    With ``queries`` (group), those without results fail with empty_topk and zeros.
+    """
     rows = results.withColumn("_source", F.coalesce(F.nullif("source_file", F.lit("")), F.nullif("file_hash", F.lit("")), F.lit("single-document")))
     rows = rows.withColumn("_parent", F.nullif("parent_id", F.lit(""))).withColumn("_used", F.coalesce("rerank_used", F.lit(False)))
     rows = rows.withColumn("_rerank", F.coalesce("rerank_score", F.lit(0.0))).withColumn("_final", F.coalesce("final_score", F.lit(0.0)))
@@ -98,11 +100,15 @@ def confidence_gate(results: DataFrame, group: str = "run_id", rank: str = "rank
         ("low_top1_score", low), ("no_direct_evidence", F.col("direct_ratio") <= 0),
         ("too_much_related_context", F.col("related_ratio") >= config.max_related_ratio), ("low_retrieval_confidence", F.col("_value") < config.min_confidence),
     )
-    return seen.select(
+    seen = seen.select(
         group, "rows", F.round("_top1", 4).alias("top1_score"), F.round("_gap", 4).alias("top1_top2_gap"), F.round("direct_ratio", 4).alias("direct_ratio"),
         F.round("related_ratio", 4).alias("related_ratio"), F.round("_source", 4).alias("top_source_ratio"), F.round("_parent", 4).alias("top_parent_ratio"),
         F.round("_value", 4).alias("retrieval_confidence"), reasons.alias("reasons"),
-    ).withColumn("passed", F.size("reasons") == 0)
+    )
+    if queries is not None:
+        seen = queries.select(group).distinct().join(seen, group, "left")
+        seen = seen.withColumn("reasons", F.coalesce("reasons", F.array(F.lit("empty_topk")))).na.fill(0)
+    return seen.withColumn("passed", F.size("reasons") == 0)
 
 
 def query_facets(queries: DataFrame) -> DataFrame:
@@ -224,6 +230,7 @@ def clean_answer(raw: Column) -> Column:
     parsed = strip(F.coalesce(payload["answer"], F.lit("")))
     marked = F.when(t.rlike(r"(?is)(^|\n)answer:"), strip(F.regexp_replace(t, r"(?is)^(?:answer:|.*?\nanswer:)", ""))).otherwise(t)
     body = F.when((parsed != "") & (parsed != t), parsed).otherwise(marked)
+    # What is stripped from an answer, in this order.
     for pattern, by in ((r"(?U)^\s*[\"'{]+", ""), (r"(?U)[\"'}]+\s*$", ""), (r"(?is)^\s*answerable\s*:.*?\n+", ""),
                         (r"\n?\s*[\"']?[0-9]+\s*([^\"\n]{2,20})[\"']?\s*:", "\n\n$1:"), (r"\n{3,}", "\n\n")):
         body = F.regexp_replace(body, pattern, by)
@@ -234,10 +241,3 @@ def prompt_text(question: Column, context: Column, most: int = 2000) -> Column:
     """The generator's prompt: instructions, the context cut to ``most`` characters, the question."""
     return F.format_string("只依据资料回答，资料不足时回答“%s”。\n\n资料：\n%s\n\n问题：%s", F.lit(REFUSAL), F.left(F.coalesce(context, F.lit("")), F.lit(most)), question)
 
-
-def top_share(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, value, share): the most frequent value of each group, ties to the smallest."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    order = W.partitionBy(group).orderBy(F.col("n").desc(), value)
-    part = counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(group))).withColumn("_k", F.row_number().over(order))
-    return part.where("_k = 1").select(group, value, "share")

@@ -58,12 +58,15 @@ def _block_top(ids: np.ndarray, matrix: np.ndarray, k: int) -> Callable[[Iterato
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank): the k greatest inner products of each query vector, ties by vec_id.
 
-    ``vectors``: vec_id, embedding; ``queries``: query_id, embedding.  Null vectors and ones of another length are left
-    out.  Queries are sent in blocks of ``QUERY_BLOCK`` (bounded); each batch of vectors keeps its own k best, so only
+    ``vectors``: vec_id, embedding; ``queries``: query_id, embedding.  Null vectors are left out; vectors that are not of
+    one length raise ValueError.  Queries are sent in blocks of ``QUERY_BLOCK`` (bounded); each batch of vectors keeps its own k best, so only
     k rows a batch and query are shuffled for the final ranking.
     """
-    size = queries.where("embedding is not null").select(F.size("embedding")).first()
-    dim = size[0] if size else 0
+    sizes = [vectors.where("embedding is not null").agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first(), queries.where("embedding is not null").agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()]
+    found = {n for pair in sizes for n in pair if n is not None}
+    if len(found) > 1:
+        raise ValueError(f"vectors of {min(found)} to {max(found)} numbers")
+    dim = found.pop() if found else 0
     good = vectors.where(F.size("embedding") == dim).select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
     asked = queries.where(F.size("embedding") == dim).select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))

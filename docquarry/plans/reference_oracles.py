@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docquarry.functions.text import ANSWER_STOP_WORDS, KEYWORD_STOP_WORDS, SYNONYMS
-from docquarry.operators.gates import ASPECTS, COMPARISON, FILLER, METRICS, OBJECTS, REFUSALS
+from docquarry.operators.gates import ASPECTS, COMPARISON, FILLER, METRICS, OBJECTS, REFUSALS, WARNING
 from docquarry.operators.graph import TECH_TERMS
 from docquarry.plans import sql_text as q
 
@@ -16,6 +16,8 @@ results as (select t.* exclude (query_id, rn), run_id query_id, f.text from (sel
 runs as (select r.run_id query_id, query, expected_keywords, has_answer_in_doc, answer_key_points from (select run_id, min(query_id) qid from debug_info group by 1) r
   join test_queries1 t on t.query_id = r.qid where query is not null)"""
 EDGES = "edges as (select distinct index_key, edge_pos, src, dst, coalesce(nullif(trim(relation), ''), 'related_to') relation, coalesce(weight, 1) weight from graph_edges where src <> '' and dst <> '')"
+IDLE = """runs as (select * from runs0 union all select -1 - query_id, query, expected_keywords, has_answer_in_doc, answer_key_points from test_queries1
+  where query is not null and query_id not in (select query_id from debug_info where query_id is not null))"""
 MATCHED = f"{q.ASKED}, matched as (select distinct a.query_id, n.index_key, n.id, n.label from asked a join semantic_graph n on length(n.label) >= 2 and contains(a.query, n.label))"
 ENTITIES = f"""{q.CURRENT},
 ents0 as (select row_id, index_key, pos, chunk_id, {q.distinct_in_order(f"list_concat(list_filter({q.words(TECH_TERMS)}, lambda t: contains(lower(text), lower(t))), list_filter({q.tokens('text')}, lambda t: length(t) >= 2 and regexp_matches(t, '[a-zA-Z\\x{{4e00}}-\\x{{9fff}}]')))")} l from cur),
@@ -309,9 +311,9 @@ select query_id, list_filter(c, lambda x: not contains(n, regexp_replace(lower(x
     "refusal_detect": f"with {ANSWERS} select query_id, {REFUSED} refused from answers",
     "answer_decision": f"""with {SUFFICIENT}{CONFIDENT}{DIRECT_GATE}, {CONTEXT},
 answers as (select r.*, coalesce(c.context, '') context, coalesce(f.text, {q.text(REFUSALS[0])}) answer from runs r left join contexts c using (query_id) left join (select query_id, text from results where rank = 1) f using (query_id)),
-n as (select a.query_id, context, answer, ({REFUSED}) refused, {q.terms("query")} t, {q.normal("answer")} n, len(s.reasons) = 0 ok1, len(c.reasons) = 0 ok2, len(d.reasons) = 0 ok3 from answers a join suff s using (query_id) join conf c using (query_id) join direct_gate d using (query_id)),
+n as (select a.query_id, context, answer, ({REFUSED}) refused, {q.terms("query")} t, {q.normal("answer")} n, len(s.reasons) = 0 ok1, coalesce(len(c.reasons) = 0, false) ok2, len(d.reasons) = 0 ok3 from answers a join suff s using (query_id) left join conf c using (query_id) join direct_gate d using (query_id)),
 d as (select *, case when not ok1 or not ok2 then 1 when not (refused or {q.coverage("t", "n")} >= 0.5) then 6 when not ok3 and not refused then 8 else 9 end step from n)
-select query_id, step, case when step in (1, 6) then {len(REFUSALS[0])} when step = 8 then length(answer) + 20 else length(answer) end::int chars from d""",
+select query_id, step, md5(case when step in (1, 6) then {q.text(REFUSALS[0])} when step = 8 then {q.text(WARNING)} || chr(10) || chr(10) || answer else answer end) answer_md5 from d""".replace("runs as (select r.run_id", "runs0 as (select r.run_id").replace("where query is not null),\nseen", f"where query is not null), {IDLE},\nseen", 1),
     "prompt_text": f"with {ANSWERS} select query_id, '只依据资料回答，资料不足时回答“' || {q.text(REFUSALS[0])} || '”。' || chr(10) || chr(10) || '资料：' || chr(10) || left(context, 2000) || chr(10) || chr(10) || '问题：' || query prompt from answers",
     "retrieval_eval_detail": f"with {_HIT_RANKS} select query_id, coalesce(hit_rank, 0)::int hit_rank, round(rr, 6) reciprocal_rank from hits",
     "retrieval_eval": f"""with {_HIT_RANKS} select count(*) total_queries, round(count(hit_rank)::double / count(*), 6) recall_at_k, round(avg(rr), 6) mrr, count(hit_rank) hit_count, count(*) filter (has_answer_in_doc) queries_with_answer,
@@ -330,7 +332,7 @@ select depth, recall, mrr, hit_count, row_number() over (order by recall desc, m
     "distinct_versions": f"with {VERSIONS} select version_id, file_name, hash, ts from vers",
     "version_asof": f"with {VERSIONS}, t as (select file_name, max(ts) - interval 30 day target from vers group by 1) select t.file_name, target, max((ts, hash)) filter (ts <= target)[2] hash, max(ts) filter (ts <= target) ts from t join vers v using (file_name) group by t.file_name, target",
     "version_retention": f"with {VERSIONS}, r as (select *, row_number() over (partition by file_name order by ts desc, hash desc) n from vers) select file_name, hash, ts from r where n > 1 and ts < timestamp '2025-01-01' - interval 7 day",
-    "hash_upsert": "select distinct hash from version_log where hash is not null and hash not in (select hash from version_log where index_path is not null and hash is not null)",
+    "hash_upsert": "select distinct hash from version_log where hash is not null and hash not in (select arg_min(hash, (ts, version_id)) from version_log where file_name is not null and hash is not null group by file_name)",
     "rebuild_decision": """with p as (select hash, (max(index_path) is not null)::int * 2 + (max(bm25_path) is not null)::int + (max(graph_path) is not null)::int n from version_log where hash is not null group by 1)
 select h.hash, case when coalesce(n, 0) = 0 then 'build' when n < 4 then 'rebuild' else 'load' end decision from (select distinct hash from version_log) h left join p on p.hash = h.hash""",
     "parse_request": """with r as (select query_id request_id, query, query_id % 7 k from test_queries1), c as (select request_id, k, replace(query, '"', ' ') q, coalesce(replace(query, '"', ' ') <> '', false) ok,
@@ -338,12 +340,12 @@ select h.hash, case when coalesce(n, 0) = 0 then 'build' when n < 4 then 'rebuil
 d as (select *, case when not ok then 'Field `query` is required' when t is null then 'Field `max_tokens` must be int' when t not between 1 and 1000 then 'Field `max_tokens` must be in [1, 1000]' end error from c)
 select request_id, case when error is null then q end query, case when error is null then t else 0 end::int max_tokens, case when error is null then 5 else 0 end::int top_k, case when error is null and k = 3 then 'm' end model, case when error is not null then 40001 else 0 end::int error_code, error from d""",
     "context_concat": f"with {RESULTS}, {CONTEXT} select * from contexts",
-    "response_shape": f"with {RESULTS}, {CONTEXT} select query_id, length(replace(context, '\\n', chr(10)))::int chars, len(chunk_ids)::int n_context from contexts",
+    "response_shape": f"with {RESULTS}, {CONTEXT} select query_id, md5(replace(context, '\\n', chr(10))) answer_md5, len(chunk_ids)::int n_context from contexts",
     "hourly_requests": "select strftime(ts, '%Y-%m-%d %H') as hour, event_type, count(*) n from events group by all",
     "page_join": f"""with {q.CURRENT}, p as (select index_key, pos, case when pos % 3 > 0 then regexp_replace(text, '\\n+$', '') || chr(10) || '[图片：第' || (pos + 1) || '页，共' || (pos % 3) || '张]' else text end t from cur)
 select index_key, string_agg(t, chr(10) order by pos) as text from p group by 1""",
     "short_text_fallback": f"""with s as (select row_id, text, case when length({q.strip("coalesce(text, '')")}) > 150 then text else {q.strip("coalesce(text, '') || chr(10) || coalesce(chunk_id, '')")} end t from chunks)
-select row_id, length(t)::int chars, length({q.strip("t")}) <= 150 rejected from s""",
+select row_id, t as text, length({q.strip("t")}) <= 150 rejected from s""",
     "html_text": f"""with p0 as (select doc_id, '<html><script>x=1<2</script><p>' || replace(text, chr(10), '<br/>') || '</p>&amp;<b>end</b></html>' t from documents),
 p1 as (select doc_id, regexp_replace(regexp_replace(t, '(?is)<script[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style[^>]*>.*?</style\\s*>', ' ', 'g') t from p0),
 p2 as (select doc_id, regexp_replace(regexp_replace(t, '(?i)<(br|/p|/div|/h[1-6]|/li|/tr)[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g') t from p1),
@@ -354,6 +356,19 @@ select doc_id, {q.strip("regexp_replace(t, '\\n{2,}', chr(10), 'g')")} as text f
 b as (select query_id, h, regexp_replace(regexp_replace(t, '^\\s*["''{{]+', ''), '["''}}]+\\s*$', '') t from a),
 c as (select query_id, h, regexp_replace(t, '\\n?\\s*["'']?[0-9]+\\s*([^"\\n]{{2,20}})["'']?\\s*:', chr(10) || chr(10) || '\\1:', 'g') t from b)
 select query_id, case when h = false then {q.text(REFUSALS[0])} else {q.strip("regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g')")} end answer from c""",
-    "graph_export": f"""with {EDGES}, n as (select index_key, count(*)::int nodes from semantic_graph group by 1), e as (select index_key, count(*)::int edges from edges group by 1), m as (select distinct index_key from entity_chunks)
-select index_key, coalesce(nodes, -1)::int nodes, coalesce(edges, -1)::int edges from n full join e using (index_key) full join m using (index_key)""",
+    "graph_export": f"""with {EDGES} select index_key, 'node' part, id, label a, type b, coalesce(cardinality(attrs)::int, -1) n from semantic_graph
+union all select index_key, 'edge', src, dst, relation, weight from edges union all select distinct index_key, 'mention', node_id, chunk_id, null, 0 from entity_chunks""",
+    "semantic_dedup": """with recursive u as (select vec_id, list_transform(embedding, lambda x: x::double) e from embeddings where embedding is not null),
+n as (select vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) e from u),
+near as materialized (select b.vec_id, list(a.vec_id) l from n a join n b on a.vec_id < b.vec_id where list_dot_product(a.e, b.e) > 0.35 group by 1),
+o as materialized (select vec_id, coalesce(l, []::bigint[]) l, row_number() over (order by vec_id) k from u left join near using (vec_id)),
+fold as (select 0::bigint k, []::bigint[] kept union all select o.k, case when list_has_any(kept, l) then kept else list_append(kept, vec_id) end from fold f join o on o.k = f.k + 1)
+select unnest(kept) vec_id from (select arg_max(kept, k) kept from fold)""",
+    "rate_limit": """with recursive o as (select event_id, user_id, epoch_us(ts) t, row_number() over (partition by user_id order by ts, event_id) k from events),
+fold as (
+  select null::bigint event_id, user_id, 0::bigint k, []::bigint[] held, false ok from (select distinct user_id from o)
+  union all
+  select event_id, user_id, k, case when length(now) < 5 then list_append(now, t) else now end, length(now) < 5 from (
+    select o.event_id, o.user_id, o.k, o.t, list_filter(f.held, lambda x: o.t - x <= 21600000000) now from fold f join o on o.user_id = f.user_id and o.k = f.k + 1))
+select event_id, ok accepted from fold where k > 0""",
 }

@@ -491,13 +491,18 @@ def refusal_detect(spark: SparkSession, d: str) -> DataFrame:
 @query
 def answer_decision(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
-    asked, results = t.runs.select("query_id", "query"), materialize(_by_run(t.results), "results")
-    rows = materialize(_answers(t).select("query_id", "query", "context", F.col("answer").alias("raw_answer")), "answers")
+    results = materialize(_by_run(t.results), "results")
+    # queries that no run has searched stand for searches without results
+    idle = t.asked.join(t.debug_info.select("query_id").distinct(), "query_id", "left_anti").select((-1 - F.col("query_id")).alias("query_id"), "query")
+    asked = materialize(t.runs.select("query_id", "query").unionByName(idle), "asked")
+    answers = _answers(t).select("query_id", "context", F.col("answer").alias("raw_answer"))
+    rows = asked.join(answers, "query_id", "left").select("query_id", "query", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("raw_answer", F.lit(gates.REFUSAL)).alias("raw_answer"))
+    rows = materialize(rows, "answers")
     passed = lambda df, name: df.select("query_id", F.col("passed").alias(name))
     rows = rows.join(passed(gates.sufficiency_gate(asked, results), "sufficient"), "query_id")
-    rows = rows.join(passed(gates.confidence_gate(results, "query_id"), "confident"), "query_id")
+    rows = rows.join(passed(gates.confidence_gate(results, "query_id", queries=asked), "confident"), "query_id")
     rows = rows.join(passed(gates.direct_gate(asked, results), "direct"), "query_id").withColumn("results_given", F.lit(True))
-    return gates.decide_answers(rows).select("query_id", "step", F.length("answer").alias("chars"))
+    return gates.decide_answers(rows).select("query_id", "step", F.md5("answer").alias("answer_md5"))
 
 
 @query
@@ -575,7 +580,8 @@ def version_retention(spark: SparkSession, d: str) -> DataFrame:
 @query
 def hash_upsert(spark: SparkSession, d: str) -> DataFrame:
     log = Tables(spark, d).version_log
-    known = log.where("index_path is not null").select("hash").distinct()
+    first = log.where("file_name is not null and hash is not null").groupBy("file_name").agg(F.min_by("hash", F.struct("ts", "version_id")).alias("hash"))
+    known = first.select("hash").distinct()
     return versions.insert_new(known, log.select("hash"))
 
 
@@ -604,7 +610,7 @@ def context_concat(spark: SparkSession, d: str) -> DataFrame:
 @query
 def response_shape(spark: SparkSession, d: str) -> DataFrame:
     rows = context_concat(spark, d).withColumn("r", service.response_json(F.col("context"), F.col("chunk_ids"), F.lit(None).cast("string")))
-    return rows.select("query_id", service.gateway_view(F.col("r")).alias("v")).select("query_id", F.length("v.answer").alias("chars"), F.col("v.n_context").alias("n_context"))
+    return rows.select("query_id", service.gateway_view(F.col("r")).alias("v")).select("query_id", F.md5("v.answer").alias("answer_md5"), F.col("v.n_context").alias("n_context"))
 
 
 @query
@@ -627,7 +633,7 @@ def page_join(spark: SparkSession, d: str) -> DataFrame:
 @query
 def short_text_fallback(spark: SparkSession, d: str) -> DataFrame:
     rows = Tables(spark, d).chunks.select("row_id", loaders.short_text_fallback(F.col("text"), F.col("chunk_id"), 150).alias("r"))
-    return rows.select("row_id", F.length("r.text").alias("chars"), "r.rejected")
+    return rows.select("row_id", "r.text", "r.rejected")
 
 
 @query
@@ -640,4 +646,10 @@ def html_text(spark: SparkSession, d: str) -> DataFrame:
 def graph_export(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     rows = sinks.graph_json(t.semantic_graph, t.edges, t.entity_chunks)
-    return rows.select("index_key", F.size(F.from_json("graph", "nodes array<string>")["nodes"]).alias("nodes"), F.size(F.from_json("graph", "edges array<string>")["edges"]).alias("edges"))
+    kind = "nodes array<struct<id:string,label:string,type:string,attrs:map<string,string>>>, edges array<struct<from:string,to:string,relation:string,weight:int>>, entity_chunks map<string,array<string>>"
+    rows = materialize(rows.select("index_key", F.from_json("graph", kind).alias("g")), "graphs")
+    none = F.lit(None)
+    nodes = rows.select("index_key", F.explode("g.nodes").alias("x")).select("index_key", F.lit("node").alias("part"), "x.id", F.col("x.label").alias("a"), F.col("x.type").alias("b"), F.coalesce(F.size("x.attrs"), F.lit(-1)).alias("n"))
+    edges = rows.select("index_key", F.explode("g.edges").alias("x")).select("index_key", F.lit("edge").alias("part"), F.col("x.from").alias("id"), F.col("x.to").alias("a"), F.col("x.relation").alias("b"), F.col("x.weight").alias("n"))
+    links = rows.select("index_key", F.explode("g.entity_chunks").alias("id", "ids")).select("index_key", F.lit("mention").alias("part"), "id", F.explode("ids").alias("a"), none.cast("string").alias("b"), F.lit(0).alias("n"))
+    return nodes.unionByName(edges).unionByName(links)

@@ -28,8 +28,11 @@ def read_index(spark: SparkSession, path: str, kind: type[Index] | type[FileInde
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(index_key, graph): each file's graph as JSON; nodes and mentions by id, edges by weight."""
-    n = nodes.groupBy("index_key").agg(F.array_sort(F.collect_list(F.struct("id", "label", "type"))).alias("nodes"))
+    """(index_key, graph): each file's graph as JSON; nodes (with attrs where given) and mentions by id, edges by weight."""
+    attrs = F.to_json("attrs") if "attrs" in nodes.columns else F.lit(None).cast("string")
+    listed = F.array_sort(F.collect_list(F.struct("id", "label", "type", attrs.alias("attrs"))))  # maps have no order, their JSON has
+    as_map = F.transform(listed, lambda x: F.struct(x["id"].alias("id"), x["label"].alias("label"), x["type"].alias("type"), F.from_json(x["attrs"], "map<string,string>").alias("attrs")))
+    n = nodes.groupBy("index_key").agg(as_map.alias("nodes"))
     heavy = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "edge_pos", F.col("src").alias("from"), F.col("dst").alias("to"), "relation", "weight"))),
                         lambda e: F.struct(e["from"].alias("from"), e["to"].alias("to"), e["relation"].alias("relation"), e["weight"].alias("weight")))
     e = edges.groupBy("index_key").agg(heavy.alias("edges"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docquarry.config import Config, load_config
 from docquarry.functions import text as tx
 from docquarry.operators import chunking, evaluate, fusion, gates, graph, lexical, service, vector, versions
+from docquarry.plans import retrieval
 from docquarry.sources import loaders, sinks
 
 
@@ -306,3 +307,57 @@ def test_cypher_source(spark, tmp_path, monkeypatch):
     assert got == ["a", "b"]
     cypher.write_part(cypher_rows, "nodes", uri="x", module="fakestore")
     assert (tmp_path / "written").read_text().split() == ["e1", "e1"]
+
+
+def hybrid_tables(spark):
+    texts = ["alpha beta", "alpha gamma delta", "beta beta beta", "delta entity one", "plain words here", "alpha alpha"]
+    chunks = spark.createDataFrame([(i, "f", i, f"c{i}", "p1" if i < 4 else "p2", t) for i, t in enumerate(texts)] + [(10, "g", 0, "c9", "p1", "alpha alpha alpha")], "row_id bigint, index_key string, pos int, chunk_id string, parent_id string, text string")
+    nodes = spark.createDataFrame([("f", "e1", "alpha"), ("f", "e2", "omega"), ("f", "e3", "delta"), ("g", "e1", "zeta")], "index_key string, id string, label string")
+    edges = spark.createDataFrame([("f", 0, "e1", "e3", "r", 2), ("f", 1, "e3", "e2", "r", 1)], "index_key string, edge_pos int, src string, dst string, relation string, weight int")
+    mentions = spark.createDataFrame([("f", "e1", f"c{i}") for i in (0, 1, 2, 3, 4)], "index_key string, node_id string, chunk_id string")
+    searches = spark.createDataFrame([(1, "f", "alpha beta"), (2, "g", "nothing known"), (3, "h", "alpha")], "query_id bigint, index_key string, query string")
+    return searches, chunks, nodes, edges, mentions
+
+
+def test_hybrid_search_of_a_file(spark, tmp_path):
+    searches, chunks, nodes, edges, mentions = hybrid_tables(spark)
+    wide = {r["query_id"]: r["query"] for r in retrieval.expanded_searches(searches, nodes, edges, None).collect()}
+    assert wide == {1: "alpha beta delta omega", 2: "nothing known", 3: "alpha"}  # two hops from alpha, in this file only
+    index = retrieval.file_index(chunks)
+    sinks.write_index(index, str(tmp_path / "index"))
+    saved = sinks.read_index(spark, str(tmp_path / "index"), lexical.FileIndex)
+    got = {n: retrieval.hybrid_topk(searches, i, nodes, edges, mentions).orderBy("query_id", "rank").collect() for n, i in (("built", index), ("saved", saved))}
+    assert got["built"] == got["saved"]
+    rows = {(r["query_id"], r["chunk_id"]): r for r in got["built"]}
+    assert {k for k, _ in rows} == {1, 2} and {c for k, c in rows if k == 2} == {"c9"}  # a search stays in its file; no file, no rows
+    # three chunks an entity, two a parent: c0 and c1 of p1, then c4 of p2
+    assert {c for (k, c), r in rows.items() if k == 1 and r["graph_boost"]} <= {"c0", "c1", "c4"} and rows[1, "c0"]["graph_boost"]
+    assert not rows[1, "c0"]["graph_fallback_used"] and rows[2, "c9"]["evidence_type"] == "weak"
+    context = {r["chunk_id"]: r for r in retrieval.with_context(retrieval.hybrid_topk(searches, index, nodes, edges, mentions), chunks).where("query_id = 1").collect()}
+    assert context["c0"]["text"] == "alpha beta\nalpha gamma delta\nbeta beta beta" and context["c0"]["chunk_text"] == "alpha beta"
+
+
+def test_hybrid_takes_another_embedder_and_depth(spark):
+    searches, chunks, nodes, edges, mentions = hybrid_tables(spark)
+
+    def embed(rows, key, text):
+        return rows.select(key, F.array(F.length(text).cast("double"), F.lit(1.0)).alias("embedding"))
+
+    index = retrieval.file_index(chunks, embed)
+    found = retrieval.hybrid_topk(searches.where("query_id = 1"), index, nodes, edges, mentions, embed=embed, config=Config(candidate_top_k=2, final_top_k=10))
+    rows = {r["chunk_id"]: r for r in found.collect()}
+    longest = {"c1", "c3"}  # the two longest chunks are the dense ones
+    assert {c for c, r in rows.items() if r["vector_score"] > 0} <= longest | {"c4"} and sum(r["bm25_score"] > 0 for r in rows.values()) <= 2
+    assert "c4" in rows and rows["c4"]["graph_boost"] and rows["c4"]["bm25_score"] == 0  # appended by the graph
+
+
+def test_confidence_of_queries_without_results(spark):
+    queries = spark.createDataFrame([(1,), (2,)], "run_id bigint")
+    got = {r["run_id"]: r for r in gates.confidence_gate(result_rows(spark, [1.0, 0.5]), queries=queries).collect()}
+    assert got[2]["reasons"] == ["empty_topk"] and not got[2]["passed"] and got[2]["rows"] == 0
+
+
+def test_vectors_of_several_lengths_are_refused(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(ValueError):
+        vector.vector_topk(rows, rows.withColumnRenamed("vec_id", "query_id"), 2)
