@@ -39,7 +39,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Null ends and self-links add nothing; repeated links count once; an empty table gives an empty result.  Links are
     first contracted within Arrow batches, then by alternating large-star and small-star rounds (O(log^2 n) of them),
-    each written to the shared folder.  Hot nodes cost one partially aggregated minimum and an adaptively split join.
+    each written to the shared folder; links that are not settled after 60 rounds raise RuntimeError.  Hot nodes cost one partially aggregated minimum and an adaptively split join.
     """
     pairs = (
         links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -63,6 +63,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         if at == before:
             break
         before = at
+    else:
+        raise RuntimeError(f"components not settled after {_MAX_ROUNDS} rounds")
     # every node now points at the smallest of its component
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).distinct()
