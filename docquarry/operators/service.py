@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Limits and error codes of the protocol.
-INVALID, LIMITED = 40001, 40002
+INVALID, LIMITED, INTERNAL = 40001, 40002, 50001
 SEPARATOR = "\n\n---\n\n"
 
 

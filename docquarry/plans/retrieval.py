@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.config import DEFAULTS, Config
 from docquarry.functions.text import paragraphs
-from docquarry.operators import chunking, fusion, graph, lexical, vector
+from docquarry.operators import chunking, evaluate, fusion, graph, lexical, vector
 from docquarry.storage import materialize
 
 
@@ -83,3 +85,24 @@ def with_context(results: DataFrame, chunks: DataFrame, reach: int = 2) -> DataF
     files = chunks.join(results.select(F.col("index_key")).distinct(), "index_key", "left_semi")
     windows = lexical.expand_windows(files, reach).join(files.select("row_id", F.col("text").alias("chunk_text")), "row_id")
     return results.join(windows.withColumnRenamed("window_text", "text"), "row_id")
+
+
+def tuned_depths(
+    queries: DataFrame, searches: DataFrame, chunks: DataFrame, index: lexical.FileIndex, nodes: DataFrame, edges: DataFrame, mentions: DataFrame,
+    depths: list[int], synonyms: DataFrame | None = None, embed: Embedder = vector.dense_embedding, config: Config = DEFAULTS,
+) -> list[dict]:
+    """One report for each candidate depth, of searches run anew at that depth, with seconds; the best one is marked.
+
+    ``queries``: query_id, expected_keywords, has_answer_in_doc of the searches.  Best is the greatest recall, then the
+    greatest mean reciprocal rank, then the shortest time.
+    """
+    reports = []
+    for depth in depths:
+        began = time.perf_counter()
+        found = hybrid_topk(searches, index, nodes, edges, mentions, synonyms, embed, replace(config, candidate_top_k=depth))
+        hits = evaluate.first_hits(queries, with_context(found, chunks).select("query_id", "rank", F.col("chunk_text").alias("text")), config.final_top_k)
+        row = evaluate.retrieval_report(queries, hits).first().asDict()
+        took = time.perf_counter() - began
+        reports.append({"candidate_top_k": depth, "final_top_k": config.final_top_k, **row, "elapsed_seconds": round(took, 3), "avg_ms_per_query": round(1000 * took / max(1, row["total_queries"]), 2)})
+    best = max(reports, key=lambda r: (r["recall_at_k"], r["mrr"], -r["avg_ms_per_query"]), default=None)
+    return [r | {"is_best": r is best} for r in reports]

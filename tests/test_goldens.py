@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docquarry.config import Config, load_config
 from docquarry.functions import text as tx
 from docquarry.operators import chunking, evaluate, fusion, gates, graph, lexical, service, vector, versions
-from docquarry.plans import retrieval
+from docquarry.plans import retrieval, serving
 from docquarry.sources import loaders, sinks
 
 
@@ -361,3 +361,43 @@ def test_vectors_of_several_lengths_are_refused(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "vec_id bigint, embedding array<double>")
     with pytest.raises(ValueError):
         vector.vector_topk(rows, rows.withColumnRenamed("vec_id", "query_id"), 2)
+
+
+def test_depths_are_searched_anew(spark):
+    searches, chunks, nodes, edges, mentions = hybrid_tables(spark)
+    queries = spark.createDataFrame([(1, ["gamma"], True), (2, ["zzz"], False), (3, ["alpha"], None)], "query_id bigint, expected_keywords array<string>, has_answer_in_doc boolean")
+    reports = retrieval.tuned_depths(queries, searches, chunks, retrieval.file_index(chunks), nodes, edges, mentions, [1, 5])
+    assert [r["candidate_top_k"] for r in reports] == [1, 5] and sum(r["is_best"] for r in reports) == 1
+    assert all(r["total_queries"] == 3 and r["elapsed_seconds"] > 0 for r in reports) and reports[1]["hit_count"] == 1
+
+
+def test_service_routes():
+    now = [0.0]
+    service = serving.Service(lambda q, k: [{"chunk_id": "c1", "text": "first"}, {"chunk_id": "c2", "text": q}][:k], clock=lambda: now[0], limit=2)
+    assert service.answer("GET", "/health") == (200, {"status": "ok"})
+    assert service.answer("GET", "/v1/models")[1]["capabilities"] == ["query", "health"]
+    status, body = service.answer("POST", "/v1/completions", json.dumps({"query": "what", "top_k": 1}))
+    assert status == 200 and body["choices"][0]["context"] == ["c1"]
+    assert service.answer("POST", "/v1/completions", "{}")[0] == 400
+    assert service.answer("POST", "/v1/completions", "{}") == (429, {"error": {"code": 40002, "message": "Rate limit exceeded"}})
+    now[0] = 2.0
+
+    def fail(_q, _k):
+        raise RuntimeError("no index")
+
+    service.retrieve = fail
+    assert service.answer("POST", "/v1/completions", json.dumps({"query": "what"})) == (500, {"error": {"code": 50001, "message": "Internal processing error"}})
+    assert service.answer("GET", "/nothing")[0] == 404
+
+
+def test_service_over_http():
+    import threading
+    import urllib.request
+
+    server = serving.serve(serving.Service(lambda q, k: [{"chunk_id": "c1", "text": "一段"}]), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    ask = urllib.request.Request(f"{base}/v1/completions", json.dumps({"query": "什么"}).encode(), {"Content-Type": "application/json"})
+    assert json.loads(urllib.request.urlopen(ask, timeout=10).read())["choices"][0]["text"] == "一段"
+    assert json.loads(urllib.request.urlopen(f"{base}/health", timeout=10).read()) == {"status": "ok"}
+    server.shutdown()
