@@ -12,8 +12,9 @@ formed in their bucket.  With p = J + (1 - J) / 16 a pair meets in one table wit
 p^10 + 10 p^9 (1 - p) + 45 p^8 (1 - p)^2, in one of ``TABLES`` independent ones with 0.967 at J = 0.70, 0.994 at 0.75
 and 0.9995 at 0.80.
 
-Colliding pairs are thinned in their bucket by a sketch of ``SKETCH`` bits over all trigrams, then the exact trigram
-similarity decides.
+Colliding pairs are thinned in their bucket by a sketch of ``SKETCH`` bits over all trigrams (two of each minimum, so
+that texts of one subject, which share a third of their trigrams, seldom pass), then the exact trigram similarity
+decides.  The tables are taken one after the other, so that the wide sketches of only one lie in the shuffle.
 """
 
 from __future__ import annotations
@@ -36,14 +37,15 @@ TABLES = 6
 PLACES = 10  # elements of a fingerprint, of four bits each
 OUT = 2  # elements that a variant leaves out: half the radius
 BLOCKS = ((0, 1, 2, 3), (4, 5, 6), (7, 8, 9))  # fingerprints that differ in at most OUT places agree in a block
-SKETCH = 192  # bits over all trigrams that thin the candidates
-BINS = 128  # of each of two hash functions; TABLES * PLACES + SKETCH minima are used
+SKETCH = 384  # bits over all trigrams that thin the candidates, two of each minimum
+BINS = 128  # of each of two hash functions; TABLES * PLACES + SKETCH / 2 minima are used
 SLACK = 3.0  # standard deviations allowed to the sketch distance: a pair at the threshold is lost with probability 0.001
 SMALL_RUN = 48  # up to here all pairs of a run are compared by offsets, above in blocks
 BLOCK = 2048  # members of a run that are compared with as many others at once
 DENSE = 8  # near pairs a member from which a run links first and next members only; the rest follows (rest_of_runs)
 ROWS_A_BUCKET = 16_000  # texts a bucket, so that a task stays of one size however large the table is
 PAIRS_AT_ONCE = 512
+CELLS = 1 << 16  # comparisons of sketches at once
 WANTED = 1 << 20
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -101,12 +103,21 @@ def fingerprints(low: np.ndarray) -> np.ndarray:
 
 
 def sketches(low: np.ndarray) -> np.ndarray:
-    """uint64 array (texts, SKETCH / 64): one bit of each of SKETCH other minima."""
-    low = low[:, TABLES * PLACES : TABLES * PLACES + SKETCH]
-    bits = (low * np.uint32(0x85EBCA6B) >> np.uint32(17) & np.uint32(1)).astype(np.uint8)
+    """uint64 array (texts, SKETCH / 64): one bit of each of SKETCH / 2 other minima, then another bit of each."""
+    low = low[:, TABLES * PLACES : TABLES * PLACES + SKETCH // 2] * np.uint32(0x85EBCA6B)
+    bits = np.concatenate([(low >> np.uint32(k) & np.uint32(1)).astype(np.uint8) for k in (17, 18)], 1)
     return np.packbits(bits, axis=1).view(np.uint64)
 
 
+def sketch_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of minima in which sketches differ; words are the last axis, the others broadcast."""
+    half = SKETCH // 128
+    out = np.bitwise_count((a[..., 0] ^ b[..., 0]) | (a[..., half] ^ b[..., half])).astype(np.int16)
+    for i in range(1, half):
+        out += np.bitwise_count((a[..., i] ^ b[..., i]) | (a[..., half + i] ^ b[..., half + i]))
+    return out
+
+
 def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``, so that arrays per character stay small."""
     for b in batches:
@@ -174,8 +185,8 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return ids, sketch, many, wide.view(np.uint64).ravel()
 
 
-def _emit(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(rep, sig, sketch) -> (bucket, blob): each fingerprint once for each of its blocks."""
+def _emit(buckets: int, table: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(rep, sig, sketch) -> (bucket, blob): the fingerprint of ``table`` once for each of its blocks."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,6 +196,7 @@ def _emit(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(len(ids), TABLES, 1)
             sketch = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(len(ids), -1)
             code = np.arange(TABLES * len(BLOCKS), dtype=np.uint64).reshape(TABLES, len(BLOCKS)) << np.uint64(4 * PLACES)
+            sig, code = sig[:, [table]], code[[table]]
             bucket = _mix((sig & _HELD | code) * _M1) % np.uint64(buckets)
             yield _pack(ids, sketch, bucket.astype(np.int64).reshape(len(ids), -1), (sig | code).reshape(len(ids), -1), buckets)
 
@@ -192,15 +204,40 @@ def _emit(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def _near(sketch: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    return np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64) <= most
-
-
-def _pairs_of_runs(key: np.ndarray, who: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return sketch_distance(sketch[a], sketch[b]) <= most
+
+
+def _near_blocks(mine: np.ndarray, other: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i of ``mine`` and j of ``other`` whose sketches are near, by j and then i; of one array only i < j."""
+    within = mine is other
+    mine, other = np.asfortranarray(mine), np.asfortranarray(other)  # whole columns are read
+    step = max(1, CELLS // max(len(mine), 1))
+    out = [np.zeros((0, 2), np.int64)]
+    for lo in range(0, len(other), step):
+        hi = min(lo + step, len(other))
+        left = mine[: hi - 1] if within else mine
+        j, i = np.nonzero(sketch_distance(other[lo:hi, None], left[None]) <= most)
+        kept = i < j + lo if within else slice(None)
+        out.append(np.stack([i[kept], j[kept] + lo], 1))
+    return tuple(np.concatenate(out).T)
+
+
+def _ends(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs sorted by j and i, the first and the last of each j."""
+    new = np.r_[True, j[1:] != j[:-1]]
+    kept = new | np.r_[new[1:], True]
+    return i[kept], j[kept]
+
+
+def _pairs_of_runs(
+    key: np.ndarray, who: np.ndarray, sketch: np.ndarray, most: int, across: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (a, b) within runs of equal keys that the sketches leave as candidates, and keys and members of open runs.
 
     All pairs of a run of up to BLOCK members are compared.  Where more than DENSE near pairs a member come out, only
     those of each member with its first and last near predecessor are given and the run stays open: all links that
-    verified pairs leave out are found later (rest_of_runs).  So does a longer run, of which blocks are compared here.
+    verified pairs leave out are found later (rest_of_runs).  So does a longer run, of which blocks are compared here;
+    with ``across`` each block is compared with all before it too, so that only crowded runs stay open.
     """
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
@@ -217,22 +254,29 @@ def _pairs_of_runs(key: np.ndarray, who: np.ndarray, sketch: np.ndarray, most: i
         out_a.append(a[near])
         out_b.append(b[near])
     for s, n in zip(start[size > SMALL_RUN], size[size > SMALL_RUN]):
-        dense = n > BLOCK
-        for lo in range(s, s + n, BLOCK):
-            mine = who[lo : min(lo + BLOCK, s + n)]
-            mine_sketch = sketch[mine]
-            pairs, found = [], 0
-            for j in range(1, len(mine)):
-                i = np.flatnonzero(np.bitwise_count(mine_sketch[:j] ^ mine_sketch[j]).sum(1, dtype=np.int64) <= most)
-                if len(i):
-                    found += len(i)
-                    pairs.append((i, j))
-            crowded = found > DENSE * len(mine)
+        dense = n > BLOCK and not across
+        parts = [who[lo : min(lo + BLOCK, s + n)] for lo in range(s, s + n, BLOCK)]
+        prints = [sketch[p] for p in parts]
+        for x in range(len(parts)):
+            i, j = _near_blocks(prints[x], prints[x], most)
+            crowded = len(i) > DENSE * len(parts[x])
             dense = dense or crowded
-            for i, j in pairs:
-                i = np.unique(i[[0, -1]]) if crowded else i
-                out_a.append(mine[i])
-                out_b.append(np.full(len(i), mine[j]))
+            i, j = _ends(i, j) if crowded else (i, j)
+            out_a.append(parts[x][i])
+            out_b.append(parts[x][j])
+        for x in range(1, len(parts)):
+            if dense:
+                break
+            room = DENSE * len(parts[x])
+            for y in range(x):
+                i, j = _near_blocks(prints[y], prints[x], most)
+                room -= len(i)
+                dense = room < 0
+                i, j = _ends(i, j) if dense else (i, j)
+                out_a.append(parts[y][i])
+                out_b.append(parts[x][j])
+                if dense:
+                    break
         if dense:
             open_runs.append(np.arange(s, s + n))
     at = np.concatenate([np.zeros(0, np.int64), *open_runs])
@@ -263,7 +307,7 @@ def _meet(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 twice = np.r_[k[1:] == k[:-1], False]
                 twice[1:] |= k[1:] == k[:-1]
                 if twice.any():
-                    a, b, run, member = _pairs_of_runs(k[twice], who[o[by_key[twice]]], sketch, most)
+                    a, b, run, member = _pairs_of_runs(k[twice], who[o[by_key[twice]]], sketch, most, across=True)
                     found.append(np.stack([ids[a], ids[b]], 1))
                     name = _mix((run | np.uint64(int(c) * 64 + turn << 4 * PLACES)) * _M1).view(np.int64)
                     members.append(np.stack([ids[member], name], 1))
@@ -329,16 +373,25 @@ def signed_rows(chunks: DataFrame, key: str = "row_id", text: str = "text") -> t
 
 def most_apart(threshold: float, slack: float | None) -> int:
     """The greatest distance of two sketches within ``slack`` standard deviations of what the threshold lets expect."""
-    apart = (1 - threshold) / 2
-    return SKETCH if slack is None else int(SKETCH * apart + slack * float(np.sqrt(SKETCH * apart * (1 - apart))))
+    n, apart = SKETCH // 2, (1 - threshold) * 3 / 4
+    return n if slack is None else int(n * apart + slack * float(np.sqrt(n * apart * (1 - apart))))
 
 
 def ball_rows(forms: DataFrame, most: int) -> DataFrame:
-    """(a, b, run), written: pairs of representatives whose balls meet, and the members a of the open runs."""
+    """(a, b, run), written: pairs of representatives whose balls meet, and the members a of the open runs.
+
+    Shuffle files of one table go before the next (Spark removes them when the driver collects garbage).
+    """
     rows = forms.where("n >= 3").select("rep", "sig", "sketch")
     parts = max(2, -(-rows.count() // ROWS_A_BUCKET))
-    blobs = rows.mapInArrow(_emit(parts), "bucket int, blob binary").repartitionById(parts, "bucket").sortWithinPartitions("bucket")
-    return materialize(blobs.mapInArrow(_meet(most), "a bigint, b bigint, run bigint"), "met")
+    met = None
+    for t in range(TABLES):
+        blobs = rows.mapInArrow(_emit(parts, t), "bucket int, blob binary").repartitionById(parts, "bucket").sortWithinPartitions("bucket")
+        mine = materialize(blobs.mapInArrow(_meet(most), "a bigint, b bigint, run bigint"), "met")
+        del blobs
+        forms.sparkSession._jvm.System.gc()
+        met = mine if met is None else met.unionByName(mine)
+    return met
 
 
 def rest_of_runs(runs: DataFrame, links: DataFrame, forms: DataFrame, most: int) -> DataFrame:
@@ -370,7 +423,7 @@ def rest_of_runs(runs: DataFrame, links: DataFrame, forms: DataFrame, most: int)
         sides = [np.frombuffer(b"".join(x["sketch"]), np.uint64).reshape(-1, SKETCH // 64) for x in (left, right)]
         out = [np.zeros((0, 2), np.int64)]
         for n, (i, comp) in enumerate(zip(left["id"].to_numpy(), left["component"].to_numpy())):
-            far = np.bitwise_count(sides[0][n] ^ sides[1]).sum(1, dtype=np.int64)
+            far = sketch_distance(sides[0][n], sides[1])
             j = right["id"].to_numpy()[(far <= most) & (right["component"].to_numpy() != comp)]
             out.append(np.stack([np.minimum(i, j), np.maximum(i, j)], 1))
         return pd.DataFrame(np.concatenate(out), columns=["a", "b"])

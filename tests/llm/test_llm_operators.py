@@ -212,6 +212,29 @@ def test_members_of_open_runs_meet_all_others(spark, monkeypatch):
     assert [tuple(r) for r in near_copies.rest_of_runs(runs, links, forms, most).collect()] == [(5, 40)]
 
 
+def test_long_runs_of_unlike_texts_do_not_stay_open(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    rng = random.Random(36)
+    texts = [p[0] for p in changed_copies(rng, 60, 300, 1)]
+    texts[40] = texts[5][:-20] + texts[40][:20]  # in another block than its copy
+    forms = form_rows(spark, [(i, np.zeros(near_copies.TABLES, np.uint64), x) for i, x in enumerate(near_copies.sketches(near_copies.minima(texts)))])
+    met = near_copies.ball_rows(forms, near_copies.most_apart(0.7, near_copies.SLACK)).distinct()
+    assert [tuple(r) for r in met.collect()] == [(5, 40, None)]  # compared in full, nothing left for a second round
+
+
+def test_sketches_keep_texts_of_one_subject_apart():
+    rng = random.Random(37)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    made = lambda n: "".join(rng.choices(letters, k=n))
+    most = near_copies.most_apart(0.7, near_copies.SLACK)
+    passed = []
+    for common in (165, 255):  # of 300 letters, so similarities of 0.37 and 0.73
+        pairs = [(x + made(300 - common), x + made(300 - common)) for x in (made(common) for _ in range(2000))]
+        a, b = (near_copies.sketches(near_copies.minima([p[i] for p in pairs])) for i in (0, 1))
+        passed.append((near_copies.sketch_distance(a, b) <= most).mean())
+    assert passed[0] < 0.001 and passed[1] > 0.998
+
+
 def test_hot_family_of_varied_copies_stays_linear(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "BLOCK", 64)
     rng = random.Random(35)
