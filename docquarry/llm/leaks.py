@@ -141,6 +141,25 @@ def _split(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both >> 32, both & 0xFFFFFFFF
 
 
+@dataclass
+class Pieces:
+    """Places of items that documents hold in long pieces: number of the (document, item) pair and shingle of each."""
+
+    pair: np.ndarray
+    shingle: np.ndarray
+    flat: np.ndarray  # all places of the pairs' items, and where each pair's begin
+    start: np.ndarray
+    pairs: int
+
+    def shares(self, weight: np.ndarray) -> np.ndarray:
+        """Weighted share of the item of each pair that its document holds, as of ``covered``."""
+        if not self.pairs:
+            return np.zeros(0)
+        total = np.bincount(np.repeat(np.arange(self.pairs), np.diff(self.start)), weight[self.flat], self.pairs)
+        got = np.bincount(self.pair, weight[self.shingle], self.pairs)
+        return np.where(total > 0, got / np.where(total > 0, total, 1.0), 0.0)
+
+
 @dataclass
 class ItemIndex:
     """Fingerprints of the item windows by block value, and the items' shingles."""
@@ -179,6 +198,25 @@ class ItemIndex:
         begin = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
         return ItemIndex(np.array(ids, np.int64), prints, owner, order, edge, distinct, spans, pairs[:, 1], begin, np.array([len(x) for x in own], np.int64))
 
+    def pieces(self, doc: np.ndarray, item: np.ndarray, of: np.ndarray, held: np.ndarray) -> Pieces:
+        """What each (document, item) shares; documents ``of`` hold the shingles ``held``, sorted by both."""
+        size = np.array([len(x) for x in self.spans], np.int64)
+        begin = np.r_[0, np.cumsum(size)]
+        n = size[item]
+        start = np.r_[0, np.cumsum(n)]
+        pair = np.repeat(np.arange(len(item)), n)
+        place = np.arange(start[-1]) - np.repeat(start[:-1], n)
+        flat = np.concatenate([np.zeros(0, np.int64), *self.spans])[np.repeat(begin[item], n) + place]
+        have, want = _join(of, held), _join(doc[pair], flat)
+        k = np.minimum(np.searchsorted(have, want), max(len(have) - 1, 0))
+        where = np.flatnonzero(have[k] == want) if len(have) else np.zeros(0, np.int64)
+        if len(where):
+            new = np.r_[True, (np.diff(where) > SHINGLE + 1) | (np.diff(pair[where]) > 0)]
+            first, last = where[new], where[np.r_[new[1:], True]]
+            long = last - first + SHINGLE >= np.minimum(PIECE, n[pair[first]] + SHINGLE - 1)
+            where = where[long[np.cumsum(new) - 1]]
+        return Pieces(pair[where], flat[where], flat, start, len(item))
+
     def short_candidates(self, doc: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (document, short item) where the document holds at least SHARE of the item's shingles."""
         lo = self.short_edge[held]
@@ -233,15 +271,18 @@ def _scan(index: ItemIndex) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 counts += np.bincount(held, minlength=len(counts))
                 found = [_join(*index.candidates(*windows_of(t, stride=True))), _join(*index.short_candidates(of, held))]
                 doc, item = _split(np.unique(np.concatenate(found)))
+                pieces = index.pieces(doc, item, of, held)
+                part = pieces.shares(same)
+                pair = np.repeat(np.arange(len(doc)), np.diff(pieces.start))
+                whole = (part >= WHOLE)[pair]
+                mine = np.intersect1d(_join(doc[pair[whole]], pieces.flat[whole]), _join(of, held))
+                counts -= np.bincount(_split(mine)[1], minlength=len(counts))
+                doc, item = doc[part > 0], item[part > 0]  # the others share no piece, whatever their shingles weigh
                 if not len(doc):
                     continue
                 docs, start = np.unique(doc, return_index=True)
                 items = np.split(item, start[1:])
                 hits = [held[x:y] for x, y in zip(np.searchsorted(of, docs), np.searchsorted(of, docs, side="right"))]
-                for mine, its in zip(hits, items):
-                    whole = [index.spans[i] for i in its if covered(index.spans[i], mine, same) >= WHOLE]
-                    if whole:
-                        counts[mine[np.isin(mine, np.concatenate(whole))]] -= 1
                 yield _batch(ids[docs], [x.tolist() for x in items], [x.tolist() for x in hits])
         seen = np.flatnonzero(counts)
         yield _batch(None, None, None, seen, counts[seen])
@@ -285,15 +326,12 @@ def covered(span: np.ndarray, held: np.ndarray, weight: np.ndarray) -> float:
 def _judge(index: ItemIndex, weight: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc, items, hits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                held = np.array(hits, np.int64)
-                out += [(doc, int(index.ids[i]), covered(index.spans[i], held, weight)) for i in items]
-            cols = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())],
-                names=["doc_id", "item_id", "share"],
+            ids = b.column(0).to_numpy()
+            (doc, item), (of, held) = (
+                (np.repeat(np.arange(len(ids)), np.diff(x.offsets.to_numpy())), x.flatten().to_numpy().astype(np.int64)) for x in (b.column(1), b.column(2))
             )
+            part = index.pieces(doc, item, of, held).shares(weight)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[doc], index.ids[item], part)], names=["doc_id", "item_id", "share"])
 
     return judge
 

@@ -451,6 +451,37 @@ def test_leaks(spark):
     assert leaks.leaked_items(table(spark, docs, "doc_id bigint, text string"), table(spark, [], "item_id bigint, passage string")).count() == 0
 
 
+def test_shares_of_all_pairs_equal_those_of_each():
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(40)]
+    index = leaks.ItemIndex.build(list(range(30)), [" ".join(rng.choice(words, rng.integers(2, 60))) for _ in range(30)])
+    n = len(index.shingle)
+    weight = rng.random(n) * (rng.random(n) < 0.8)
+    held, doc, item = [], [], []
+    for d in range(50):
+        parts = [index.spans[i][x : x + rng.integers(1, 30)] for i in rng.integers(0, 30, 4) for x in [rng.integers(0, max(1, len(index.spans[i])))]]
+        held.append(np.unique(np.concatenate([*parts, rng.integers(0, n, 20)])))
+        item += range(30)
+        doc += [d] * 30
+    got = index.pieces(np.array(doc), np.array(item), np.repeat(np.arange(50), [len(x) for x in held]), np.concatenate(held))
+    for w in (weight, np.ones(n)):
+        assert np.allclose(got.shares(w), [leaks.covered(index.spans[i], held[d], w) for d, i in zip(doc, item)])
+    assert 50 < (got.shares(weight) > 0).sum() < 1400
+
+
+def test_documents_without_a_piece_are_not_judged():
+    rng = random.Random(15)
+    made = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    items = [made(30) for _ in range(5)]
+    cut = items[0].split(" ")  # nine words of it: a window alike, no piece of ten tokens
+    texts = [f"{made(20)} {items[1]} {made(20)}", f"{made(20)} {' '.join(cut[3:12])} {made(20)}"]
+    index = leaks.ItemIndex.build(list(range(5)), items)
+    rows = leaks.pa.RecordBatch.from_arrays([leaks.pa.array([7, 8]), leaks.pa.array(texts)], names=["doc_id", "text"])
+    pairs = index.candidates(*leaks.windows_of(leaks.tokens_of(texts), stride=True))
+    found = [(r["doc_id"], i) for b in leaks._scan(index)(iter([rows])) for r in b.to_pylist() if r["doc_id"] for i in r["items"]]
+    assert found == [(7, 1)] and (0, 1) in set(zip(*pairs))
+
+
 def test_widely_leaked_and_short_items(spark):
     rng = random.Random(12)
     words = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) for _ in range(3000)]
