@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.print_forms import plain_marks
 from docquarry.llm.prose import PROSE
+from docquarry.storage import materialize
 
 # Chinese function characters that are often parts of words, so they do not part content words.
 PARTS_OF_WORDS = "用会向下上中内地能"
@@ -68,11 +69,11 @@ FUNCTION_WORDS = {
     "part": {"zh": "的 等 得 地 の", "en": "s t"},
 }
 WINDOW = 24  # tokens of a stretch
-SAMPLE = 3000  # documents that the model is fitted on (a bounded sample by hash)
+STEPS = 4096  # steps of a stretch's value (a mean log-probability) by which values are counted for their median
 LIMIT = 4.0  # standard deviations of prose that a stretch may be away
 HALF = 0.5
 LEAST_SPREAD = 0.12  # of the stretches' values; the texts of one table may be more alike than prose is
-PROSE_WEIGHT = 100  # texts of the sample for which the ordinary prose (prose.py) counts once
+PROSE_WEIGHT = 100  # texts for which the ordinary prose (prose.py) counts once
 
 _KIND = {w: kind for kind, by in FUNCTION_WORDS.items() for words in by.values() for w in words.split()}
 _ZH_CHARS = "".join(sorted(w for w in _KIND if len(w) == 1 and ord(w) >= 0x2E80))
@@ -203,58 +204,131 @@ def _paragraphs(sentences: list[str]) -> list[str]:
     return [" ".join(sentences[i : i + 5]) for i in range(0, len(sentences), 5)]
 
 
-def fit_prose(texts: list[str]) -> ProseModel:
-    """Fit on the prose of a bounded sample and on ordinary prose of several languages.
+def prose_lines(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the tokens of the lines that may be prose, one after the other, and tokens per line.
 
-    Lines of the sample count as prose where they hold function words, no link and few words said again or without a
-    function word between; they are filtered twice by the model.
-    How far ordinary prose may be from the middle is measured on the half of it that a model has not seen.
+    They hold function words, no link and few words said again or without a function word between.
     """
     lines = [line + "\n" for t in texts for line in (t or "").split("\n")]
-    classes, sizes, counts = class_sequences(lines)
+    classes, _sizes, counts = class_sequences(lines)
     at = np.repeat(np.arange(len(lines)), counts)
     share = lambda flag: np.bincount(at, flag[classes], len(lines)) / np.maximum(counts, 1)
     is_url = np.arange(V) == _ID["URL"]
     good = (counts >= 12) & (share(is_url) == 0) & (share(_IS_BREAK) <= 0.05) & (share(_IS_FUNCTION) >= 0.15) & (share(_IS_LONG_RUN) == 0) & (share(_IS_AGAIN) <= 0.2)
-    copies = 1 + len(texts) // PROSE_WEIGHT
+    return classes[good[at]], counts[good]
+
+
+def _fair(model: ProseModel | None, classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lines of which half of the stretches or more are of the model's range; without a model all."""
+    if model is None or not len(counts):
+        return classes, counts
+    score, _z, lang, text = model.stretches(classes, classes, counts)
+    near = (score >= model.low[lang]) & (score <= model.high[lang])
+    fair = np.bincount(text, near, len(counts)) / np.maximum(np.bincount(text, minlength=len(counts)), 1) >= 0.5
+    return classes[np.repeat(fair, counts)], counts[fair]
+
+
+def _trigrams(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the trigrams of class sequences, sorted, and the times of each."""
+    place = np.arange(len(classes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    one = np.where(place > 0, np.r_[0, classes[:-1]][: len(classes)], _START)
+    two = np.where(place > 1, np.r_[0, 0, classes[:-2]][: len(classes)], _START)
+    return np.unique((two * V + one) * V + classes, return_counts=True)
+
+
+def _values(model: ProseModel, classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the values of stretches (steps of 1 / STEPS, two numbers a step for the two writings) and the times of each."""
+    score, _z, lang, _text = model.stretches(classes, classes, counts)
+    return np.unique(2 * np.round(score * STEPS).astype(np.int64) + lang, return_counts=True)
+
+
+Tally = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _median(value: np.ndarray, times: np.ndarray) -> float:
+    order = np.argsort(value, kind="stable")
+    value, upto = value[order], np.cumsum(times[order])
+    middle = [(upto[-1] - 1) // 2, upto[-1] // 2]
+    return float(value[np.searchsorted(upto, middle, side="right")].mean())
+
+
+def _fit(texts: int, tally: Callable[[ProseModel | None, Tally], tuple[np.ndarray, np.ndarray]]) -> ProseModel:
+    """Fit on so many texts; ``tally`` sums what a function counts over all of their lines that a model finds fair.
+
+    How far ordinary prose may be from the middle is measured on the half of it that a model has not seen.
+    """
+    copies = 1 + texts // PROSE_WEIGHT
     halves = [class_sequences(_paragraphs(PROSE[k::2])) for k in (0, 1)]
+    known = [_trigrams(c, n) for c, _sizes, n in halves]
     model = None
     for _ in range(2):
-        own = classes[good[at]], sizes[good[at]], counts[good]
-        score, _z, lang, text = _counted([own, *halves], [1, copies, copies]).stretches(*own)
-        model = _counted([own, *halves], [1, copies, copies])
-        unseen = [_counted([own, halves[k]], [1, 2 * copies]).stretches(*halves[1 - k]) for k in (0, 1)]
+        before = model
+        own = tally(before, _trigrams)
+        model = _counted([own, *known], [1, copies, copies])
+        number, times = tally(before, lambda c, n, by=model: _values(by, c, n))
+        unseen = [_counted([own, known[k]], [1, 2 * copies]).stretches(*halves[1 - k]) for k in (0, 1)]
         other, other_lang = (np.concatenate([u[i] for u in unseen]) for i in (0, 2))
         for g in (0, 1):
-            mine, far = score[lang == g], other[other_lang == g]
-            mid = np.median(mine if len(mine) >= 20 else far)
-            spread = max(1.4826 * np.median(np.abs(mine - mid)), LEAST_SPREAD) if len(mine) >= 20 else LEAST_SPREAD
+            of, far = number % 2 == g, other[other_lang == g]
+            mine, often = (number[of] - g) / 2 / STEPS, times[of]
+            enough = often.sum() >= 20
+            mid = _median(mine, often) if enough else np.median(far)
+            spread = max(1.4826 * _median(np.abs(mine - mid), often), LEAST_SPREAD) if enough else LEAST_SPREAD
             model.low[g] = min(mid - LIMIT * spread, far.min() - LEAST_SPREAD)
             model.high[g] = mid + LIMIT * spread
-        near = (score >= model.low[lang]) & (score <= model.high[lang])
-        fair = np.bincount(text, near, len(own[2])) / np.maximum(np.bincount(text, minlength=len(own[2])), 1) >= 0.5
-        good[np.flatnonzero(good)[~fair]] = False
     return model
 
 
-def _counted(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], copies: list[int]) -> ProseModel:
-    """The trigram model of class sequences, each part counted so many times."""
-    bi = np.zeros((V, V))
-    numbers, times = [], []
-    for (c, _sizes, k), by in zip(parts, copies):
-        n = len(c)
-        if not n:
-            continue
-        place = np.arange(n) - np.repeat(np.r_[0, np.cumsum(k)[:-1]], k)
-        one = np.where(place > 0, np.r_[0, c[:-1]], _START)
-        two = np.where(place > 1, np.r_[0, 0, c[:-2]][:n], _START)
-        seen, often = np.unique((two * V + one) * V + c, return_counts=True)
-        numbers.append(seen)
-        times.append(often * float(by))
-        bi += by * np.bincount(one * V + c, minlength=V * V).reshape(V, V)
-    seen, which = np.unique(np.concatenate([np.zeros(0, np.int64), *numbers]), return_inverse=True)
+def fit_prose(texts: list[str]) -> ProseModel:
+    """Fit on the prose of the texts, filtered by the first of two models, and on ordinary prose of several languages."""
+    lines = prose_lines(texts)
+    return _fit(len(texts), lambda model, count: count(*_fair(model, *lines)))
+
+
+def fit_prose_of(documents: DataFrame) -> ProseModel:
+    """``fit_prose`` of all texts of a table: the classes of their lines are written once and counted in four scans.
+
+    What returns to the driver is bounded by the trigrams of classes and the steps of values, not by the texts.
+    """
+    texts = documents.where(F.col("text").isNotNull()).select("text")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000).column(0).to_pylist()
+                classes, counts = prose_lines(part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([len(part)], pa.int64()), *(pa.array([x], pa.binary()) for x in (classes.astype(np.uint8).tobytes(), counts.tobytes()))],
+                    names=["texts", "classes", "counts"],
+                )
+
+    lines = materialize(texts.mapInArrow(write, "texts bigint, classes binary, counts binary"), "prose-lines")
+
+    def tally(model: ProseModel | None, count: Tally) -> tuple[np.ndarray, np.ndarray]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for one, many in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    number, times = count(*_fair(model, np.frombuffer(one, np.uint8).astype(np.int64), np.frombuffer(many, np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(times.astype(np.int64))], names=["number", "times"])
+
+        found = lines.select("classes", "counts").mapInArrow(scan, "number bigint, times bigint").groupBy("number").agg(F.sum("times").alias("times"))
+        got = found.toArrow()
+        number, times = (got.column(k).to_numpy().astype(np.int64) for k in ("number", "times"))
+        order = np.argsort(number)
+        return number[order], times[order]
+
+    return _fit(lines.agg(F.sum("texts")).first()[0] or 0, tally)
+
+
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]], copies: list[int]) -> ProseModel:
+    """The trigram model of the times of trigrams, those of each part counted so many times."""
+    numbers = np.concatenate([number for number, _ in parts])
+    times = np.concatenate([often * float(by) for (_, often), by in zip(parts, copies)])
+    seen, which = np.unique(numbers, return_inverse=True)
+    sums = np.bincount(which, times, len(seen))
+    bi = np.bincount(seen % (V * V), sums, V * V).reshape(V, V)
     # logarithms, since one sentence pattern may fill a table
-    total = np.log2(1 + np.bincount(which, np.concatenate([np.zeros(0), *times]), len(seen)))
+    total = np.log2(1 + sums)
     context = np.bincount(seen // V, total, V * V)
     bi = np.log2(1 + bi)
     uni = (bi.sum(0) + 0.5) / (bi.sum() + 0.5 * V)
@@ -262,15 +336,6 @@ def _counted(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], copies: lis
     return ProseModel(seen, total, context, p2.ravel(), np.full(2, -np.inf), np.full(2, np.inf))
 
 
-def prose_sample(documents: DataFrame, most: int = SAMPLE) -> list[str]:
-    """About ``most`` texts by hash of doc_id, at most twice as many: the bounded sample for fitting."""
-    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    n = max(rows.count(), 1)
-    cut = min(1_000_000, -(-1_000_000 * most // n))
-    picked = rows.where(F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1_000_000)) < cut).limit(2 * most)
-    return [r[1] for r in sorted(picked.collect(), key=lambda r: (r[0], r[1]))]
-
-
 def _score(model: ProseModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -283,9 +348,9 @@ def _score(model: ProseModel) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def spam_shares(documents: DataFrame, model: ProseModel | None = None) -> DataFrame:
     """(doc_id, spam_share) of every document; null and empty texts have 0.
 
-    The model is fitted on a bounded sample and sent to the executors once; the scan has no shuffle.
+    The model is fitted on all texts and sent to the executors once; the scan with it has no shuffle.
     """
-    model = model or fit_prose(prose_sample(documents))
+    model = model or fit_prose_of(documents)
     docs = documents.select(F.col("doc_id").cast("bigint"), "text")
     return docs.mapInArrow(_score(model), "doc_id bigint, spam_share double")
 

@@ -601,6 +601,19 @@ def test_spam(spark):
     assert spam_pages.spam_pages(table(spark, [], "doc_id bigint, text string")).count() == 0
 
 
+def test_prose_model_of_all_documents(spark):
+    rng = random.Random(18)
+    texts = [f"{prose(rng, 6)}\n{rng.choice(ORDINARY)}" for _ in range(8000)]  # more than any sample of old
+    want = spam_pages.fit_prose(texts)
+    rows = table(spark, [*enumerate(texts), (9000, None)], "doc_id bigint, text string").repartition(7)
+    got = spam_pages.fit_prose_of(rows)
+    assert all(np.array_equal(getattr(got, k), getattr(want, k)) for k in ("seen", "times", "context", "p2", "low", "high"))
+    lines = spam_pages.prose_lines(texts)
+    seen, often = spam_pages._trigrams(*spam_pages._fair(want, *lines))
+    assert len(lines[1]) >= 8000 and np.isin(seen, got.seen).all()
+    assert (got.times[np.searchsorted(got.seen, seen)] >= np.log2(1 + often)).all()  # each trigram as often as in all texts
+
+
 # whole queries -------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("name", ["p5_found", "p5_ranking", "p7_grants_chars"])
 def test_sql(spark, data, name):
