@@ -9,7 +9,7 @@ from features of the word, the line and the page:
 * lines and spans that may be a running title or a page number: remove or keep, from their place on the page, the
   shape, the neighbours, and how the line returns in its file.
 
-It is fitted on a bounded sample of clean texts, with damage of all these kinds planted in them; without weights it
+It is fitted on all clean texts of the table, with damage of all these kinds planted in them; without weights it
 changes nothing.
 """
 
@@ -18,8 +18,9 @@ from __future__ import annotations
 import math
 import random
 import re
+import sys
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -41,10 +42,12 @@ MISREAD_HAN = dict(
 )
 TERMINAL = ".。!?;:,、"
 MANY = 5  # places from which misread characters are reported
-SAMPLE = 3000  # texts the editor is fitted on
 TITLE_TIMES = 3
 EPOCHS = 3
 
+_SEP = "\x1f"
+_PAIRED = re.compile("[" + "".join({*MISREAD_HAN, *MISREAD_HAN.values()}) + "]")
+_READ_HAN = {t: r for r, t in MISREAD_HAN.items()}
 _WORD = re.compile("[A-Za-zÀ-ɏ0-9]+")
 _HAN = re.compile("[一-鿿]")
 _ODD_HAN = re.compile("[" + "".join(MISREAD_HAN) + "]")
@@ -78,7 +81,7 @@ _QUOTES = "《\"'(["
 
 @dataclass
 class Editor:
-    """Averaged-perceptron weights, and the counts of the clean sample that its features read."""
+    """Averaged-perceptron weights, and the counts of the clean texts that its features read."""
 
     weights: dict[str, float] = field(default_factory=dict)
     words: dict[str, int] = field(default_factory=dict)
@@ -296,30 +299,42 @@ def _damage(word: str, rng: random.Random, rate: float) -> tuple[str, list[tuple
     return "".join(out), done
 
 
-def fit_editor(texts: list[str], seed: int = 4) -> Editor:
-    """Fit on a bounded sample; texts with hyphens at line ends or page numbers are left out as not clean."""
-    rng = random.Random(seed)
-    ed = Editor()
-    clean = []
-    for t in texts:
-        s = canonical(t or "")
-        if s and not _HYPHEN.search(s) and not _NUMBER_LINE.search(s) and not _NUMBER_AMID.search(s):
-            clean.append(s)
-    words: Counter[str] = Counter()
-    grams: Counter[str] = Counter()
-    compounds: Counter[str] = Counter()
+def _clean(texts: list[str | None]) -> list[str]:
+    """Printed forms of the texts without hyphens at line ends or page numbers; the others are not clean."""
+    forms = (canonical(t or "") for t in texts)
+    return [s for s in forms if s and not _HYPHEN.search(s) and not _NUMBER_LINE.search(s) and not _NUMBER_AMID.search(s)]
+
+
+def _tallied(clean: list[str]) -> Counter[tuple[str, str]]:
+    """Times of the words, compounds, and pairs and triples of characters (kind, item) of clean texts.
+
+    Of the pairs and triples in texts with Han, those with a Han character are read only where it may be misread or
+    what is read for it; the others are not counted.
+    """
+    out: Counter[tuple[str, str]] = Counter()
     for s in clean:
-        words.update(w for w in _WORD.findall(s))
-        for a, b in _COMPOUND.findall(s):
-            compounds[f"{a}-{b}".lower()] += 1
+        out.update(("word", w) for w in _WORD.findall(s))
+        out.update(("compound", f"{a}-{b}".lower()) for a, b in _COMPOUND.findall(s))
         run = re.sub(r"\s", "", s)
         if _HAN.search(run):
+            at = [m.start() for m in _PAIRED.finditer(run)]
             for k in (2, 3):
-                grams.update(run[i : i + k] for i in range(len(run) - k + 1))
+                out.update(("gram", run[i : i + k]) for i in {i for j in at for i in range(j - k + 1, j + 1)} if 0 <= i <= len(run) - k)
+                out.update(("gram", x[i : i + k]) for x in _HAN.split(run) for i in range(len(x) - k + 1))
+    return out
+
+
+def _dictionary(counts: Iterable[tuple[str, str, int]]) -> tuple[Editor, dict[str, int]]:
+    """An editor with the dictionary of (kind, item, times) but no weights, and the words without noise."""
+    ed = Editor()
+    by: dict[str, Counter[str]] = {"word": Counter(), "compound": Counter(), "gram": Counter()}
+    for kind, item, n in counts:
+        by[kind][item] = n
+    words, grams = by["word"], by["gram"]
     low: Counter[str] = Counter()
     for w, n in words.items():
         low[w.lower()] += n
-    # a rare word that is a misreading of a frequent one is noise left in the sample, not a word
+    # a rare word that is a misreading of a frequent one is noise left in the texts, not a word
     noisy = set()
     for w, n in low.items():
         sites = [x for x in ed.latin_sites(w) if x[2].islower()]
@@ -328,7 +343,6 @@ def fit_editor(texts: list[str], seed: int = 4) -> Editor:
             if max((low.get(f, 0) for f in fixes), default=0) >= 8 * n:
                 noisy.add(w)
     low = Counter({w: n for w, n in low.items() if w not in noisy and not (re.search("[0-9]", w) and n < 8)})
-    words = Counter({w: n for w, n in words.items() if w.lower() in low})
     for w, n in low.items():
         if not w.isdigit():
             s = f"^{w}$"
@@ -337,39 +351,124 @@ def fit_editor(texts: list[str], seed: int = 4) -> Editor:
                     grams[s[i : i + k]] += min(n, 20)
     ed.words = {w: n for w, n in low.items() if n >= 2 and not w.isdigit()}
     ed.grams = {g: n for g, n in grams.items() if n >= 2}
-    ed.compounds = {c: n for c, n in compounds.items() if n >= 2}
-    for c in list(ed.compounds):
+    ed.compounds = {c: n for c, n in by["compound"].items() if n >= 2}
+    for c in ed.compounds:
         a, b = c.split("-")
         ed.lefts.add(a)
         ed.rights.add(b)
+    return ed, {w: n for w, n in words.items() if w.lower() in low}
+
 
+def _word_cases(ed: Editor, words: dict[str, int], seed: int) -> Iterator[tuple[list[str], int]]:
+    """Words with planted misreadings, frequent ones up to six times."""
+    for w, n in sorted(words.items()):
+        rng = random.Random(f"{seed} {w}")
+        for _ in range(min(n, 6)):
+            seen, done = _damage(w, rng, rng.choice((0.0, 0.0, 0.1, 0.25)))
+            sites = ed.latin_sites(seen)
+            hidden = {w.lower(): ed.words.pop(w.lower(), None)} if rng.random() < 0.15 else {}  # some words must look unknown
+            true = set(done)
+            cases = [(f, 1 if s in true else -1) for f, s in zip(ed.latin_features(seen, sites), sites)]
+            ed.words.update({k: v for k, v in hidden.items() if v})
+            yield from cases
+
+
+def _han_cases(ed: Editor, s: str, rng: random.Random) -> list[tuple[list[str], int]]:
+    """The characters of a clean text that may be misread, and planted misreadings."""
     cases: list[tuple[list[str], int]] = []
-    pool = [w for w, n in words.items() for _ in range(min(n, 6))]
-    rng.shuffle(pool)
-    for w in pool[:12000]:
-        seen, done = _damage(w, rng, rng.choice((0.0, 0.0, 0.1, 0.25)))
-        sites = ed.latin_sites(seen)
-        hidden = {w.lower(): ed.words.pop(w.lower(), None)} if rng.random() < 0.15 else {}  # some words must look unknown
-        true = set(done)
-        cases += [(f, 1 if s in true else -1) for f, s in zip(ed.latin_features(seen, sites), sites)]
-        ed.words.update({k: v for k, v in hidden.items() if v})
-    back = {t: r for r, t in MISREAD_HAN.items()}
-    for s in clean[: SAMPLE // 2]:
-        run = "  " + re.sub(r"\s", "", s) + "  "
-        for i in range(2, len(run) - 2):
-            c = run[i]
-            if c in MISREAD_HAN:
-                cases += [(ed.han_features(run[i - 2 : i + 3]), -1)] * 2
-            elif c in back and rng.random() < 0.08:
-                cases.append((ed.han_features(run[i - 2 : i] + back[c] + run[i + 1 : i + 3]), 1))
-    ed.weights = _averaged(cases, rng)
-    # joins, gaps and lines read the repaired words, so they are fitted after the misreadings
-    cases = _break_cases(ed, clean, rng) + _gap_cases(ed, clean, rng) + _page_cases(clean, rng)
-    ed.word_cache.clear()
-    ed.weights |= _averaged(cases, rng)
+    if not _HAN.search(s):
+        return cases
+    run = "  " + re.sub(r"\s", "", s) + "  "
+    for i in range(2, len(run) - 2):
+        c = run[i]
+        if c in MISREAD_HAN:
+            cases += [(ed.han_features(run[i - 2 : i + 3]), -1)] * 2
+        elif c in _READ_HAN and rng.random() < 0.08:
+            cases.append((ed.han_features(run[i - 2 : i] + _READ_HAN[c] + run[i + 1 : i + 3]), 1))
+    return cases
+
+
+def _text_cases(ed: Editor, s: str, seed: int, chars: bool) -> list[tuple[list[str], int]]:
+    """Cases of one clean text; its damage follows from the text, wherever it is read."""
+    rng = random.Random(f"{seed} {s}")
+    return _han_cases(ed, s, rng) if chars else _break_cases(ed, [s], rng) + _gap_cases(ed, [s], rng) + _page_cases([s], rng)
+
+
+def _fit(counts: Iterable[tuple[str, str, int]], tally: Callable[[Editor, bool], dict[tuple[str, int], int]], seed: int) -> Editor:
+    """Fit on the counts of all clean texts; ``tally`` gives the times of each case (features, y) of all of them.
+
+    A case that occurs n times is shown 1 + log2(n) times an epoch, since one sentence pattern may fill a table.
+    """
+    rng = random.Random(seed)
+    ed, words = _dictionary(counts)
+    for chars in (True, False):  # joins, gaps and lines read the repaired words, so they are fitted after the misreadings
+        times = Counter(tally(ed, chars))
+        if chars:
+            times.update(_keyed(_word_cases(ed, words, seed)))
+        cases = [case for (f, y), n in sorted(times.items()) for case in [([sys.intern(x) for x in f.split(_SEP)], y)] * n.bit_length()]
+        del times
+        ed.word_cache.clear()
+        ed.weights |= _averaged(cases, rng)
     return ed
 
 
+def _keyed(cases: Iterable[tuple[list[str], int]]) -> Counter[tuple[str, int]]:
+    return Counter((_SEP.join(f), y) for f, y in cases)
+
+
+def fit_editor(texts: list[str], seed: int = 4) -> Editor:
+    """Fit on all of the texts that are clean."""
+    clean = _clean(texts)
+
+    def tally(ed: Editor, chars: bool) -> Counter[tuple[str, int]]:
+        return sum_of(_keyed(_text_cases(ed, s, seed, chars)) for s in clean)
+
+    return _fit(((kind, item, n) for (kind, item), n in _tallied(clean).items()), tally, seed)
+
+
+def sum_of(counters: Iterable[Counter]) -> Counter:
+    out: Counter = Counter()
+    for c in counters:
+        out.update(c)
+    return out
+
+
+def fit_editor_of(chunks: DataFrame, seed: int = 4) -> Editor:
+    """``fit_editor`` of all texts of a table: clean texts are written once, counted, and planted with damage in two scans.
+
+    Cases return to the driver by distinct features with their times; Han pairs and triples that stand once and
+    figures that stand under eight times have no use and stay behind.
+    """
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_clean(b.column(0).to_pylist()), pa.string())], names=["text"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = _tallied(b.column(0).to_pylist())
+            cols = [pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.string()), pa.array(got.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["kind", "item", "n"])
+
+    texts = materialize(chunks.where(F.col("text").isNotNull()).select("text").mapInArrow(clean, "text string"), "clean-texts")
+    counts = texts.mapInArrow(count, "kind string, item string, n bigint").groupBy("kind", "item").agg(F.sum("n").alias("n"))
+    once = (F.col("kind") == "gram") & (F.col("n") < 2) & F.col("item").rlike("[一-鿿]")
+    figures = (F.col("kind") == "word") & (F.col("n") < 8) & F.col("item").rlike("^[0-9]+$")
+
+    def tally(ed: Editor, chars: bool) -> dict[tuple[str, int], int]:
+        def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                got = sum_of(_keyed(_text_cases(ed, s, seed, chars)) for s in b.column(0).to_pylist())
+                cols = [pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.int64()), pa.array(got.values(), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["features", "y", "n"])
+
+        found = texts.mapInArrow(plant, "features string, y bigint, n bigint").groupBy("features", "y").agg(F.sum("n").alias("n"))
+        return {(f, y): n for f, y, n in zip(*found.toArrow().to_pydict().values())}
+
+    kept = counts.where(~once & ~figures & ~((F.col("kind") == "compound") & (F.col("n") < 2))).toArrow()
+    return _fit((row for b in kept.to_batches(10_000) for row in zip(*b.to_pydict().values())), tally, seed)
+
+
 def _averaged(cases: list[tuple[list[str], int]], rng: random.Random) -> dict[str, float]:
     """Averaged-perceptron weights of EPOCHS rounds over (features, +1 edit or -1 keep)."""
     sums: dict[str, float] = {}
@@ -684,15 +783,6 @@ def _title_pattern(title: str) -> re.Pattern:
     return _PATTERNS[title]
 
 
-def clean_sample(chunks: DataFrame, most: int = SAMPLE) -> list[str]:
-    """About ``most`` texts by hash of row_id, at most twice as many: the bounded sample for fitting."""
-    rows = chunks.where(F.col("text").isNotNull()).select("row_id", "text")
-    n = max(rows.count(), 1)
-    cut = min(1_000_000, -(-1_000_000 * most // n))
-    picked = rows.where(F.pmod(F.xxhash64(F.lit(4), "row_id"), F.lit(1_000_000)) < cut).limit(2 * most)
-    return [r[1] for r in sorted(picked.collect(), key=lambda r: (r[0], r[1]))]
-
-
 def running_titles(chunks: DataFrame) -> DataFrame:
     """(index_key, line, ending, n): squeezed lines that return in one file between at least three different neighbours."""
     rows = chunks.where(F.col("text").isNotNull() & F.col("index_key").isNotNull()).select("index_key", "text")
@@ -731,7 +821,7 @@ def repaired_texts(chunks: DataFrame, editor: Editor | None = None) -> DataFrame
     that has any, with all of its titles) join by file, by broadcast where Spark finds them small enough, else by a
     split sort-merge join; the usual endings of titles are sent along, so that a title alone in a copied passage is found.
     """
-    ed = editor or fit_editor(clean_sample(chunks))
+    ed = editor or fit_editor_of(chunks)
     titles = materialize(running_titles(chunks), "titles")
     per_file = titles.groupBy("index_key").agg(F.sort_array(F.collect_list(F.struct("n", "line")), asc=False)["line"].alias("titles"))
     rows = chunks.where(F.col("text").isNotNull()).select(F.col("row_id").cast("bigint"), "index_key", "text")

@@ -378,6 +378,19 @@ def test_decisions_on_planted_noise_held_out(spark):
     assert right >= 0.95 * len(held)
 
 
+def test_editor_of_all_texts(spark):
+    rng = random.Random(42)
+    texts = [prose(rng, 1) for _ in range(8000)]  # more than any sample of old
+    texts[11] += " The zanderflow valve."  # a word of two texts only
+    texts[7000] += " The zanderflow valve."
+    rows = table(spark, [*enumerate(texts), (9000, None)], "row_id bigint, text string").repartition(5)
+    ed = scan_noise.fit_editor_of(rows)
+    assert ed.words["zanderflow"] == 2
+    assert ed.words["team"] == sum(t.count(" team ") for t in texts)
+    want = scan_noise.fit_editor(texts)
+    assert (ed.words, ed.grams, ed.compounds) == (want.words, want.grams, want.compounds)
+
+
 def test_noise_of_a_file(spark):
     rng = random.Random(8)
     rows = [(i, "f", i, prose(rng, 2).replace(". ", ".\n") + f"\nSome Networks Annual Report 2020\n第 {i} 页\n" + prose(rng, 1)) for i in range(12)]
