@@ -19,12 +19,15 @@ import math
 import random
 import re
 import sys
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import product
+from functools import lru_cache
+from itertools import accumulate, islice
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +49,11 @@ TITLE_TIMES = 3
 EPOCHS = 3
 
 _SEP = "\x1f"
+_CACHED = 400_000
+_READS = {t: [r for true, r in MISREAD_LATIN if true == t] for t, _ in MISREAD_LATIN}
+_TRUES = {r: sorted(t for t, read in MISREAD_LATIN if read == r) for _, r in MISREAD_LATIN}
 _PAIRED = re.compile("[" + "".join({*MISREAD_HAN, *MISREAD_HAN.values()}) + "]")
+_PAIRED_RUN = re.compile(f"{_PAIRED.pattern}(?:.?{_PAIRED.pattern})*")
 _READ_HAN = {t: r for r, t in MISREAD_HAN.items()}
 _WORD = re.compile("[A-Za-zÀ-ɏ0-9]+")
 _HAN = re.compile("[一-鿿]")
@@ -55,23 +62,41 @@ _SPACED = re.compile("(?:(?<=^)|(?<=[^A-Za-z0-9]))(?:[^\\s] {1,3}){4,}[^\\s](?![
 _BREAK = "(?:[ \t]*\r?\n[ \t]*|[ \t]+)"
 _HYPHEN = re.compile(f"([A-Za-zÀ-ɏ0-9]*[A-Za-zÀ-ɏ])([-‐¬\xad]){_BREAK}([A-Za-zÀ-ɏ][A-Za-zÀ-ɏ0-9]*)")
 _COMPOUND = re.compile("(?<![A-Za-zÀ-ɏ-])([A-Za-zÀ-ɏ]+)-([A-Za-zÀ-ɏ]+)(?![A-Za-zÀ-ɏ-])")
-_NUMBER = (
-    "[-—–·•] ?[0-9]{1,4} ?[-—–·•]|\\[ ?[0-9]{1,4} ?\\]|第 ?[0-9]{1,4} ?页(?:[ ,/]*共 ?[0-9]{1,4} ?页)?|[Pp]age [0-9]{1,4}(?: (?:of|/) [0-9]{1,4})?"
-    "|[Pp]\\. ?[0-9]{1,4}|[0-9]{1,4} / [0-9]{1,4}|[0-9]{1,4} ?\\||\\| ?[0-9]{1,4}"
-)
+# forms of a page number: first character, rest
+_NUMBERS = [
+    ("[-—–·•]", " ?[0-9]{1,4} ?[-—–·•]"), ("\\[", " ?[0-9]{1,4} ?\\]"), ("第", " ?[0-9]{1,4} ?页(?:[ ,/]*共 ?[0-9]{1,4} ?页)?"),
+    ("[Pp]", "age [0-9]{1,4}(?: (?:of|/) [0-9]{1,4})?"), ("[Pp]", "\\. ?[0-9]{1,4}"), ("[0-9]", "[0-9]{0,3} / [0-9]{1,4}"),
+    ("[0-9]", "[0-9]{0,3} ?\\|"), ("\\|", " ?[0-9]{1,4}"),
+]
+_NUMBER = "|".join(first + rest for first, rest in _NUMBERS)
 _NUMBER_LINE = re.compile(f"^[ \t]*(?:{_NUMBER})[ \t]*$", re.M)
-_NUMBER_AMID = re.compile(f"(?:(?<=^)|(?<=[ \t]))(?:{_NUMBER})(?=[ \t]|$)")
+_NUMBER_END = re.compile(f"[ \t]*(?:{_NUMBER})$")
+_NUMBER_ENDS = frozenset("-—–·•]页|0123456789")
+# the first character leads, so that a search looks at such characters only: after a blank or at the start of the text
+_NUMBER_AMID = re.compile("[-—–·•\\[第Pp0-9|](?<![^ \t].)(?:" + "|".join(f"(?<={first}){rest}" for first, rest in _NUMBERS) + ")(?=[ \t]|$)")
 _BARE_LINE = re.compile("^[ \t]*[0-9]{1,4}[ \t]*$")
 _STAMP = "(?: {2,}[^ \n]{2,6})?"
 _SHY_MARK = re.compile("\xad(?=[ \t]*\r?\n|[ \t]+[a-z])")
 _HYPHEN_HINT = re.compile("[-‐¬\xad][ \t\r\n]")
-_SPACED_HINT = re.compile("[^ ] {1,3}[^ ] {1,3}[^ ] {1,3}[^ ]")
-_GAP = re.compile("([^ ])( +)")
-_HAN_WRAP = re.compile("(?<=[一-鿿,。;:、0-9])[ \t]*\n[ \t]*(?=[一-鿿0-9,。;])")
-_WORD_WRAP = re.compile("(?<=[^\n.。!?:#])[ \t]*\n[ \t]*(?=[a-zà-ɏ0-9(])")
+_SPACED_HINT = re.compile(" [^ ] {1,3}[^ ] ")
+# a break leads, so that a search looks at blanks only
+_WRAP = "(?:(?<=\n)|(?<=[ \t])[ \t]*\n)[ \t]*"
+_HAN_WRAP = re.compile(f"[ \t\n](?<=[一-鿿,。;:、0-9][ \t\n]){_WRAP}(?=[一-鿿0-9,。;])")
+_WORD_WRAP = re.compile(f"[ \t\n](?<=[^\n.。!?:#][ \t\n]){_WRAP}(?=[a-zà-ɏ0-9(])")
 _BLANKS = re.compile("[ \t]+")
 _DIGIT = re.compile("[0-9]")
 _STAMPED = re.compile(" {2,}[^ \n]{2,8}$")
+_STAMP_END = re.compile(" {2,}[^ ]{1,8}$")
+_TITLE_END = re.compile(f"{_STAMP}(?: [0-9]{{1,3}}(?= |$))?(?=\\s|$)")
+_FOLDS = re.compile("[^\0-´¶-įĲ-ž\u2010-\u205e\u3000-\u9fff]")  # beside these, one letter may have several small forms
+_NOT_HAN = re.compile("[^一-鿿]{2,}")
+_WIDE = re.compile(" {2,}")
+_PART = re.compile("\\S+")
+_LETTERS_2 = re.compile("[A-Za-z]{2,}")
+_LETTERS_5 = re.compile("[A-Za-zÀ-ɏ]{5,}")
+_NAMES = re.compile("[A-Z一-鿿](?:(?<=[A-Z])[a-z]{3,} [A-Z][a-z]{3,}|(?<=[一-鿿])[一-鿿]{3})")
+_SENTENCE_END = re.compile("([.。])")
+_FIGURES = re.compile("[0-9. ,%]+")
 _SUSPENDED = {"and", "or", "to", "und", "nor"}
 # Forms of printed page numbers, for planting.
 PLANTED_NUMBERS = ("- {} -", "— {} —", "· {} ·", "[{}]", "第{}页", "第 {} 页", "第{}页 共{}页", "Page {}", "Page {} of {}", "P.{}", "p. {}", "{} / {}", "{} |", "| {}")
@@ -79,6 +104,22 @@ PLANTED_TITLES = ("Annual Report {}", "Technical Manual {}", "Case Notes {}", "{
 _QUOTES = "《\"'(["
 
 
+class _GramLogs(dict):
+    """Log likelihood of the last character of a triple, by the counts of an editor."""
+
+    def __init__(self, grams: dict[str, int]) -> None:
+        self.grams = grams
+
+    def __missing__(self, gram: str) -> float:
+        log = math.log((self.grams.get(gram, 0) + 0.05) / (self.grams.get(gram[:2], 0) + 5))
+        if len(self) < _CACHED:
+            self[gram] = log
+        return log
+
+
+_LEVELS = [0, *(min(4, int(math.log2(n + 1) / 2 + 0.99)) for n in range(1, 66))]
+
+
 @dataclass
 class Editor:
     """Averaged-perceptron weights, and the counts of the clean texts that its features read."""
@@ -91,58 +132,74 @@ class Editor:
     rights: set[str] = field(default_factory=set)
     total: int = 1
     word_cache: dict[str, tuple[str, int]] = field(default_factory=dict)
+    kept: set[str] = field(default_factory=set)  # words of word_cache that stay as they are
+    gram_logs: _GramLogs | None = None
+    site_scores: dict[tuple, float] = field(default_factory=dict)
     han_cache: dict[str, bool] = field(default_factory=dict)
     join_cache: dict[str, bool] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"word_cache": {}, "han_cache": {}, "join_cache": {}}
+        return self.__dict__ | {"word_cache": {}, "kept": set(), "gram_logs": None, "site_scores": {}, "han_cache": {}, "join_cache": {}}
 
     # features -----------------------------------------------------------------------------------------------------
     def _level(self, n: int) -> int:
-        return min(4, int(math.log2(n + 1) / 2 + 0.99)) if n else 0
+        return _LEVELS[n] if n < 66 else 4
 
     def _spelling(self, word: str) -> float:
         s = f"^{word}$"
-        got = [math.log((self.grams.get(s[i : i + 3], 0) + 0.05) / (self.grams.get(s[i : i + 2], 0) + 5)) for i in range(len(s) - 2)]
+        logs = self.gram_logs
+        if logs is None or logs.grams is not self.grams:
+            logs = self.gram_logs = _GramLogs(self.grams)
+        got = [logs[s[i : i + 3]] for i in range(len(s) - 2)]
         return sum(got) / max(len(got), 1)
 
     def latin_sites(self, word: str) -> list[tuple[int, str, str]]:
         """(place, read, true) of every misreading that ``word`` may hold."""
         out = []
-        for true, read in MISREAD_LATIN:
-            i = word.find(read)
-            while i >= 0:
-                out.append((i, read, true))
-                i = word.find(read, i + 1)
-        return sorted(out)
-
-    def latin_features(self, word: str, sites: list[tuple[int, str, str]]) -> list[list[str]]:
+        for i, c in enumerate(word):
+            for read in (c, word[i : i + 2]) if i + 1 < len(word) else (c,):
+                if read in _TRUES:
+                    out += [(i, read, true) for true in _TRUES[read]]
+        return out
+
+    def latin_features(self, word: str, sites: list[tuple[int, str, str]]) -> list[tuple[str, ...]]:
+        return [_site_told(*x) for x in self._site_facts(word, sites)]
+
+    def _site_facts(self, word: str, sites: list[tuple[int, str, str]]) -> list[tuple]:
+        """What the features of each misreading are made of."""
+        if not sites:
+            return []
         low = word.lower()
         known = self._level(self.words.get(low, 0))
-        best, used = 0, ()
-        if not known and len(sites) <= 7:
-            for pick in product((0, 1), repeat=len(sites)):
-                fixed = _apply(word, [s for s, p in zip(sites, pick) if p])
-                n = self.words.get(fixed.lower(), 0) if fixed else 0
-                if n > best or (n and n == best and sum(pick) < sum(used)):
-                    best, used = n, pick
+        best, used = 0, 0
+        if not known and sites and len(sites) <= 7:
+            count = self.words.get
+            for fixed, picked in _fixes(word, sites):
+                n = count(fixed.lower(), 0)
+                if n > best or (n and n == best and picked.bit_count() < used.bit_count()):
+                    best, used = n, picked
         now = self._spelling(low)
-        digits = sum(c.isdigit() for c in word)
+        digits = sum(map(str.isdigit, word)) * 2 >= len(word)
+        title, whole = word[:1].isupper(), self._level(best)
+        count = self.words.get
         out = []
         for k, (i, read, true) in enumerate(sites):
-            pair = f"{read}>{true}"
-            fixed = word[:i] + true + word[i + len(read) :]
-            gain = self._spelling(fixed.lower()) - now
-            before, after = word[i - 1 : i] or "^", word[i + len(read) : i + len(read) + 1] or "$"
-            shape = "d" if before.isdigit() or after.isdigit() else "a"
-            out.append([
-                "bias", pair, f"known{known}", f"known{known} {pair}", f"whole{self._level(best)}{used[k] if best else 0}",
-                f"fixed{self._level(self.words.get(fixed.lower(), 0))} known{known}", f"gain{max(-6, min(6, round(2 * gain)))}",
-                f"gain{max(-6, min(6, round(2 * gain)))} {pair}", f"{pair} {before}", f"{pair} {after}",
-                f"{pair} {shape}{digits * 2 >= len(word)}", f"{pair} {before}{after}", f"title{word[:1].isupper()} known{known}",
-            ])
+            end = i + len(read)
+            fixed = (word[:i] + true + word[end:]).lower()
+            gain = max(-6, min(6, round(2 * (self._spelling(fixed) - now))))
+            before, after = word[i - 1 : i] or "^", word[end : end + 1] or "$"
+            shape = before.isdigit() or after.isdigit()
+            out.append((read, true, known, whole, used >> k & 1, self._level(count(fixed, 0)), gain, before, after, shape, digits, title))
         return out
 
+    def _site_score(self, facts: tuple) -> float:
+        got = self.site_scores.get(facts)
+        if got is None:
+            got = self.score(_site_told(*facts))
+            if len(self.site_scores) < _CACHED:
+                self.site_scores[facts] = got
+        return got
+
     def han_features(self, around: str) -> list[str]:
         """Features of the character amid the five of ``around``."""
         x, y = around[2], MISREAD_HAN[around[2]]
@@ -167,15 +224,17 @@ class Editor:
             sites = self.latin_sites(word)
             chosen = []
             if sites and len(word) > 1:
-                rated = [(self.score(f), s) for f, s in zip(self.latin_features(word, sites), sites)]
+                rated = [(self._site_score(f), s) for f, s in zip(self._site_facts(word, sites), sites)]
                 end = -1
                 for score, s in sorted(rated, key=lambda x: (x[1][0], -x[0])):
                     if score > 0 and s[0] >= end:
                         chosen.append(s)
                         end = s[0] + len(s[1])
             got = (_apply(word, chosen) or word, len(chosen))
-            if len(self.word_cache) < 400_000:
+            if len(self.word_cache) < _CACHED:
                 self.word_cache[word] = got
+                if not chosen:
+                    self.kept.add(word)
         return got
 
     def han(self, around: str) -> bool:
@@ -183,11 +242,11 @@ class Editor:
         got = self.han_cache.get(around)
         if got is None:
             got = self.score(self.han_features(around)) > 0
-            if len(self.han_cache) < 400_000:
+            if len(self.han_cache) < _CACHED:
                 self.han_cache[around] = got
         return got
 
-    def break_features(self, left: str, mark: str, right: str) -> list[str]:
+    def break_features(self, left: str, mark: str, right: str) -> tuple[str, ...]:
         """Features of a hyphen at a line end: what the words, their compounds and their repaired forms tell, in this order."""
         a, b = left.lower(), right.lower()
         known = f"{a in self.words:d}{b in self.words:d}"
@@ -202,7 +261,7 @@ class Editor:
             a, b = self.word(left)[0].lower(), self.word(right)[0].lower()
             whole, own = self.words.get(a + b, 0), self.compounds.get(f"{a}-{b}", 0)
             told = f"repaired{whole > own:d}" if own or whole else "part" if b in self.rights or (a in self.lefts and b in self.words) else "none"
-        return ["jbias", f"j{told}", f"j{told} {known}", f"j{told} size{min(len(a), 4)}{min(len(b), 4)}", f"j{told} case{left[:1].isupper():d}{right[:1].isupper():d}"]
+        return _break_told(told, known, f"{min(len(a), 4)}{min(len(b), 4)}", f"{left[:1].isupper():d}{right[:1].isupper():d}")
 
     def parted(self, left: str, mark: str, right: str) -> bool:
         """Whether a hyphen at a line end parts a word, rather than being the word's own."""
@@ -210,7 +269,7 @@ class Editor:
         got = self.join_cache.get(key)
         if got is None:
             got = self.score(self.break_features(left, mark, right)) > 0
-            if len(self.join_cache) < 400_000:
+            if len(self.join_cache) < _CACHED:
                 self.join_cache[key] = got
         return got
 
@@ -218,17 +277,20 @@ class Editor:
         """The likeliest words (start, end) that make up a run of letters; a run of unknown letters is one word."""
         n = len(letters)
         low = letters.lower()
-        best: list[tuple[float, int, bool]] = [(0.0, 0, True)] + [(-1e9, 0, False)] * n
+        words, log, total = self.words, math.log, self.total
+        values, froms, known = [0.0] + [-1e9] * n, [0] * (n + 1), [True] + [False] * n
         for j in range(1, n + 1):
+            most, at, told = values[j], 0, False
             for i in range(max(0, j - 24), j):
-                count = self.words.get(low[i:j], 0) if j - i > 1 else 0
-                value = math.log(count / self.total) if count else -14.0 - 6.0 * (j - i)
-                if best[i][0] + value > best[j][0]:
-                    best[j] = (best[i][0] + value, i, bool(count))
+                count = words.get(low[i:j], 0) if j - i > 1 else 0
+                value = values[i] + (log(count / total) if count else _UNKNOWN[j - i])
+                if value > most:
+                    most, at, told = value, i, count > 0
+            values[j], froms[j], known[j] = most, at, told
         out, j = [], n
         while j:
-            out.append((best[j][1], j, best[j][2]))
-            j = best[j][1]
+            out.append((froms[j], j, known[j]))
+            j = froms[j]
         merged: list[tuple[int, int, bool]] = []
         for x in reversed(out):
             if merged and not merged[-1][2] and not x[2]:
@@ -237,30 +299,23 @@ class Editor:
                 merged.append(x)
         return [(i, j) for i, j, _ in merged]
 
-    def gap_features(self, run: str) -> list[list[str]]:
+    def gap_features(self, run: str) -> list[tuple[str, ...]]:
         """Features of every gap in a spaced-out run of characters."""
-        parts = _GAP.findall(run + " ")
-        chars, gaps = [c for c, _ in parts], [len(g) for _, g in parts][:-1]
-        out: list[list[str]] = []
+        chars = run.split()
+        kinds = [_char_kind(c) for c in chars]
+        out: list[tuple[str, ...]] = []
         at = 0
-        for piece in re.split(" {2,}", run):
+        for piece in _WIDE.split(run) if "  " in run else (run,):
             letters = piece.replace(" ", "")
-            han = bool(_HAN.search(letters))
-            words = [(0, len(letters))] if han else self.segments(letters)
-            starts = {i: (i, j) for i, j in words}
-            mine = words[0]
-            for k in range(len(letters)):
-                between = k in starts and k > 0
-                mine = starts.get(k, mine)
-                if k or at:
-                    size = 2 if not k else 1
-                    known = self._level(self.words.get(letters[mine[0] : mine[1]].lower(), 0))
-                    kinds = "".join("h" if _HAN.match(c) else "d" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else "m" for c in (chars[at + k - 1], chars[at + k]))
-                    length = min(5, len(letters) // 3)
-                    told = f"{kinds} gap{size}{between:d}"
-                    out.append(["sbias", f"s{told}", f"s{told} known{known}", f"s{kinds} run{length}", f"s{told} word{min(4, mine[1] - mine[0])}"])
+            words = [(0, len(letters))] if _HAN.search(letters) else self.segments(letters)
+            length = min(5, len(letters) // 3)
+            for i, j in words:
+                known, word = self._level(self.words.get(letters[i:j].lower(), 0)), min(4, j - i)
+                for k in range(i, j):
+                    if k or at:
+                        out.append(_gap_told(kinds[at + k - 1] + kinds[at + k], 1 if k else 2, k == i and k > 0, known, length, word))
             at += len(letters)
-        return out if len(out) == len(gaps) else []
+        return out if len(out) == len(chars) - 1 else []
 
     def unspaced(self, run: str) -> tuple[str, int]:
         """A spaced-out run without the spaces inside its words, and how many were deleted."""
@@ -271,6 +326,48 @@ class Editor:
         return chars[0] + "".join(("" if cut else " ") + c for c, cut in zip(chars[1:], rated)), sum(rated)
 
 
+_UNKNOWN = [-14.0 - 6.0 * k for k in range(25)]  # of a run of so many unknown letters
+
+
+@lru_cache(maxsize=65536)
+def _char_kind(c: str) -> str:
+    return "h" if _HAN.match(c) else "d" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else "m"
+
+
+@lru_cache(maxsize=65536)
+def _site_told(read: str, true: str, known: int, whole: int, used: int, fixed: int, gain: int, before: str, after: str, shape: bool, digits: bool, title: bool) -> tuple[str, ...]:
+    pair = f"{read}>{true}"
+    return (
+        "bias", pair, f"known{known}", f"known{known} {pair}", f"whole{whole}{used}", f"fixed{fixed} known{known}", f"gain{gain}", f"gain{gain} {pair}",
+        f"{pair} {before}", f"{pair} {after}", f"{pair} {'d' if shape else 'a'}{digits}", f"{pair} {before}{after}", f"title{title} known{known}",
+    )
+
+
+@lru_cache(maxsize=65536)
+def _gap_told(kinds: str, size: int, between: bool, known: int, length: int, word: int) -> tuple[str, ...]:
+    told = f"{kinds} gap{size}{between:d}"
+    return ("sbias", f"s{told}", f"s{told} known{known}", f"s{kinds} run{length}", f"s{told} word{word}")
+
+
+@lru_cache(maxsize=65536)
+def _break_told(told: str, known: str, size: str, case: str) -> tuple[str, ...]:
+    return ("jbias", f"j{told}", f"j{told} {known}", f"j{told} size{size}", f"j{told} case{case}")
+
+
+def _fixes(word: str, sites: list[tuple[int, str, str]]) -> list[tuple[str, int]]:
+    """``word`` with every choice of misreadings undone that do not overlap, and the choice by bits; later sites change first."""
+    begun = [("", 0, 0)]
+    for k, (i, read, true) in enumerate(sites):
+        grown = []
+        for x in begun:
+            grown.append(x)
+            done, end, picked = x
+            if i >= end:
+                grown.append((done + word[end:i] + true, i + len(read), picked | 1 << k))
+        begun = grown
+    return [(done + word[end:], picked) for done, end, picked in begun]
+
+
 def _apply(word: str, sites: list[tuple[int, str, str]]) -> str:
     """``word`` with the misreadings at ``sites`` undone; empty where they overlap."""
     out, end = [], 0
@@ -287,7 +384,7 @@ def _damage(word: str, rng: random.Random, rate: float) -> tuple[str, list[tuple
     out, done, i, at = [], [], 0, 0
     while i < len(word):
         c = word[i]
-        options = [r for t, r in MISREAD_LATIN if t == c]
+        options = _READS.get(c)
         if options and rng.random() < rate:
             read = rng.choice(options)
             done.append((at, read, c))
@@ -301,8 +398,30 @@ def _damage(word: str, rng: random.Random, rate: float) -> tuple[str, list[tuple
 
 def _clean(texts: list[str | None]) -> list[str]:
     """Printed forms of the texts without hyphens at line ends or page numbers; the others are not clean."""
-    forms = (canonical(t or "") for t in texts)
-    return [s for s in forms if s and not _HYPHEN.search(s) and not _NUMBER_LINE.search(s) and not _NUMBER_AMID.search(s)]
+    return [s for s in (canonical(t or "") for t in texts) if _is_clean(s)]
+
+
+def _is_clean(s: str) -> bool:
+    if not s or (_HYPHEN_HINT.search(s) and _HYPHEN.search(s)):
+        return False
+    return not (_NUMBER_LINE.search(s) if "\n" in s else _NUMBER_LINE.match(s)) and not _NUMBER_AMID.search(s)
+
+
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column(2).to_pylist()
+        forms = [canonical(t) for t in texts]
+        # soft hyphens before a break and not signs are marks of parted words, so they outlive the printed form
+        marked = [canonical(_SHY_MARK.sub("¬", t)) if "\xad" in t else None for t in texts]
+        cols = [b.column(0), b.column(1), pa.array(forms, pa.string()), pa.array(marked, pa.string()), pa.array(map(_is_clean, forms), pa.bool_())]
+        yield pa.RecordBatch.from_arrays(cols, names=["row_id", "index_key", "text", "marked", "clean"])
+
+
+def printed_pages(chunks: DataFrame) -> DataFrame:
+    """(row_id, index_key, text, marked, clean) of non-null texts, written once: the printed form, the one with marks of parted words where there may be any, and whether it is clean."""
+    rows = chunks.where(F.col("text").isNotNull())
+    rows = rows.select(*(F.col(c).cast(kind) if c in chunks.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("row_id", "bigint"), ("index_key", "string"), ("text", "string"))))
+    return materialize(rows.mapInArrow(_printed, "row_id bigint, index_key string, text string, marked string, clean boolean"), "printed-pages")
 
 
 def _tallied(clean: list[str]) -> Counter[tuple[str, str]]:
@@ -311,17 +430,28 @@ def _tallied(clean: list[str]) -> Counter[tuple[str, str]]:
     Of the pairs and triples in texts with Han, those with a Han character are read only where it may be misread or
     what is read for it; the others are not counted.
     """
-    out: Counter[tuple[str, str]] = Counter()
+    words: Counter[str] = Counter()
+    compounds: Counter[str] = Counter()
+    around: Counter[str] = Counter()  # stretches about characters that may be misread
+    others: Counter[str] = Counter()  # stretches without Han
     for s in clean:
-        out.update(("word", w) for w in _WORD.findall(s))
-        out.update(("compound", f"{a}-{b}".lower()) for a, b in _COMPOUND.findall(s))
-        run = re.sub(r"\s", "", s)
-        if _HAN.search(run):
-            at = [m.start() for m in _PAIRED.finditer(run)]
-            for k in (2, 3):
-                out.update(("gram", run[i : i + k]) for i in {i for j in at for i in range(j - k + 1, j + 1)} if 0 <= i <= len(run) - k)
-                out.update(("gram", x[i : i + k]) for x in _HAN.split(run) for i in range(len(x) - k + 1))
-    return out
+        words.update(_WORD.findall(s))
+        if "-" in s:
+            compounds.update(f"{a}-{b}".lower() for a, b in _COMPOUND.findall(s))
+        if _HAN.search(s):
+            run = "".join(s.split())
+            others.update(_NOT_HAN.findall(run))
+            around.update([run[max(0, m.start() - 2) : m.end() + 2] for m in _PAIRED_RUN.finditer(run)])
+    grams: Counter[str] = Counter()
+    for k in (2, 3):
+        for x, n in others.items():
+            for i in range(len(x) - k + 1):
+                grams[x[i : i + k]] += n
+        for x, n in around.items():
+            for i in range(len(x) - k + 1):
+                if _PAIRED.search(x, i, i + k):
+                    grams[x[i : i + k]] += n
+    return Counter({(kind, x): n for kind, of in (("word", words), ("compound", compounds), ("gram", grams)) for x, n in of.items()})
 
 
 def _dictionary(counts: Iterable[tuple[str, str, int]]) -> tuple[Editor, dict[str, int]]:
@@ -339,8 +469,7 @@ def _dictionary(counts: Iterable[tuple[str, str, int]]) -> tuple[Editor, dict[st
     for w, n in low.items():
         sites = [x for x in ed.latin_sites(w) if x[2].islower()]
         if sites and len(sites) <= 7 and not w.isdigit():
-            fixes = {_apply(w, [x for x, p in zip(sites, pick) if p]) for pick in product((0, 1), repeat=len(sites))} - {w, ""}
-            if max((low.get(f, 0) for f in fixes), default=0) >= 8 * n:
+            if max((low.get(f, 0) for f, _ in _fixes(w, sites) if f != w), default=0) >= 8 * n:
                 noisy.add(w)
     low = Counter({w: n for w, n in low.items() if w not in noisy and not (re.search("[0-9]", w) and n < 8)})
     for w, n in low.items():
@@ -363,35 +492,50 @@ def _word_cases(ed: Editor, words: dict[str, int], seed: int) -> Iterator[tuple[
     """Words with planted misreadings, frequent ones up to six times."""
     for w, n in sorted(words.items()):
         rng = random.Random(f"{seed} {w}")
+        known: dict[tuple[str, bool], tuple[list, list]] = {}
         for _ in range(min(n, 6)):
             seen, done = _damage(w, rng, rng.choice((0.0, 0.0, 0.1, 0.25)))
-            sites = ed.latin_sites(seen)
-            hidden = {w.lower(): ed.words.pop(w.lower(), None)} if rng.random() < 0.15 else {}  # some words must look unknown
+            hide = rng.random() < 0.15  # some words must look unknown
+            if (seen, hide) not in known:
+                sites = ed.latin_sites(seen)
+                hidden = {w.lower(): ed.words.pop(w.lower(), None)} if hide else {}
+                known[seen, hide] = sites, ed.latin_features(seen, sites)
+                ed.words.update({k: v for k, v in hidden.items() if v})
+            sites, features = known[seen, hide]
             true = set(done)
-            cases = [(f, 1 if s in true else -1) for f, s in zip(ed.latin_features(seen, sites), sites)]
-            ed.words.update({k: v for k, v in hidden.items() if v})
-            yield from cases
+            yield from [(f, 1 if s in true else -1) for f, s in zip(features, sites)]
 
 
-def _han_cases(ed: Editor, s: str, rng: random.Random) -> list[tuple[list[str], int]]:
-    """The characters of a clean text that may be misread, and planted misreadings."""
-    cases: list[tuple[list[str], int]] = []
+def _han_cases(s: str, seed: int) -> list[tuple[str, int]]:
+    """The characters of a clean text that may be misread, and planted misreadings, each amid its five characters."""
+    cases: list[tuple[str, int]] = []
     if not _HAN.search(s):
         return cases
-    run = "  " + re.sub(r"\s", "", s) + "  "
-    for i in range(2, len(run) - 2):
-        c = run[i]
+    rng = random.Random(f"{seed} {s}")
+    run = "  " + "".join(s.split()) + "  "
+    for m in _PAIRED.finditer(run):
+        i, c = m.start(), m[0]
         if c in MISREAD_HAN:
-            cases += [(ed.han_features(run[i - 2 : i + 3]), -1)] * 2
-        elif c in _READ_HAN and rng.random() < 0.08:
-            cases.append((ed.han_features(run[i - 2 : i] + _READ_HAN[c] + run[i + 1 : i + 3]), 1))
+            cases += [(run[i - 2 : i + 3], -1)] * 2
+        elif rng.random() < 0.08:
+            cases.append((run[i - 2 : i] + _READ_HAN[c] + run[i + 1 : i + 3], 1))
     return cases
 
 
-def _text_cases(ed: Editor, s: str, seed: int, chars: bool) -> list[tuple[list[str], int]]:
-    """Cases of one clean text; its damage follows from the text, wherever it is read."""
+def _text_cases(ed: Editor, s: str, seed: int) -> list[tuple[Sequence[str], int]]:
+    """Cases of the breaks, gaps and lines of one clean text; its damage follows from the text, wherever it is read."""
     rng = random.Random(f"{seed} {s}")
-    return _han_cases(ed, s, rng) if chars else _break_cases(ed, [s], rng) + _gap_cases(ed, [s], rng) + _page_cases([s], rng)
+    return _break_cases(ed, [s], rng) + _gap_cases(ed, [s], rng) + _page_cases([s], rng)
+
+
+def _planted(ed: Editor, clean: list[str], seed: int, chars: bool) -> Counter[tuple[str, int]]:
+    """Times of the cases (features, y) of clean texts: of Han characters, or of breaks, gaps and lines."""
+    if not chars:
+        return _keyed(case for s in clean for case in _text_cases(ed, s, seed))
+    out: Counter[tuple[str, int]] = Counter()
+    for (around, y), n in Counter(case for s in clean for case in _han_cases(s, seed)).items():
+        out[_SEP.join(ed.han_features(around)), y] += n
+    return out
 
 
 def _fit(counts: Iterable[tuple[str, str, int]], tally: Callable[[Editor, bool], dict[tuple[str, int], int]], seed: int) -> Editor:
@@ -408,12 +552,15 @@ def _fit(counts: Iterable[tuple[str, str, int]], tally: Callable[[Editor, bool],
         cases = [case for (f, y), n in sorted(times.items()) for case in [([sys.intern(x) for x in f.split(_SEP)], y)] * n.bit_length()]
         del times
         ed.word_cache.clear()
+        ed.kept.clear()
+        ed.site_scores.clear()
         ed.weights |= _averaged(cases, rng)
     return ed
 
 
-def _keyed(cases: Iterable[tuple[list[str], int]]) -> Counter[tuple[str, int]]:
-    return Counter((_SEP.join(f), y) for f, y in cases)
+def _keyed(cases: Iterable[tuple[Sequence[str], int]]) -> Counter[tuple[str, int]]:
+    times = Counter((tuple(f), y) for f, y in cases)
+    return Counter({(_SEP.join(f), y): n for (f, y), n in times.items()})
 
 
 def fit_editor(texts: list[str], seed: int = 4) -> Editor:
@@ -421,49 +568,48 @@ def fit_editor(texts: list[str], seed: int = 4) -> Editor:
     clean = _clean(texts)
 
     def tally(ed: Editor, chars: bool) -> Counter[tuple[str, int]]:
-        return sum_of(_keyed(_text_cases(ed, s, seed, chars)) for s in clean)
+        return _planted(ed, clean, seed, chars)
 
     return _fit(((kind, item, n) for (kind, item), n in _tallied(clean).items()), tally, seed)
 
 
-def sum_of(counters: Iterable[Counter]) -> Counter:
-    out: Counter = Counter()
-    for c in counters:
-        out.update(c)
-    return out
+def fit_editor_of(chunks: DataFrame, seed: int = 4) -> Editor:
+    """``fit_editor`` of all texts of a table."""
+    return _fit_pages(printed_pages(chunks), seed)
 
 
-def fit_editor_of(chunks: DataFrame, seed: int = 4) -> Editor:
-    """``fit_editor`` of all texts of a table: clean texts are written once, counted, and planted with damage in two scans.
+def _fit_pages(pages: DataFrame, seed: int = 4) -> Editor:
+    """``fit_editor`` of all clean texts of ``printed_pages``: they are counted, and planted with damage in two scans.
 
     Cases return to the driver by distinct features with their times; Han pairs and triples that stand once and
     figures that stand under eight times have no use and stay behind.
     """
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_clean(b.column(0).to_pylist()), pa.string())], names=["text"])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = _tallied(b.column(0).to_pylist())
             cols = [pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.string()), pa.array(got.values(), pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["kind", "item", "n"])
 
-    texts = materialize(chunks.where(F.col("text").isNotNull()).select("text").mapInArrow(clean, "text string"), "clean-texts")
+    spark = pages.sparkSession
+    texts = pages.where("clean").select("text")
     counts = texts.mapInArrow(count, "kind string, item string, n bigint").groupBy("kind", "item").agg(F.sum("n").alias("n"))
     once = (F.col("kind") == "gram") & (F.col("n") < 2) & F.col("item").rlike("[一-鿿]")
     figures = (F.col("kind") == "word") & (F.col("n") < 8) & F.col("item").rlike("^[0-9]+$")
 
     def tally(ed: Editor, chars: bool) -> dict[tuple[str, int], int]:
+        shared = spark.sparkContext.broadcast(ed)
+
         def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                got = sum_of(_keyed(_text_cases(ed, s, seed, chars)) for s in b.column(0).to_pylist())
+                got = _planted(shared.value, b.column(0).to_pylist(), seed, chars)
                 cols = [pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.int64()), pa.array(got.values(), pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["features", "y", "n"])
 
         found = texts.mapInArrow(plant, "features string, y bigint, n bigint").groupBy("features", "y").agg(F.sum("n").alias("n"))
-        return {(f, y): n for f, y, n in zip(*found.toArrow().to_pydict().values())}
+        cases = {(f, y): n for f, y, n in zip(*found.toArrow().to_pydict().values())}
+        shared.destroy()
+        return cases
 
     kept = counts.where(~once & ~figures & ~((F.col("kind") == "compound") & (F.col("n") < 2))).toArrow()
     return _fit((row for b in kept.to_batches(10_000) for row in zip(*b.to_pydict().values())), tally, seed)
@@ -489,7 +635,7 @@ def _break_cases(ed: Editor, clean: list[str], rng: random.Random) -> list[tuple
     """Words of clean texts parted at a line end, and compounds that end a line at their own hyphen."""
     cases = []
     for s in clean:
-        words = [w for w in re.findall("[A-Za-zÀ-ɏ]{5,}", s)]
+        words = _LETTERS_5.findall(s)
         for w in rng.sample(words, min(4, len(words))):
             at = rng.randint(2, len(w) - 2)
             hidden = ed.words.pop(w.lower(), 0) if rng.random() < 0.2 else 0
@@ -497,7 +643,7 @@ def _break_cases(ed: Editor, clean: list[str], rng: random.Random) -> list[tuple
             cases.append((ed.break_features(w[:at], mark, w[at:]), 1))
             if hidden:
                 ed.words[w.lower()] = hidden
-        for a, b in _COMPOUND.findall(s)[:4]:
+        for a, b in _COMPOUND.findall(s)[:4] if "-" in s else ():
             own = f"{a}-{b}".lower()
             hidden = ed.compounds.pop(own, 0) if rng.random() < 0.2 else 0
             cases.append((ed.break_features(a, "-", b), -1))
@@ -512,9 +658,9 @@ def _gap_cases(ed: Editor, clean: list[str], rng: random.Random) -> list[tuple[l
     """Phrases of clean texts spaced out, the gaps between their words wider or not; and rows of single characters."""
     cases: list[tuple[list[str], int]] = []
     for s in clean:
-        for m in _SPACED.finditer(s):
+        for m in _SPACED.finditer(s) if _SPACED_HINT.search(s) else ():
             cases += [(f, -1) for f in ed.gap_features(m[0])]
-        words = re.findall("[A-Za-z]{2,}", s)
+        words = _LETTERS_2.findall(s)
         if len(words) > 3:
             i = rng.randrange(len(words) - 3)
             phrase = words[i : i + rng.randint(1, 3)]
@@ -523,7 +669,7 @@ def _gap_cases(ed: Editor, clean: list[str], rng: random.Random) -> list[tuple[l
                 run = ("  " if wide else " ").join(" ".join(w) for w in phrase)
                 inside = [k == 0 for w in phrase for k in range(len(w))][1:]
                 cases += [(f, -1 if first else 1) for f, first in zip(ed.gap_features(run), inside)]
-        flat = re.sub("\\s+", " ", s)
+        flat = s if s.isprintable() and "  " not in s else f"{' ' if s[0].isspace() else ''}{' '.join(s.split())}{' ' if s[-1].isspace() else ''}"
         if len(flat) > 20:  # a stretch of any characters, its own spaces three wide
             i = rng.randrange(len(flat) - 16)
             stretch = flat[i : i + rng.randint(6, 16)].strip()
@@ -543,8 +689,9 @@ def _page_cases(clean: list[str], rng: random.Random) -> list[tuple[list[str], i
         if not lines:
             continue
         if len(lines) == 1:
-            lines = re.sub("([.。])", "\\1\n", lines[0], count=4).split("\n")
-        names = re.findall("[A-Z][a-z]{3,} [A-Z][a-z]{3,}|[一-鿿]{4}", s) or ["Northern Works"]
+            parts = _SENTENCE_END.split(lines[0], 4)
+            lines = [a + b for a, b in zip(parts[:-1:2], parts[1::2])] + parts[-1:]
+        names = _NAMES.findall(s) or ["Northern Works"]
         title = f"{rng.choice(names)} {rng.choice(PLANTED_TITLES).format(rng.randint(1990, 2029))}"
         if _HAN.search(title):
             title = title.replace(" ", "")
@@ -576,9 +723,10 @@ def _page_cases(clean: list[str], rng: random.Random) -> list[tuple[list[str], i
         if shown[0] in "#《":
             cases += [(features, -1) for _, _, kind, features in span_sites("\n".join(body), titles) if kind == "header"]
         flat = " ".join(lines)
-        spot = [m.start() for m in re.finditer(" ", flat)]
-        if spot:
-            k = rng.choice(spot)
+        parts = flat.split(" ")
+        if len(parts) > 1:
+            before = rng.choice(range(1, len(parts)))
+            k = sum(map(len, parts[:before])) + before - 1
             inner, kind = (number, "pageno") if rng.random() < 0.5 or not titles else (title, "header")
             text = f"{flat[:k]} {inner}{flat[k:]}"
             for start, end, found, features in span_sites(text, titles):
@@ -589,13 +737,17 @@ def _page_cases(clean: list[str], rng: random.Random) -> list[tuple[list[str], i
 # page furniture ---------------------------------------------------------------------------------------------------
 def squeezed(line: str) -> str:
     """A line without case, spaces and trailing stamp, as titles are compared."""
-    return re.sub(r"\s", "", re.sub(" {2,}[^ ]{1,8}$", "", line.strip())).lower()
+    return "".join(_unstamped(line.strip()).split()).lower()
+
+
+def _unstamped(line: str) -> str:
+    return _STAMP_END.sub("", line) if "  " in line else line
 
 
 def title_ending(line: str) -> str:
     """The end of a title with digits masked, common to the titles of one kind of document."""
-    s = re.sub("[0-9]", "0", squeezed(line))
-    return s[-9:] if _HAN.search(s) else s[-14:]
+    s = squeezed(line)
+    return _DIGIT.sub("0", s[-9:] if _HAN.search(s) else s[-14:])
 
 
 _YEAR = re.compile("[0-9]{4}")
@@ -616,7 +768,7 @@ def title_lines(text: str) -> list[tuple[str, str]]:
     lines = [x.strip() for x in text.split("\n")]
     out = []
     for i, x in enumerate(lines):
-        bare = re.sub(" {2,}[^ ]{1,8}$", "", x)
+        bare = _unstamped(x)
         if 6 <= len(bare) <= 70 and bare[-1] not in TERMINAL and bare[0] not in "#*-•[|" and (_YEAR.search(bare) or _headline(bare)):
             before, after = (lines[i - 1] if i else ""), (lines[i + 1] if i + 1 < len(lines) else "")
             out.append((bare, f"{before[-12:]}|{after[:12]}"))
@@ -626,8 +778,7 @@ def title_lines(text: str) -> list[tuple[str, str]]:
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            s = canonical(text)
+        for key, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if "\n" in s:
                 out += [(key, squeezed(x), title_ending(x), around) for x, around in title_lines(s)]
         cols = list(zip(*out)) or [[], [], [], []]
@@ -650,17 +801,20 @@ def _form_of(number: str) -> str:
 def line_sites(lines: list[str], titles: list[str], endings: set[str]) -> list[tuple[int, str, list[str]]]:
     """(line, kind, features) of the lines that may be a running title (header), a page number (pageno), or both."""
     tails = {e[-2:] for e in endings}
+    longest = max(map(len, titles), default=0) + 2
     out: list[tuple[int, str, list[str]]] = []
     for i, x in enumerate(lines):
         bare = x.strip()
         if not bare:
             continue
-        place = "first" if i == 0 else "last" if i == len(lines) - 1 else "mid"
-        number = _NUMBER_LINE.match(x)
-        if titles or _DIGIT.sub("0", bare[-2:].lower()) in tails or _STAMPED.search(bare):
-            core = squeezed(re.sub(f"[ \t]*(?:{_NUMBER})$", "", bare) or bare)
-            told = "exact" if core in titles else "near" if len(core) > 8 and _is_title(core, titles) else "end" if len(core) > 9 and title_ending(core) in endings else ""
+        if titles or (tails and _DIGIT.sub("0", bare[-2:].lower()) in tails) or ("  " in bare and _STAMPED.search(bare)):
+            core = "".join(_unstamped((_NUMBER_END.sub("", bare) if bare[-1] in _NUMBER_ENDS else bare).strip() or bare).split())
+            told = ""
+            if endings or len(core) <= longest:  # a longer line is no title of this file
+                core = core.lower()
+                told = "exact" if core in titles else "near" if len(core) > 8 and _is_title(core, titles) else "end" if endings and len(core) > 9 and title_ending(core) in endings else ""
             if told:
+                place = "first" if i == 0 else "last" if i == len(lines) - 1 else "mid"
                 shape = f"{bare[0] == '#':d}{bare[0] in _QUOTES:d}{bare[-1] in TERMINAL:d}{len(bare) > 70:d}"
                 features = ["tbias", f"t{told}", f"t{told} {shape}", f"t{shape}", f"t{told} {place}"]
                 both = _NUMBER_AMID.search(bare) and not core.endswith(bare[-3:].lower())
@@ -668,12 +822,15 @@ def line_sites(lines: list[str], titles: list[str], endings: set[str]) -> list[t
                 if both:
                     out.append((i, "both", features))
                 continue
-        if number:
+        if bare[-1] not in _NUMBER_ENDS:
+            continue
+        place = "first" if i == 0 else "last" if i == len(lines) - 1 else "mid"
+        if _NUMBER_LINE.match(x):
             form = _form_of(bare)
             out.append((i, "pageno", ["nbias", f"n{form}", f"n {place}", "nline"]))
         elif len(x) < 12 and _BARE_LINE.match(x) and len(bare) <= 3 and len(lines) > 1:
             near = [lines[k].strip() for k in (i - 1, i + 1) if 0 <= k < len(lines)]
-            figures = any(re.fullmatch("[0-9. ,%]+", y) for y in near)
+            figures = any(_FIGURES.fullmatch(y) for y in near)
             out.append((i, "pageno", ["nbias", "nbare", f"nbare figures{figures:d}", f"n {place}", "nline"]))
     return out
 
@@ -681,12 +838,13 @@ def line_sites(lines: list[str], titles: list[str], endings: set[str]) -> list[t
 def span_sites(s: str, titles: list[str]) -> list[tuple[int, int, str, list[str]]]:
     """(start, end, kind, features) of the spans amid a text that may be a running title or a page number."""
     out = []
-    run_on = "".join(s.split()).lower() if titles else ""
+    parts = s.split() if titles else []
+    run_on = "".join(parts).lower()
     for t in titles:
         if t in run_on:
-            for m in _title_pattern(t).finditer(s):
-                before = s[: m.start()].rstrip()[-1:]
-                out.append((m.start(), m.end(), "header", ["tbias", "tspan", f"tspan{before in _QUOTES and before != '':d}", f"tspan {before in TERMINAL:d}", f"tspan heading{before == '#':d}"]))
+            for start, end in title_spans(s, parts, run_on, t):
+                before = s[:start].rstrip()[-1:]
+                out.append((start, end, "header", ["tbias", "tspan", f"tspan{before in _QUOTES and before != '':d}", f"tspan {before in TERMINAL:d}", f"tspan heading{before == '#':d}"]))
     for m in _NUMBER_AMID.finditer(s):
         form = _form_of(m[0])
         place = "first" if not s[: m.start()].strip() else "last" if not s[m.end() :].strip() else "mid"
@@ -696,9 +854,13 @@ def span_sites(s: str, titles: list[str]) -> list[tuple[int, int, str, list[str]
 
 def repair(text: str, titles: list[str], endings: set[str], ed: Editor) -> Found:
     """Find and undo the noise of one text; ``titles`` (squeezed) are its file's, ``endings`` those of any file."""
-    kinds: set[str] = set()
     # soft hyphens before a break and not signs are marks of parted words, so they outlive the printed form
-    s = canonical(_SHY_MARK.sub("¬", text) if "\xad" in text else text)
+    return repair_printed(canonical(_SHY_MARK.sub("¬", text) if "\xad" in text else text), titles, endings, ed)
+
+
+def repair_printed(s: str, titles: list[str], endings: set[str], ed: Editor) -> Found:
+    """``repair`` of a text in its printed form."""
+    kinds: set[str] = set()
     lines = s.split("\n")
     gone = set()
     for i, kind, features in line_sites(lines, titles, endings):
@@ -740,14 +902,14 @@ def repair(text: str, titles: list[str], endings: set[str], ed: Editor) -> Found
         edits += n
         return word
 
-    if any(ed.word(w)[1] for w in set(_WORD.findall(s))):
+    if any(ed.word(w)[1] for w in set(_WORD.findall(s)) - ed.kept):
         s = _WORD.sub(fix, s)
     if _ODD_HAN.search(s):
         run = "  " + s + "  "
         out = list(s)
         for m in _ODD_HAN.finditer(s):
             i = m.start()
-            left, right = re.sub(r"\s", "", run[max(0, i - 3) : i + 2])[-2:], re.sub(r"\s", "", run[i + 3 : i + 8])[:2]
+            left, right = "".join(run[max(0, i - 3) : i + 2].split())[-2:], "".join(run[i + 3 : i + 8].split())[:2]
             if ed.han(left.rjust(2) + m[0] + right.ljust(2)):
                 out[i] = MISREAD_HAN[m[0]]
                 edits += 1
@@ -773,19 +935,37 @@ def _nearly(a: str, b: str) -> bool:
     return len(a) == len(b) and sum(x != y for x, y in zip(a, b)) * 5 <= len(a)
 
 
-_PATTERNS: dict[str, re.Pattern] = {}
+def title_spans(s: str, parts: list[str], run_on: str, title: str) -> list[tuple[int, int]]:
+    """(start, end) of a title amid a text, at most one blank between its characters.
 
-
-def _title_pattern(title: str) -> re.Pattern:
-    if title not in _PATTERNS:
+    ``parts`` are the pieces of the text between its blanks, ``run_on`` is all of them in small letters.
+    """
+    if _FOLDS.search(s):
         body = r"\s?".join(re.escape(c) for c in title)
-        _PATTERNS[title] = re.compile(f"(?:(?<=^)|(?<=\\s)){body}{_STAMP}(?: [0-9]{{1,3}}(?= |$))?(?=\\s|$)", re.I)
-    return _PATTERNS[title]
+        return [m.span() for m in re.finditer(f"(?:(?<=^)|(?<=\\s)){body}{_TITLE_END.pattern}", s, re.I)]
+    starts = [0, *accumulate(map(len, parts))]
+    out: list[tuple[int, int]] = []
+    at = run_on.find(title)
+    while at >= 0:
+        k = bisect_left(starts, at)
+        if starts[k] == at:
+            places = islice(_PART.finditer(s), k, None)
+            start, end = next(places).span()
+            left = len(title) - (end - start)
+            while left > 0:
+                i, j = next(places).span()
+                if i != end + 1:
+                    break
+                end, left = j, left - (j - i)
+            if left <= 0 and (not out or start >= out[-1][1]) and (m := _TITLE_END.match(s, end + left)):
+                out.append((start, m.end()))
+        at = run_on.find(title, at + 1)
+    return out
 
 
-def running_titles(chunks: DataFrame) -> DataFrame:
-    """(index_key, line, ending, n): squeezed lines that return in one file between at least three different neighbours."""
-    rows = chunks.where(F.col("text").isNotNull() & F.col("index_key").isNotNull()).select("index_key", "text")
+def running_titles(pages: DataFrame) -> DataFrame:
+    """(index_key, line, ending, n) of ``printed_pages``: squeezed lines that return in one file between at least three different neighbours."""
+    rows = pages.where(F.col("index_key").isNotNull() & F.col("text").contains("\n")).select("index_key", "text")
     lines = rows.mapInArrow(_lines, "index_key string, line string, ending string, around string")
     lines = lines.select("index_key", "line", "ending", F.xxhash64("around").alias("around"))
     times = lines.groupBy("index_key", "line").agg(F.count_distinct("around").alias("n"), F.min("ending").alias("ending"))
@@ -799,10 +979,10 @@ def title_endings(titles: DataFrame) -> set[str]:
     return {r["ending"] for r in known.groupBy("ending").count().where(F.col("count") >= least).collect()}
 
 
-def _find(ed: Editor, endings: set[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _find(shared: Broadcast, endings: set[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [repair(t, titles or [], endings, ed) for t, titles in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            got = [repair_printed(t, titles or [], endings, shared.value) for t, titles in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([sorted(f.kinds) for f in got], pa.list_(pa.string())), pa.array([f.text for f in got], pa.string())],
                 names=["row_id", "kinds", "repaired"],
@@ -821,13 +1001,15 @@ def repaired_texts(chunks: DataFrame, editor: Editor | None = None) -> DataFrame
     that has any, with all of its titles) join by file, by broadcast where Spark finds them small enough, else by a
     split sort-merge join; the usual endings of titles are sent along, so that a title alone in a copied passage is found.
     """
-    ed = editor or fit_editor_of(chunks)
-    titles = materialize(running_titles(chunks), "titles")
+    pages = printed_pages(chunks)
+    ed = editor or _fit_pages(pages)
+    titles = materialize(running_titles(pages), "titles")
     per_file = titles.groupBy("index_key").agg(F.sort_array(F.collect_list(F.struct("n", "line")), asc=False)["line"].alias("titles"))
-    rows = chunks.where(F.col("text").isNotNull()).select(F.col("row_id").cast("bigint"), "index_key", "text")
+    rows = pages.select("row_id", "index_key", F.coalesce("marked", "text").alias("text"))
     endings = title_endings(titles)
     joined = rows.join(materialize(per_file, "file-titles"), "index_key", "left").select("row_id", "text", "titles")
-    return joined.mapInArrow(_find(ed, endings), "row_id bigint, kinds array<string>, repaired string")
+    shared = chunks.sparkSession.sparkContext.broadcast(ed)  # its caches outlive a task of a worker
+    return joined.mapInArrow(_find(shared, endings), "row_id bigint, kinds array<string>, repaired string")
 
 
 def noise_kinds(chunks: DataFrame, editor: Editor | None = None) -> DataFrame:

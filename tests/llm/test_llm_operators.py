@@ -3,6 +3,8 @@
 import itertools
 import pickle
 import random
+import re
+import sys
 
 import numpy as np
 import pandas as pd
@@ -391,6 +393,39 @@ def test_editor_of_all_texts(spark):
     assert (ed.words, ed.grams, ed.compounds) == (want.words, want.grams, want.compounds)
 
 
+def test_work_of_planting_is_bounded():
+    rng = random.Random(43)
+    texts = [prose(rng, 6) for _ in range(300)]
+    scan_noise.fit_editor(texts[:20])
+    calls = 0
+
+    def count(_frame, event, _arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        scan_noise.fit_editor(texts)
+    finally:
+        sys.setprofile(None)
+    assert calls < 1500 * len(texts)
+
+
+def test_title_spans_equal_the_pattern():
+    rng = random.Random(44)
+    found = 0
+    for k in range(20000):
+        s = "".join(rng.choices(["a", "B", "b", "1", " ", " ", "\n", "é", "  cd", "日", "ſ" if k % 50 == 0 else "b"], k=rng.randint(1, 14)))
+        t = "".join(rng.choices("ab1é", k=rng.randint(2, 3)))
+        body = r"\s?".join(t)
+        want = [m.span() for m in re.finditer(f"(?:(?<=^)|(?<=\\s)){body}(?: {{2,}}[^ \n]{{2,6}})?(?: [0-9]{{1,3}}(?= |$))?(?=\\s|$)", s, re.I)]
+        run_on = "".join(s.split()).lower()
+        if t in run_on:
+            found += len(want)
+            assert scan_noise.title_spans(s, s.split(), run_on, t) == want
+    assert found > 100
+
+
 def test_noise_of_a_file(spark):
     rng = random.Random(8)
     rows = [(i, "f", i, prose(rng, 2).replace(". ", ".\n") + f"\nSome Networks Annual Report 2020\n第 {i} 页\n" + prose(rng, 1)) for i in range(12)]
