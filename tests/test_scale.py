@@ -19,3 +19,12 @@ def test_label_matches_end_in_a_join(spark):
     assert sorted(rows) == sorted([(q, f"f{i}", "A", "实体A") for q in (1, 2) for i in range(40)] + [(q, *e) for q in (1, 2) for e in extra] + [(3, "f1", "A", "实体")])
     plan = plan_of(got)  # repeated rows go before the product, not after it
     assert 0 <= plan.index("Join") < plan.index("Aggregate")
+
+
+def test_synonyms_need_no_files(spark):
+    nodes = spark.createDataFrame([("f", "A", "abc"), ("g", "A", "abc")], NODES)
+    asked = spark.createDataFrame([(1, "say abc"), (2, "none")], ASKED)
+    words = spark.createDataFrame([("abc", "ABC")], "label string, word string")
+    got = graph.expand_query(asked, nodes, words)
+    assert sorted(map(tuple, got.collect())) == [(1, "say abc ABC"), (2, "none")]
+    assert not any("index_key" in line for line in plan_of(got).splitlines() if "LogicalRDD" not in line)
