@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -107,6 +108,49 @@ def label_matches(queries: DataFrame, nodes: DataFrame, parts: int = 16) -> Data
     return named.join(wide, ["label", "_part"]).select("query_id", "index_key", "id", "label")
 
 
+@dataclass
+class Cases:
+    """What queries match in files, each set of labels of a file once: graph results depend on nothing else."""
+
+    labels: DataFrame  # case, index_key, labels (sorted)
+    askers: DataFrame  # case, kinds (or query_ids: array)
+    members: DataFrame | None  # kind, query_id
+
+    def matched(self, nodes: DataFrame) -> DataFrame:
+        """(case, index_key, id): the entities of each case."""
+        named = nodes.where(F.length("label") >= 2).select("index_key", "id", "label")
+        return self.labels.select("case", "index_key", F.explode("labels").alias("label")).join(named, ["index_key", "label"]).select("case", "index_key", "id").distinct()
+
+    def asked(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of cases as rows of all queries that have the case; this product is not shuffled."""
+        rows = rows.join(self.askers, "case")
+        if self.members is None:
+            return rows.withColumn("query_id", F.explode("query_ids")).drop("case", "query_ids")
+        return rows.withColumn("kind", F.explode("kinds")).drop("case", "kinds").join(F.broadcast(self.members), "kind").drop("kind")  # 16 bytes a query
+
+
+def label_cases(queries: DataFrame, nodes: DataFrame) -> Cases:
+    """The cases of :func:`query_labels`; queries of equal labels are one kind, and kinds meet the files once.
+
+    The kinds' labels are broadcast to the nodes, which lie by file, so what a kind matches in a file is not shuffled.
+    """
+    number = F.monotonically_increasing_id()
+    if "index_key" in queries.columns:
+        own = query_labels(queries, nodes).groupBy("query_id", "index_key").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+        cases = materialize(own.groupBy("index_key", "labels").agg(F.collect_list("query_id").alias("query_ids")).withColumn("case", number), "cases")
+        return Cases(cases.select("case", "index_key", "labels"), cases.select("case", "query_ids"), None)
+    lists = query_labels(queries, nodes).groupBy("query_id").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    kinds = materialize(lists.groupBy("labels").agg(F.collect_list("query_id").alias("query_ids")).withColumn("kind", number), "kinds")
+    spark = nodes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    named = nodes.where(F.length("label") >= 2).select("index_key", "label").distinct().repartition(parts, "index_key")
+    met = named.join(F.broadcast(kinds.select("kind", F.explode("labels").alias("label"))), "label")  # labels of queries only
+    files = met.groupBy("index_key", "kind").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    cases = files.groupBy("index_key", "labels").agg(F.collect_list("kind").alias("kinds")).withColumn("case", number)
+    cases = materialize(cases, "cases")
+    return Cases(cases.select("case", "index_key", "labels"), cases.select("case", "kinds"), kinds.select("kind", F.explode("query_ids").alias("query_id")))
+
+
 def multi_hop(queries: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     """(query_id, index_key, id, label, score): entities within ``depth`` hops of the matched ones, first visit wins.
 
@@ -141,6 +185,19 @@ def multi_hop(queries: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int
     return found
 
 
+def _recalled(cases: Cases, nodes: DataFrame, mentions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(case, index_key, id, chunk_id, pos, parent_id, entity_rank): the chunks of the entities of every case.
+
+    The rank is the entity's own, so chunks are ranked before they meet the cases.
+    """
+    matched = cases.matched(nodes)
+    first = chunks.groupBy("index_key", "chunk_id").agg(F.min(F.struct("pos", "parent_id")).alias("at"))
+    rows = mentions.select("index_key", F.col("node_id").alias("id"), "chunk_id").distinct().join(matched.select("index_key", "id").distinct(), ["index_key", "id"], "left_semi")
+    order = W.partitionBy("index_key", "id").orderBy("at.pos", "chunk_id")
+    rows = rows.join(first, ["index_key", "chunk_id"]).withColumn("entity_rank", F.row_number().over(order))
+    return matched.join(rows, ["index_key", "id"]).select("case", "index_key", "id", "chunk_id", F.col("at.pos").alias("pos"), F.col("at.parent_id").alias("parent_id"), "entity_rank")
+
+
 def entity_recall(queries: DataFrame, nodes: DataFrame, mentions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, index_key, id, chunk_id, pos, parent_id, entity_rank): distinct chunks of the matched entities, in order."""
     matched = label_matches(queries, nodes)
@@ -150,32 +207,40 @@ def entity_recall(queries: DataFrame, nodes: DataFrame, mentions: DataFrame, chu
     return rows.select("query_id", "index_key", "id", "chunk_id", F.col("at.pos").alias("pos"), F.col("at.parent_id").alias("parent_id"), F.row_number().over(order).alias("entity_rank"))
 
 
-def recall_with_quotas(recalled: DataFrame, per_entity: int = 3, per_parent: int = 2) -> DataFrame:
+def recall_with_quotas(recalled: DataFrame, per_entity: int = 3, per_parent: int = 2, key: str = "query_id") -> DataFrame:
     """(query_id, index_key, chunk_id, seq): recalled chunks under quotas per entity and per parent, in selection order.
 
     Entities in order of id, chunks in order of position; a chunk already selected does not use up its entity's quota.
-    A quota of 0 or less is none.  The fold is sequential by meaning; a group is what one query matches in one file.
+    A quota of 0 or less is none.  The fold is sequential by meaning; a group is what one query (or ``key``) matches in
+    one file.
     """
-
-    def select(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "entity_rank"])
-        taken: dict[str, int] = {}
-        parents: dict[str, int] = {}
-        picked: list[str] = []
-        seen: set[str] = set()
-        for entity, chunk, parent in zip(rows["id"], rows["chunk_id"], rows["parent_id"]):
-            if chunk in seen or (per_entity > 0 and taken.get(entity, 0) >= per_entity):
-                continue
-            if parent and per_parent > 0 and parents.get(parent, 0) >= per_parent:
-                continue
-            seen.add(chunk)
-            picked.append(chunk)
-            taken[entity] = taken.get(entity, 0) + 1
-            if parent:
-                parents[parent] = parents.get(parent, 0) + 1
-        return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "index_key": rows["index_key"].iloc[0], "chunk_id": picked, "seq": range(1, len(picked) + 1)})
-
-    return recalled.groupBy("query_id", "index_key").applyInPandas(select, "query_id bigint, index_key string, chunk_id string, seq int")
+    parent = F.coalesce("parent_id", F.lit(""))
+    order = F.array_sort(F.collect_list(F.struct("id", "entity_rank", "chunk_id", parent.alias("parent"))))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("picked"), none.alias("parents"), F.lit("").alias("entity"), F.lit(0).alias("taken"))
+
+    def step(s: Column, x: Column) -> Column:
+        before = F.when(s["entity"] == x["id"], s["taken"]).otherwise(F.lit(0))
+        ok = ~F.array_contains(s["picked"], x["chunk_id"])
+        if per_entity > 0:
+            ok = ok & (before < per_entity)
+        if per_parent > 0:
+            ok = ok & ((x["parent"] == "") | (F.size(F.filter(s["parents"], lambda p: p == x["parent"])) < per_parent))
+        return F.struct(
+            F.when(ok, F.concat(s["picked"], F.array(x["chunk_id"]))).otherwise(s["picked"]).alias("picked"),
+            F.when(ok, F.concat(s["parents"], F.array(x["parent"]))).otherwise(s["parents"]).alias("parents"),
+            x["id"].alias("entity"), (before + ok.cast("int")).alias("taken"),
+        )
+
+    folded = recalled.groupBy(key, "index_key").agg(order.alias("rows")).select(key, "index_key", F.aggregate("rows", start, step)["picked"].alias("picked"))
+    return folded.select(key, "index_key", F.posexplode("picked").alias("_n", "chunk_id")).select(key, "index_key", "chunk_id", (F.col("_n") + 1).alias("seq"))
+
+
+def recall_under_quotas(queries: DataFrame, nodes: DataFrame, mentions: DataFrame, chunks: DataFrame, per_entity: int = 3, per_parent: int = 2) -> DataFrame:
+    """(query_id, index_key, chunk_id, seq): :func:`recall_with_quotas` of :func:`entity_recall`, folded once a case."""
+    cases = label_cases(queries, nodes)
+    picked = recall_with_quotas(_recalled(cases, nodes, mentions, chunks), per_entity, per_parent, "case")
+    return cases.asked(picked).select("query_id", "index_key", "chunk_id", "seq")
 
 
 def neighbour_labels(queries: DataFrame, nodes: DataFrame, edges: DataFrame, top: int = 2) -> DataFrame:

@@ -327,7 +327,8 @@ def entity_recall(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def entity_recall_quotas(spark: SparkSession, d: str) -> DataFrame:
-    return graph.recall_with_quotas(entity_recall(spark, d))
+    t = Tables(spark, d)
+    return graph.recall_under_quotas(t.asked, t.semantic_graph, t.entity_chunks, t.current)
 
 
 @query

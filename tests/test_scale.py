@@ -28,3 +28,18 @@ def test_synonyms_need_no_files(spark):
     got = graph.expand_query(asked, nodes, words)
     assert sorted(map(tuple, got.collect())) == [(1, "say abc ABC"), (2, "none")]
     assert not any("index_key" in line for line in plan_of(got).splitlines() if "LogicalRDD" not in line)
+
+
+GRAPH = [("f", "A", "aa"), ("f", "A", "bb"), ("f", "B", "cc"), ("f", "C", "dd"), ("g", "A", "aa"), ("g", "B", "zz")]
+TEXTS = [(1, "aa bb"), (2, "aa bb"), (3, "cc and aa"), (4, "zz"), (5, "nothing"), (6, None)]
+
+
+def test_quotas_are_folded_once_a_case(spark):
+    nodes, asked = spark.createDataFrame(GRAPH, NODES), spark.createDataFrame(TEXTS, ASKED)
+    mentions = spark.createDataFrame([("f", "A", f"c{i}") for i in range(6)] + [("f", "B", "c0"), ("f", "B", "c9"), ("g", "B", "c1")], "index_key string, node_id string, chunk_id string")
+    places = [("f", f"c{i}", i, "P" if i < 3 else None) for i in range(6)] + [("f", "c9", 9, "P"), ("g", "c1", 0, "")]
+    chunks = spark.createDataFrame(places, "index_key string, chunk_id string, pos int, parent_id string")
+    got = graph.recall_under_quotas(asked, nodes, mentions, chunks)
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows) == sorted([(q, "f", c, n) for q in (1, 2, 3) for n, c in enumerate(["c0", "c1", "c3"], 1)] + [(4, "g", "c1", 1)])
+    assert "Pandas" not in plan_of(got)
