@@ -1,6 +1,6 @@
 """Products of queries and files: whole results, without a shuffle of the product."""
 
-from docquarry.operators import graph
+from docquarry.operators import graph, lexical
 
 NODES = "index_key string, id string, label string"
 ASKED = "query_id bigint, query string"
@@ -43,3 +43,15 @@ def test_quotas_are_folded_once_a_case(spark):
     rows = [tuple(r) for r in got.collect()]
     assert sorted(rows) == sorted([(q, "f", c, n) for q in (1, 2, 3) for n, c in enumerate(["c0", "c1", "c3"], 1)] + [(4, "g", "c1", 1)])
     assert "Pandas" not in plan_of(got)
+
+
+def chunk_table(spark, texts):
+    return spark.createDataFrame([(i, "f", i, t) for i, t in enumerate(texts)], "row_id bigint, index_key string, pos int, text string")
+
+
+def test_top_chunks_rank_negative_scores_behind_zero(spark):
+    chunks = chunk_table(spark, ["tt", "tt", ""])  # the only term is in most documents
+    asked = spark.createDataFrame([(1, "tt"), (2, "tt"), (3, "other"), (4, "")], ASKED)
+    got = lexical.top_chunks(lexical.build_index(chunks), asked, chunks, 2)
+    rows = {(r["query_id"], r["rank"]): (r["row_id"], r["score"] < 0) for r in got.collect()}
+    assert rows == {(q, r): v for q in (1, 2) for r, v in ((1, (2, False)), (2, (0, True)))} | {(q, r): (r - 1, False) for q in (3, 4) for r in (1, 2)}
