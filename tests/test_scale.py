@@ -55,3 +55,13 @@ def test_top_chunks_rank_negative_scores_behind_zero(spark):
     got = lexical.top_chunks(lexical.build_index(chunks), asked, chunks, 2)
     rows = {(r["query_id"], r["rank"]): (r["row_id"], r["score"] < 0) for r in got.collect()}
     assert rows == {(q, r): v for q in (1, 2) for r, v in ((1, (2, False)), (2, (0, True)))} | {(q, r): (r - 1, False) for q in (3, 4) for r in (1, 2)}
+
+
+def test_scores_are_not_shuffled(spark):
+    chunks = chunk_table(spark, ["aa bb aa", "bb cc", "", "dd", "ee"])
+    asked = spark.createDataFrame([(1, "aa bb"), (2, "bb aa"), (3, "bb bb"), (4, "zz"), (5, "")], ASKED)
+    got = lexical.bm25_scores(lexical.build_index(chunks), asked)
+    rows = {(r["query_id"], r["row_id"]): r["score"] for r in got.collect()}
+    assert set(rows) == {(q, d) for q in (1, 2, 3) for d in (0, 1)} and rows[1, 0] == rows[2, 0] and rows[3, 1] > rows[1, 1]
+    plan = plan_of(got)
+    assert "Aggregate" not in plan[: plan.index("MapInArrow")]
