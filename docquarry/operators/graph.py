@@ -200,11 +200,9 @@ def _recalled(cases: Cases, nodes: DataFrame, mentions: DataFrame, chunks: DataF
 
 def entity_recall(queries: DataFrame, nodes: DataFrame, mentions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, index_key, id, chunk_id, pos, parent_id, entity_rank): distinct chunks of the matched entities, in order."""
-    matched = label_matches(queries, nodes)
-    first = chunks.groupBy("index_key", "chunk_id").agg(F.min(F.struct("pos", "parent_id")).alias("at"))
-    rows = matched.join(mentions.select("index_key", F.col("node_id").alias("id"), "chunk_id").distinct(), ["index_key", "id"]).join(first, ["index_key", "chunk_id"])
-    order = W.partitionBy("query_id", "index_key", "id").orderBy("at.pos", "chunk_id")
-    return rows.select("query_id", "index_key", "id", "chunk_id", F.col("at.pos").alias("pos"), F.col("at.parent_id").alias("parent_id"), F.row_number().over(order).alias("entity_rank"))
+    cases = label_cases(queries, nodes)
+    rows = cases.asked(_recalled(cases, nodes, mentions, chunks))
+    return rows.select("query_id", "index_key", "id", "chunk_id", "pos", "parent_id", "entity_rank")
 
 
 def recall_with_quotas(recalled: DataFrame, per_entity: int = 3, per_parent: int = 2, key: str = "query_id") -> DataFrame:

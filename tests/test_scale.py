@@ -65,3 +65,13 @@ def test_scores_are_not_shuffled(spark):
     assert set(rows) == {(q, d) for q in (1, 2, 3) for d in (0, 1)} and rows[1, 0] == rows[2, 0] and rows[3, 1] > rows[1, 1]
     plan = plan_of(got)
     assert "Aggregate" not in plan[: plan.index("MapInArrow")]
+
+
+def test_recall_ranks_once_an_entity(spark):
+    nodes, asked = spark.createDataFrame(GRAPH, NODES), spark.createDataFrame(TEXTS, ASKED)
+    mentions = spark.createDataFrame([("f", "A", "c2"), ("f", "A", "c1"), ("f", "A", "c1"), ("g", "B", "c1")], "index_key string, node_id string, chunk_id string")
+    chunks = spark.createDataFrame([("f", "c1", 4, "P"), ("f", "c1", 1, None), ("f", "c2", 2, "P"), ("g", "c1", 0, "")], "index_key string, chunk_id string, pos int, parent_id string")
+    got = graph.entity_recall(asked, nodes, mentions, chunks)
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted([(q, "f", "A", *x) for q in (1, 2, 3) for x in (("c1", 1, None, 1), ("c2", 2, "P", 2))] + [(4, "g", "B", "c1", 0, "", 1)], key=str)
+    assert "query_id" not in "".join(line for line in plan_of(got).splitlines() if "Window" in line)
