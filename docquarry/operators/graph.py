@@ -245,19 +245,21 @@ def neighbour_labels(queries: DataFrame, nodes: DataFrame, edges: DataFrame, top
     """(query_id, index_key, label, weight, rank): the heaviest neighbours of matched entities whose label is not in the query.
 
     The far end of an edge is its target where the source matches and the target qualifies, else its source where the
-    target matches.  Ties go by label.
+    target matches.  Ties go by label.  Neighbours are ranked once for each case of matched labels.
     """
-    hit = label_matches(queries, nodes).select("query_id", "index_key", "id")
+    cases = label_cases(queries, nodes)
+    hit = cases.matched(nodes)
     named = nodes.select("index_key", "id", "label")
     src, dst = named.toDF("index_key", "src", "src_label"), named.toDF("index_key", "dst", "dst_label")
     rows = edges.join(src, ["index_key", "src"], "left").join(dst, ["index_key", "dst"], "left")
-    forward = rows.join(hit.withColumnRenamed("id", "src"), ["index_key", "src"]).select("query_id", "index_key", "edge_pos", F.col("dst_label").alias("label"), "weight", F.lit(0).alias("way"))
-    backward = rows.join(hit.withColumnRenamed("id", "dst"), ["index_key", "dst"]).select("query_id", "index_key", "edge_pos", F.col("src_label").alias("label"), "weight", F.lit(1).alias("way"))
-    far = forward.unionByName(backward).join(queries.select("query_id", "query"), "query_id").where((F.length("label") >= 2) & ~F.contains("query", "label"))
-    far = far.groupBy("query_id", "index_key", "edge_pos").agg(F.min(F.struct("way", "label", "weight")).alias("f")).select("query_id", "index_key", "f.label", "f.weight")
-    best = far.groupBy("query_id", "index_key", "label").agg(F.max("weight").alias("weight"))
-    order = W.partitionBy("query_id", "index_key").orderBy(F.col("weight").desc(), "label")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    forward = rows.join(hit.withColumnRenamed("id", "src"), ["index_key", "src"]).select("case", "index_key", "edge_pos", F.col("dst_label").alias("label"), "weight", F.lit(0).alias("way"))
+    backward = rows.join(hit.withColumnRenamed("id", "dst"), ["index_key", "dst"]).select("case", "index_key", "edge_pos", F.col("src_label").alias("label"), "weight", F.lit(1).alias("way"))
+    far = forward.unionByName(backward).join(cases.labels.select("case", "labels"), "case").where((F.length("label") >= 2) & ~F.array_contains("labels", F.col("label")))
+    far = far.groupBy("case", "index_key", "edge_pos").agg(F.min(F.struct("way", "label", "weight")).alias("f")).select("case", "index_key", "f.label", "f.weight")
+    best = far.groupBy("case", "index_key", "label").agg(F.max("weight").alias("weight"))
+    order = W.partitionBy("case", "index_key").orderBy(F.col("weight").desc(), "label")
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return cases.asked(best).select("query_id", "index_key", "label", "weight", "rank")
 
 
 def expand_query(queries: DataFrame, nodes: DataFrame, synonyms: DataFrame) -> DataFrame:

@@ -75,3 +75,16 @@ def test_recall_ranks_once_an_entity(spark):
     rows = [tuple(r) for r in got.collect()]
     assert sorted(rows, key=str) == sorted([(q, "f", "A", *x) for q in (1, 2, 3) for x in (("c1", 1, None, 1), ("c2", 2, "P", 2))] + [(4, "g", "B", "c1", 0, "", 1)], key=str)
     assert "query_id" not in "".join(line for line in plan_of(got).splitlines() if "Window" in line)
+
+
+EDGES = "index_key string, edge_pos int, src string, dst string, relation string, weight int"
+
+
+def test_neighbours_are_ranked_once_a_case(spark):
+    nodes, asked = spark.createDataFrame(GRAPH, NODES), spark.createDataFrame(TEXTS, ASKED)
+    edges = spark.createDataFrame([("f", 0, "A", "B", "r", 2), ("f", 1, "C", "A", "r", 3), ("g", 0, "A", "B", "r", 1)], EDGES)
+    got = graph.neighbour_labels(asked, nodes, edges)
+    rows = [tuple(r) for r in got.collect()]
+    want = [(q, "f", *x) for q in (1, 2) for x in (("dd", 3, 1), ("cc", 2, 2))] + [(3, "f", "dd", 3, 1), (3, "f", "bb", 2, 2)]
+    assert sorted(rows) == sorted(want + [(q, "g", "zz", 1, 1) for q in (1, 2, 3)] + [(4, "g", "aa", 1, 1)])
+    assert "query_id" not in "".join(line for line in plan_of(got).splitlines() if "Window" in line)
