@@ -156,33 +156,34 @@ def multi_hop(queries: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int
 
     Edges count both ways; the score is that of the node before times the weight times 0.7 ** (hops of the node
     before).  Neighbours whose label is under two characters or in the query are visited, but not expanded.  Of several
-    ways into a node in one hop the one from the earliest frontier node, then the earliest edge, counts.
+    ways into a node in one hop the one from the earliest frontier node, then the earliest edge, counts.  Hops are made
+    once for each case of matched labels; a label of the file is in a query where it is among those of the case.
     """
+    cases = label_cases(queries, nodes)
     both = edges.select("index_key", F.col("src").alias("at"), F.col("dst").alias("to"), "weight", "edge_pos", F.lit(0).alias("back")).unionByName(
         edges.select("index_key", F.col("dst").alias("at"), F.col("src").alias("to"), "weight", "edge_pos", F.lit(1).alias("back"))
     )
     labels = nodes.select("index_key", F.col("id").alias("to"), "label")
-    texts = queries.select("query_id", "query").distinct()
-    keys = ["query_id", "index_key"]
-    frontier = label_matches(queries, nodes).select(*keys, "id", F.lit(1.0).alias("score"), F.array(F.col("id")).alias("path"))
+    keys = ["case", "index_key"]
+    frontier = cases.matched(nodes).select(*keys, "id", F.lit(1.0).alias("score"), F.array(F.col("id")).alias("path"))
     visited = frontier.select(*keys, "id")
     found = None
     for hop in range(depth):
         step = frontier.join(both, (frontier.index_key == both.index_key) & (frontier.id == both["at"])).select(
-            frontier.query_id, frontier.index_key, F.col("to"), (F.col("score") * F.col("weight") * 0.7**hop).alias("score"), "path", "edge_pos", "back"
+            frontier["case"], frontier.index_key, F.col("to"), (F.col("score") * F.col("weight") * 0.7**hop).alias("score"), "path", "edge_pos", "back"
         )
         step = step.join(visited.withColumnRenamed("id", "to"), [*keys, "to"], "left_anti")
         first = step.groupBy(*keys, "to").agg(F.min(F.struct("path", "edge_pos", "back", "score")).alias("way"))
-        first = first.join(labels, ["index_key", "to"], "left").join(texts, "query_id")
+        first = first.join(labels, ["index_key", "to"], "left").join(cases.labels, keys)
         order = F.concat("way.path", F.array(F.format_string("%08d", "way.edge_pos"), F.col("to")))
         first = first.select(*keys, F.col("to").alias("id"), "label", F.col("way.score").alias("score"), order.alias("path"),
-                             ((F.length("label") >= 2) & ~F.contains("query", "label")).alias("good"))
+                             ((F.length("label") >= 2) & ~F.array_contains("labels", F.col("label"))).alias("good"))
         first = materialize(first, "hop")
         visited = visited.unionByName(first.select(*keys, "id"))
         frontier = first.where("good").select(*keys, "id", "score", "path")
         part = first.where("good").select(*keys, "id", "label", "score")
         found = part if found is None else found.unionByName(part)
-    return found
+    return None if found is None else cases.asked(found).select("query_id", "index_key", "id", "label", "score")
 
 
 def _recalled(cases: Cases, nodes: DataFrame, mentions: DataFrame, chunks: DataFrame) -> DataFrame:

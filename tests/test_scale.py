@@ -88,3 +88,14 @@ def test_neighbours_are_ranked_once_a_case(spark):
     want = [(q, "f", *x) for q in (1, 2) for x in (("dd", 3, 1), ("cc", 2, 2))] + [(3, "f", "dd", 3, 1), (3, "f", "bb", 2, 2)]
     assert sorted(rows) == sorted(want + [(q, "g", "zz", 1, 1) for q in (1, 2, 3)] + [(4, "g", "aa", 1, 1)])
     assert "query_id" not in "".join(line for line in plan_of(got).splitlines() if "Window" in line)
+
+
+def test_hops_are_made_once_a_case(spark, monkeypatch):
+    nodes, asked = spark.createDataFrame(GRAPH, NODES), spark.createDataFrame(TEXTS, ASKED)
+    edges = spark.createDataFrame([("f", 0, "A", "C", "r", 2), ("f", 1, "C", "B", "r", 3)], EDGES)
+    written, keep = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.append((name, got := keep(df, name))) or got)
+    rows = [tuple(r) for r in graph.multi_hop(asked, nodes, edges).collect()]
+    want = [(q, "f", *x) for q in (1, 2) for x in (("C", "dd", 2.0), ("B", "cc", 4.2))] + [(3, "f", "C", "dd", 2.0)]
+    assert sorted((*r[:4], round(r[4], 6)) for r in rows) == sorted(want)
+    assert [got.count() for name, got in written if name == "hop"] == [2, 1]  # queries 1 and 2 are one case
